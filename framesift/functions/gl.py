@@ -68,7 +68,8 @@ def tokens(params: Column) -> Column:
 
 def number(token: Column) -> Column:
     """Leading ``0x`` number or leading decimal number of a token, else 0."""
-    hex_digits = capture(token, r"^0x[+-]?([0-9a-fA-F]+)")
+    # More than 16 digits do not fit; such a token is read as the decimal 0 before its x.
+    hex_digits = capture(token, r"^0x[+-]?0*([0-9a-fA-F]{1,16})(?![0-9a-fA-F])")
     sign = F.when(token.startswith("0x-"), -1).otherwise(1)
     return F.coalesce(
         F.when(hex_digits != "", F.conv(hex_digits, 16, 10).try_cast("bigint") * sign).otherwise(
