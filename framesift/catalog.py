@@ -13,7 +13,7 @@ from framesift.operators import buffers, export, kinds, search, shaders, stats
 from framesift.operators.stats import FRAME_LIST_COLUMNS
 from framesift.plans import answers
 from framesift.plans.corpus import lines, parsed
-from framesift.session import shared_root, store
+from framesift.session import shared_root
 from framesift.sources import views
 from framesift.sources.text import detect_encodings, frame_offsets, log_sizes, read_lines, with_byte_places
 
@@ -130,7 +130,7 @@ def frame_boundary_lines(spark, d):
 
 @query
 def line_classes(spark, d):
-    log = classify(lines(spark, d, "agg").lines)
+    log = classify(lines(spark, d, "agg").lines, "log_id")
     return log.groupBy("log_id", "line_class").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 

@@ -65,7 +65,7 @@ def classify(lines: DataFrame, *keep: str) -> DataFrame:
     )
     s = F.col("shape")
     fields = lines.select("*", shape.alias("shape")).select(
-        "log_id", "chunk_id", "line_num", *keep, "shape",
+        "chunk_id", "line_num", *keep, "shape",
         F.when(s == CALL, capture(c, p.API_LINE, 1)).alias("api_name"),
         F.when(s == CALL, as_long(capture(c, p.API_LINE, 2))).alias("call_count"),
         F.when(s == CALL, as_long(capture(c, p.API_LINE, 3)))
@@ -117,8 +117,8 @@ def raw_calls(lines: DataFrame) -> DataFrame:
     )
     return (
         lines.filter(c.rlike(p.RAW_CALL_LINE) & ~is_raw_noise(c))
-        .select("log_id", "chunk_id", "line_num", strip_sequence_prefix(strip_space(c)).alias("text"))
-        .select("log_id", "chunk_id", "line_num", name.alias("api_name"), rest.alias("raw_params"))
+        .select("chunk_id", "line_num", strip_sequence_prefix(strip_space(c)).alias("text"))
+        .select("chunk_id", "line_num", name.alias("api_name"), rest.alias("raw_params"))
     )
 
 

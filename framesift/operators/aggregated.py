@@ -34,7 +34,7 @@ class ShaderState:
 
 def shader_state(log: LogLines) -> ShaderState | None:
     """State of the shader blocks; None if the corpus has no shader lines at all."""
-    fenced = small_side(log.chunks.filter("fenced").select(*CHUNK), "fenced")
+    fenced = small_side(log.chunks.filter("fenced").select(CHUNK), "fenced")
     if fenced.isEmpty():
         return None
     states = store(_states_in_chunk(log.lines.join(fenced, CHUNK, "left_semi")), "shader_states")
@@ -78,7 +78,7 @@ def _masked(starts_inside: Column) -> Column:
 def _starts(chunks: DataFrame, states: DataFrame) -> DataFrame:
     """For every chunk: does it start inside a block, in which one, after which header."""
     line, klass = F.col("line_num"), F.col("line_class")
-    summary = states.groupBy(*CHUNK).agg(
+    summary = states.groupBy(CHUNK).agg(
         F.min_by(klass == FENCE, line).alias("starts_with_fence"),
         F.max_by(klass == HEADER, line).alias("ends_with_header"),
         F.max_by(F.col("inside").cast("int"), line).alias("inside_end"),
@@ -103,7 +103,7 @@ def _starts(chunks: DataFrame, states: DataFrame) -> DataFrame:
     c = c.withColumn("starts_inside", (flips_in % 2 == 1) & ~F.col("pairs_first"))
     last_block = F.when(F.col("starts_inside"), F.col("last_block1")).otherwise(F.col("last_block0"))
     return c.select(
-        *CHUNK, "fenced", "starts_inside",
+        "log_id", CHUNK, "fenced", "starts_inside",
         F.max(last_block).over(prior).alias("block_base"),
         F.max("last_header").over(prior).alias("header_base"),
     )
@@ -114,7 +114,7 @@ def placed_states(shader: ShaderState) -> DataFrame:
     the block (line of its opening fence) and the last header."""
     block = F.when(F.col("starts_inside"), F.col("block1")).otherwise(F.col("block0"))
     return shader.states.join(shader.starts, CHUNK).select(
-        *shader.states.columns,
+        "log_id", *shader.states.columns,
         _masked(F.col("starts_inside")).alias("masked"),
         F.greatest(block, "block_base").alias("block"),
         F.greatest("header", "header_base").alias("last_header"),
@@ -137,7 +137,7 @@ def log_rows(log: LogLines, shader: ShaderState | None) -> DataFrame:
     lines = log.lines.filter(c.endswith("us") | c.endswith("ms") | c.contains("libGL:"))
     if shader is None:
         return classify(lines)
-    starts = shader.starts.select(*CHUNK, "fenced", "starts_inside")
+    starts = shader.starts.select(CHUNK, "fenced", "starts_inside")
     hidden = F.when(F.col("starts_inside") & (klass != FPS), OTHER).otherwise(klass)
     in_plain = (
         classify(lines.join(starts.filter("not fenced"), CHUNK), "starts_inside")
@@ -147,13 +147,13 @@ def log_rows(log: LogLines, shader: ShaderState | None) -> DataFrame:
     in_fenced = placed_states(shader).filter(
         (klass.isin(CALL, SWAP, COST, REJECT) & ~F.col("masked")) | (klass == FENCE)
     )
-    rates = log.lines.filter(is_fps(c) & ~is_noise(c)).join(starts.filter("fenced").select(*CHUNK), CHUNK, "left_semi")
+    rates = log.lines.filter(is_fps(c) & ~is_noise(c)).join(starts.filter("fenced").select(CHUNK), CHUNK, "left_semi")
     return in_plain.unionByName(in_fenced.select(*in_plain.columns)).unionByName(classify(rates))
 
 
 def mark(rows: DataFrame) -> DataFrame:
     """Rows with the frame state reached inside their own chunk: one shuffle, on
-    (log, chunk), of typed fields without text, and one sort."""
+    chunk, of typed fields without text or file name, and one sort."""
     w = in_chunk()
     klass, step, opened = F.col("line_class"), F.col("step"), F.col("open")
     df = rows.withColumn("step", F.when(klass == CALL, OPENS).when(klass == SWAP, CLOSES))
@@ -175,18 +175,18 @@ def mark(rows: DataFrame) -> DataFrame:
     )
 
 
-def carry(marks: DataFrame, log_ends: DataFrame) -> DataFrame:
+def carry(marks: DataFrame, log: LogLines) -> DataFrame:
     """One row per chunk: the frame state in which it starts. Its size grows with the
     number of chunks only."""
     line, step = F.col("line_num"), F.col("step")
     stepped = F.when(step.isNotNull(), line)
-    chunks = marks.groupBy(*CHUNK).agg(
+    chunks = marks.groupBy(CHUNK).agg(
         F.min_by(step, stepped).alias("first_step"),
         F.max_by(step, stepped).alias("last_step"),
         F.sum(F.when((step == CLOSES) & (F.col("open") == OPENS), 1).otherwise(0)).alias("n_closed"),
         F.max("time_here").alias("n_time"),
         F.max("calls_here").alias("n_calls"),
-    )
+    ).join(log.chunks.select("log_id", CHUNK), CHUNK)
     prior = earlier_chunks()
     open_in = F.coalesce(F.last("last_step", ignorenulls=True).over(prior), F.lit(CLOSES))
     chunks = chunks.withColumn("open_in", open_in)
@@ -198,11 +198,11 @@ def carry(marks: DataFrame, log_ends: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(c).over(prior), F.lit(0))
 
     return chunks.select(
-        *CHUNK, "open_in", "ends_carried",
+        "log_id", CHUNK, "open_in", "ends_carried",
         total_before(F.col("n_closed") + F.col("ends_carried")).alias("frame_base"),
         total_before(F.col("n_time")).alias("time_base"),
         total_before(F.col("n_calls")).alias("call_base"),
-    ).join(log_ends, "log_id")
+    ).join(log.log_ends(), "log_id")
 
 
 def attribute(marks: DataFrame, carried: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def attribute(marks: DataFrame, carried: DataFrame) -> DataFrame:
     opened = F.coalesce("open", "open_in") == OPENS
     carried_end = F.when(F.col("open").isNotNull(), F.col("ends_carried")).otherwise(0)
     return marks.join(carried, CHUNK).select(
-        *CHUNK, "line_num", "line_class", "api_name", "call_count", "value", "fps", "last_line",
+        "log_id", CHUNK, "line_num", "line_class", "api_name", "call_count", "value", "fps", "last_line",
         (F.col("line_class") == CALL).alias("is_call"),
         opened.alias("in_frame"),
         ((F.col("line_class") == SWAP) & opened).alias("ends_frame"),

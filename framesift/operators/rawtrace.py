@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.functions.lines import raw_calls, is_raw_frame_end, listed_ids, program_id
-from framesift.operators.scan import CHUNK, before, chunk_base, in_chunk, upto
+from framesift.functions.lines import is_raw_frame_end, listed_ids, program_id, raw_calls
+from framesift.operators.scan import CHUNK, before, earlier_chunks, in_chunk, upto
+from framesift.sources.loglines import LogLines
 
 
 def mark(lines: DataFrame) -> DataFrame:
     """Calls with counts of frame ends and calls inside their chunk; other lines are
-    dropped before the one shuffle, on (log, chunk)."""
+    dropped before the one shuffle, on the chunk."""
     w = in_chunk()
     ends = is_raw_frame_end(F.col("api_name"))
     return (
@@ -25,18 +26,27 @@ def mark(lines: DataFrame) -> DataFrame:
     )
 
 
-def carry(marks: DataFrame, log_ends: DataFrame) -> DataFrame:
+def carry(marks: DataFrame, log: LogLines) -> DataFrame:
     """One row per chunk: frames ended and calls seen in the chunks before it."""
-    base = chunk_base(
-        marks, frame_base=F.col("ends_frame").cast("int"), call_base=F.col("is_call").cast("int")
+    totals = marks.groupBy(CHUNK).agg(
+        F.sum(F.col("ends_frame").cast("int")).alias("n_ended"), F.sum(F.col("is_call").cast("int")).alias("n_calls")
+    )
+    prior = earlier_chunks()
+    return (
+        totals.join(log.chunks.select("log_id", CHUNK), CHUNK)
+        .select(
+            "log_id", CHUNK,
+            F.coalesce(F.sum("n_ended").over(prior), F.lit(0)).alias("frame_base"),
+            F.coalesce(F.sum("n_calls").over(prior), F.lit(0)).alias("call_base"),
+        )
+        .join(log.log_ends(), "log_id")
     )
-    return base.join(log_ends, "log_id")
 
 
 def attribute(marks: DataFrame, carried: DataFrame) -> DataFrame:
     """Calls and frame ends with the frame they belong to; a join and a projection."""
     return marks.join(carried, CHUNK).select(
-        *CHUNK, "line_num", "api_name", "raw_params", "is_call", "ends_frame", "last_line",
+        "log_id", CHUNK, "line_num", "api_name", "raw_params", "is_call", "ends_frame", "last_line",
         (F.col("frame_base") + F.col("ended_here")).alias("frame_num"),
         (F.col("call_base") + F.col("calls_here")).alias("call_ordinal"),
     )

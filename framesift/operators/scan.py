@@ -1,9 +1,10 @@
 """Order-dependent state over logs that are cut into chunks.
 
 A log of any size is a series of chunks. State along its lines is found in two
-steps: windows inside each (log, chunk), which spread over the cluster however
-large one log is, and a window over one summary row per chunk, which hands each
-chunk the state it starts with.
+steps: windows inside each chunk, which spread over the cluster however large one
+log is, and a window over one summary row per chunk, which hands each chunk the
+state it starts with. Chunk ids are unique in a corpus and rise along each log, so
+that rows are shuffled and sorted by one number instead of a file name.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = ["log_id", "chunk_id"]
+CHUNK = "chunk_id"
 
 
-def in_chunk(*order: str | Column):
-    return Window.partitionBy(*CHUNK).orderBy(*(order or ("line_num",)))
+def in_chunk():
+    return Window.partitionBy(CHUNK).orderBy("line_num")
 
 
 def upto(window):
@@ -27,7 +28,7 @@ def before(window):
 
 
 def over_chunks():
-    return Window.partitionBy("log_id").orderBy("chunk_id")
+    return Window.partitionBy("log_id").orderBy(CHUNK)
 
 
 def earlier_chunks():
@@ -36,18 +37,20 @@ def earlier_chunks():
 
 def chunk_base(df: DataFrame, **amounts: Column) -> DataFrame:
     """Per chunk, the sum of each amount over all earlier chunks of its log."""
-    totals = df.groupBy(*CHUNK).agg(*[F.sum(c).alias(n) for n, c in amounts.items()])
+    totals = df.groupBy("log_id", CHUNK).agg(*[F.sum(c).alias(n) for n, c in amounts.items()])
     return totals.select(
-        *CHUNK, *[F.coalesce(F.sum(n).over(earlier_chunks()), F.lit(0)).alias(n) for n in amounts]
+        "log_id", CHUNK,
+        *[F.coalesce(F.sum(n).over(earlier_chunks()), F.lit(0)).alias(n) for n in amounts],
     )
 
 
 def rank_in_log(df: DataFrame, out: str, order: str = "line_num") -> DataFrame:
     """Number the rows of each log from 1 along ``order``, without one task per log."""
+    keys = ["log_id", CHUNK]
     base = chunk_base(df, rank_base=F.lit(1))
-    local = df.withColumn("rank_here", F.row_number().over(in_chunk(order)))
+    local = df.withColumn("rank_here", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
     return (
-        local.join(base, CHUNK)
+        local.join(base, keys)
         .withColumn(out, F.col("rank_base") + F.col("rank_here"))
         .drop("rank_base", "rank_here")
     )

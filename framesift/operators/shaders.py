@@ -26,16 +26,16 @@ def shaders(log: LogLines, shader: ShaderState, rows: DataFrame, frames: DataFra
     klass = F.col("line_class")
     placed = placed_states(shader)
     body_here = placed.filter(F.col("masked") & ~klass.isin(FENCE, HEADER, NOISE)).select(
-        *CHUNK, "line_num", "block", "content"
+        "log_id", CHUNK, "line_num", "block", "content"
     )
-    inside = shader.starts.filter("starts_inside and not fenced").select(*CHUNK, F.col("block_base").alias("block"))
+    inside = shader.starts.filter("starts_inside and not fenced").select(CHUNK, F.col("block_base").alias("block"))
     body_through = (
-        survivors(log.lines.join(inside, CHUNK)).select(*CHUNK, "line_num", "block", "content")
+        survivors(log.lines.join(inside, CHUNK)).select("log_id", CHUNK, "line_num", "block", "content")
     )
     # A block is first joined within each chunk, then over its chunks.
     pieces = (
         body_here.unionByName(body_through)
-        .groupBy(*CHUNK, "block")
+        .groupBy("log_id", CHUNK, "block")
         .agg(_joined("line_num", "content").alias("piece"))
     )
     sources = pieces.groupBy("log_id", "block").agg(_joined("chunk_id", "piece").alias("source"))
@@ -44,8 +44,8 @@ def shaders(log: LogLines, shader: ShaderState, rows: DataFrame, frames: DataFra
     opens = fences.filter("masked").select("log_id", "block", F.col("last_header").alias("header"))
     closes = (
         fences.filter("not masked")
-        .select(*CHUNK, "line_num", "block")
-        .join(rows.filter(klass == FENCE).select(*CHUNK, "line_num", "in_frame", "frame_num"), [*CHUNK, "line_num"])
+        .select("log_id", CHUNK, "line_num", "block")
+        .join(rows.filter(klass == FENCE).select(CHUNK, "line_num", "in_frame", "frame_num"), [CHUNK, "line_num"])
         .select(
             "log_id", "block", F.lit(True).alias("is_closed"),
             F.when(F.col("in_frame"), F.col("frame_num")).alias("close_frame"),

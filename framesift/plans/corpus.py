@@ -31,9 +31,11 @@ def _once(spark: SparkSession, folder: str, name: str, make: Callable[[], object
 def mixed_lines(spark: SparkSession, folder: str) -> LogLines:
     """Aggregated and raw logs of the same events in one corpus, told apart by their id."""
     def named(log: LogLines, letter: str) -> tuple[DataFrame, DataFrame]:
-        name = F.concat(F.lit(letter), F.col("log_id")).alias("log_id")
+        # Chunk ids of the two corpora are kept apart by the second highest bit.
+        chunk = F.col("chunk_id") + (2**62 if letter == "r" else 0)
         return tuple(
-            df.select(name, *[c for c in df.columns if c != "log_id"]) for df in (log.lines, log.chunks)
+            df.withColumns({"log_id": F.concat(F.lit(letter), F.col("log_id")), "chunk_id": chunk})
+            for df in (log.lines, log.chunks)
         )
 
     a_lines, a_chunks = named(lines(spark, folder, "agg"), "a")

@@ -70,7 +70,7 @@ def parse_aggregated(log: LogLines, kinds: DataFrame | None = None) -> ParsedLog
     ends = log.log_ends()
     shader = aggregated.shader_state(log)
     marks = store(aggregated.mark(aggregated.log_rows(log, shader)), "marks")
-    rows = aggregated.attribute(marks, small_side(aggregated.carry(marks, ends), "carry"))
+    rows = aggregated.attribute(marks, small_side(aggregated.carry(marks, log), "carry"))
     frames = store(aggregated.frames(rows), "frames")
     return ParsedLogs(
         lines=log.lines,
@@ -88,7 +88,7 @@ def parse_raw(log: LogLines, kinds: DataFrame | None = None) -> ParsedLogs:
     """Parse lines that are all of the raw grammar."""
     ends = log.log_ends()
     marks = store(rawtrace.mark(log.lines), "marks")
-    rows = rawtrace.attribute(marks, small_side(rawtrace.carry(marks, ends), "carry"))
+    rows = rawtrace.attribute(marks, small_side(rawtrace.carry(marks, log), "carry"))
     calls = rawtrace.api_calls(rows)
     frames = store(rawtrace.frames(rows), "frames")
     return ParsedLogs(
@@ -109,8 +109,13 @@ def parse_lines(log: LogLines, head_lines: int = kind_ops.HEAD_LINES) -> ParsedL
     Logs of an unknown kind are read with the aggregated grammar.
     """
     kinds = small_side(kind_ops.detect_kinds(log.lines, head_lines), "kinds")
-    a = parse_aggregated(log.only(kinds.filter(F.col("kind") != RAWTRACE)), kinds)
-    r = parse_raw(log.only(kinds.filter(F.col("kind") == RAWTRACE)), kinds)
+    raw, other = kinds.filter(F.col("kind") == RAWTRACE), kinds.filter(F.col("kind") != RAWTRACE)
+    # With one grammar only, the text is not read for the other.
+    if raw.isEmpty():
+        return parse_aggregated(log, kinds)
+    if other.isEmpty():
+        return parse_raw(log, kinds)
+    a, r = parse_aggregated(log.only(other), kinds), parse_raw(log.only(raw), kinds)
     return ParsedLogs(
         lines=log.lines,
         kinds=kinds,

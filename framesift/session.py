@@ -28,6 +28,10 @@ def local_session(cpus: int | str = 8, app: str = "framesift") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        # Generated classes of a whole parse stay cached, so later parses start warm.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        # Several splits per core also for logs of some megabytes.
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framesift.operators.scan import CHUNK, earlier_chunks
-from framesift.session import small_side, store
-from framesift.sources.loglines import LogLines, content_facts
+from framesift.operators.scan import CHUNK, before
+from framesift.session import store
+from framesift.sources.loglines import LogLines, content_facts, keyed
 
 
 def number_lines(records: DataFrame, *order: str) -> LogLines:
@@ -22,24 +22,24 @@ def number_lines(records: DataFrame, *order: str) -> LogLines:
         .sortWithinPartitions("log_id", *order)
         .select("log_id", "content", F.monotonically_increasing_id().alias("seq"))
         # The upper bits of the running id are the partition number.
-        .withColumn("chunk_id", F.shiftright("seq", 33)),
+        .withColumn("place", F.shiftright("seq", 33)),
         "lines",
     )
-    chunks = placed.groupBy(*CHUNK).agg(
+    chunks = placed.groupBy("log_id", "place").agg(
         F.min("seq").alias("first_seq"), F.count("*").alias("n_lines"), *content_facts(F.col("content"))
     )
-    ahead = F.coalesce(F.sum("n_lines").over(earlier_chunks()), F.lit(0))
-    chunks = small_side(
+    ahead = F.coalesce(F.sum("n_lines").over(before(Window.partitionBy("log_id").orderBy("place"))), F.lit(0))
+    chunks = keyed(
         chunks.select(
-            *CHUNK, (ahead - F.col("first_seq") + 1).alias("shift"),
+            "log_id", "place", (ahead - F.col("first_seq") + 1).alias("shift"),
             (ahead + F.col("n_lines")).alias("chunk_end"), "fenced", "has_text",
         ),
         "chunks",
     )
-    lines = placed.join(chunks.select(*CHUNK, "shift"), CHUNK).select(
-        *CHUNK, (F.col("seq") + F.col("shift")).alias("line_num"), "content"
+    lines = placed.join(chunks.select("log_id", "place", CHUNK, "shift"), ["log_id", "place"]).select(
+        "log_id", CHUNK, (F.col("seq") + F.col("shift")).alias("line_num"), "content"
     )
-    return LogLines(lines, chunks.drop("shift"))
+    return LogLines(lines, chunks.drop("shift", "place"))
 
 
 def save_table(df: DataFrame, path: str, *order: str, buckets: int = 64) -> None:

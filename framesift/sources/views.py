@@ -112,10 +112,11 @@ def bench_lines(spark: SparkSession, folder: str) -> LogLines:
 def text_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of ``documents``, one log per document."""
     return table(spark, folder, "documents").select(
-        F.col("doc_id").alias("log_id"), F.posexplode(F.split("text", "\n")).alias("pos", "content")
+        F.col("doc_id").alias("log_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content")
     ).select(
         "log_id",
-        F.expr(f"pos div {LINES_PER_CHUNK}").cast("bigint").alias("chunk_id"),
+        # Room for 2^20 chunks, that is 4 billion lines, in a document.
+        (F.col("doc_id") * 2**20 + F.expr(f"pos div {LINES_PER_CHUNK}")).alias("chunk_id"),
         (F.col("pos") + 1).cast("bigint").alias("line_num"),
         "content",
     )
@@ -137,7 +138,7 @@ def shader_lines(spark: SparkSession, folder: str) -> LogLines:
         F.expr(f"doc_id div {DOCS_PER_LOG}").alias("log_id"), doc.alias("chunk_id"), lines.alias("lines")
     )
     base = small_side(chunk_base(docs, line_base=F.size("lines")), "shader_docs")
-    lines = docs.join(base, CHUNK).select(
-        *CHUNK, "line_base", F.posexplode("lines").alias("pos", "content")
+    lines = docs.join(base, ["log_id", CHUNK]).select(
+        "log_id", CHUNK, "line_base", F.posexplode("lines").alias("pos", "content")
     )
-    return LogLines.of(lines.select(*CHUNK, (F.col("line_base") + F.col("pos") + 1).alias("line_num"), "content"))
+    return LogLines.of(lines.select("log_id", CHUNK, (F.col("line_base") + F.col("pos") + 1).alias("line_num"), "content"))
