@@ -25,6 +25,7 @@ ALL = "*"
 BUFFER = ["log_id", "buffer_id"]
 LIFE = [*BUFFER, "incarnation"]
 _END = 2**63 - 1
+_LAST_CHUNKS = 1024
 
 
 def _position(line, late, origin, arg) -> Column:
@@ -241,8 +242,10 @@ def incarnations(calls: DataFrame, strict_targets: bool = False) -> DataFrame:
         )
     )
     end_pos = F.coalesce("to", _position(*_FOREVER))
+    # Lives without an end lie after every chunk, spread over many so that none gets large.
+    after_all = F.lit(_END) - F.pmod(F.xxhash64("buffer_id", "incarnation", "from"), F.lit(_LAST_CHUNKS))
     to_points = spans.select(
-        *_SCOPE, F.coalesce("to_chunk", F.lit(_END)).alias("chunk_id"), end_pos.alias("pos"),
+        *_SCOPE, F.coalesce("to_chunk", after_all).alias("chunk_id"), end_pos.alias("pos"),
         F.lit(True).alias("is_point"), "buffer_id", "incarnation", "from",
     )
     from_points = spans.select(

@@ -44,13 +44,23 @@ def chunk_base(df: DataFrame, **amounts: Column) -> DataFrame:
     )
 
 
-def rank_in_log(df: DataFrame, out: str, order: str = "line_num") -> DataFrame:
-    """Number the rows of each log from 1 along ``order``, without one task per log."""
+def rank_in_log(
+    df: DataFrame, out: str, order: str = "line_num", skip: int = 0, take: int | None = None
+) -> DataFrame:
+    """Number the rows of each log from 1 along ``order``, without one task per log.
+
+    With ``take``, only the rows after the first ``skip`` are kept, and rows are
+    shuffled only from the chunks that hold some of them.
+    """
     keys = ["log_id", CHUNK]
-    base = chunk_base(df, rank_base=F.lit(1))
-    local = df.withColumn("rank_here", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    return (
-        local.join(base, keys)
-        .withColumn(out, F.col("rank_base") + F.col("rank_here"))
-        .drop("rank_base", "rank_here")
+    chunks = df.groupBy(*keys).agg(F.count("*").alias("n_here"))
+    chunks = chunks.withColumn("rank_base", F.coalesce(F.sum("n_here").over(earlier_chunks()), F.lit(0)))
+    if take is not None:
+        chunks = chunks.filter((F.col("rank_base") < skip + take) & (F.col("rank_base") + F.col("n_here") > skip))
+    here = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    ranked = (
+        df.join(chunks.drop("n_here"), keys)
+        .withColumn(out, F.col("rank_base") + here)
+        .drop("rank_base")
     )
+    return ranked if take is None else ranked.filter(F.col(out).between(skip + 1, skip + take))

@@ -55,13 +55,13 @@ def match_counts(matches: DataFrame) -> DataFrame:
 def page_from_zero(matches: DataFrame, page: int, size: int) -> DataFrame:
     """One page of each log's matches, pages from 0; sizes below 1 mean 1000."""
     page, size = max(page, 0), size if size > 0 else LINES_PER_PAGE
-    return _ranks(rank_in_log(matches, "rank"), page * size, size)
+    return rank_in_log(matches, "rank", skip=page * size, take=size).drop("rank")
 
 
 def page_from_one(matches: DataFrame, page: int | None = None, size: int | None = None) -> DataFrame:
     """One page of each log's matches, pages from 1; missing or unusable values mean 1 and 50."""
     page, size = _page_values(page, size)
-    return _ranks(rank_in_log(matches, "rank"), (page - 1) * size, size)
+    return rank_in_log(matches, "rank", skip=(page - 1) * size, take=size).drop("rank")
 
 
 def page_info(rows: DataFrame, page: int | None = None, size: int | None = None) -> DataFrame:
@@ -77,18 +77,13 @@ def frame_page(frames: DataFrame, page: int | None = None, size: int | None = No
     """One page of each log's frame list, pages from 1."""
     page, size = _page_values(page, size)
     chunked = frames.withColumn("chunk_id", F.expr(f"frame_num div {FRAMES_PER_CHUNK}"))
-    return _ranks(rank_in_log(chunked, "rank", "frame_num"), (page - 1) * size, size).drop("chunk_id")
+    return rank_in_log(chunked, "rank", "frame_num", (page - 1) * size, size).drop("rank", "chunk_id")
 
 
 def preview(matches: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     """The first n matches of each log, with the number of those left out."""
     left_out = match_counts(matches).select("log_id", F.greatest(F.col("total") - n, F.lit(0)).alias("left_out"))
-    return _ranks(rank_in_log(matches, "rank"), 0, n).join(left_out, "log_id")
-
-
-def _ranks(ranked: DataFrame, skip: int, size: int) -> DataFrame:
-    # A filter on ranks, so that deep pages cost no more than the first and pass no driver.
-    return ranked.filter(F.col("rank").between(skip + 1, skip + size)).drop("rank")
+    return rank_in_log(matches, "rank", take=n).drop("rank").join(left_out, "log_id")
 
 
 def _page_values(page: int | None, size: int | None) -> tuple[int, int]:

@@ -101,12 +101,17 @@ def slowest_call_per_frame(calls: DataFrame) -> DataFrame:
 def call_postings(calls: DataFrame) -> DataFrame:
     """Line numbers of every function, one row per line.
 
-    A flat table rather than lists: written in this order (``save_table`` by
-    ``api_name``), equality on the name skips files and row groups by min and max.
+    A flat table rather than lists, as one function may be called on most lines.
     """
     return calls.select("api_name", "log_id", "line_num")
 
 
+def save_postings(postings: DataFrame, path: str) -> None:
+    """Write postings so that a lookup reads only the files and row groups of its name."""
+    order = ["api_name", "log_id", "line_num"]
+    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
 def lookup(postings: DataFrame, api_name: str) -> DataFrame:
     """Lines of one function, exactly named; no rows for an unknown one."""
     return postings.filter(F.col("api_name") == api_name).orderBy("log_id", "line_num")

@@ -17,10 +17,9 @@ _kept: dict[tuple, object] = {}
 
 def _once(spark: SparkSession, folder: str, name: str, make: Callable[[], object]):
     """Keep a result for the session, for as long as the files under it stay the same."""
-    source = views.table(spark, folder, _TABLES[name.split("/")[0]])
-    files = source.select(
-        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
-    ).distinct()
+    # Lists the files only: their content is not selected, hence not read.
+    listed = spark.read.format("binaryFile").load(f"{folder}/{_TABLES[name.split('/')[0]]}.parquet")
+    files = listed.select("path", "length", "modificationTime")
     state = files.agg(F.count("*"), F.bit_xor(F.xxhash64(*files.columns))).first()
     key = (spark.sparkContext.applicationId, folder, name, *state)
     if key not in _kept:

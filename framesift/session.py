@@ -9,11 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side joined by broadcast has at most this many rows of a few scalars each
-# (tens of megabytes); larger sides are joined by shuffle instead.
-BROADCAST_ROWS = 1_000_000
+# A side is joined by broadcast only up to this size; larger ones are joined by shuffle.
+BROADCAST_BYTES = 128 * 2**20
+SCALAR_BYTES = 16
 
-_local_root: dict[str, str] = {}
+_local_roots: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def local_session(cpus: int | str = 8, app: str = "framesift") -> SparkSession:
@@ -49,9 +49,9 @@ def shared_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
-    if app not in _local_root:
-        _local_root[app] = tempfile.mkdtemp(prefix="framesift-")
-    return _local_root[app]
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.TemporaryDirectory(prefix="framesift-", ignore_cleanup_errors=True)
+    return _local_roots[app].name
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +68,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, name: str) -> DataFrame:
-    """Store ``df`` and hint a broadcast only if its counted size allows it."""
+    """Store ``df`` and hint a broadcast only if its measured size allows it.
+
+    Without the hint Spark chooses the join itself, and none of the callers needs a
+    broadcast for its result.
+    """
     kept = store(df, name)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    texts = [F.sum(F.octet_length(c)) for c, kind in kept.dtypes if kind == "string"]
+    rows, *characters = kept.agg(F.count("*"), *texts).first()
+    size = rows * len(kept.columns) * SCALAR_BYTES + sum(n or 0 for n in characters)
+    return F.broadcast(kept) if size <= BROADCAST_BYTES else kept

@@ -6,11 +6,9 @@ text can be built by any SQL engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framesift.operators.scan import CHUNK, chunk_base
-from framesift.session import small_side
 from framesift.sources.loglines import LogLines
 from framesift.sources.tables import number_lines
 
@@ -135,10 +133,18 @@ def shader_lines(spark: SparkSession, folder: str) -> LogLines:
         F.array(F.lit("####"), F.concat(F.lit("swapBuffers: "), doc, F.lit(" us"))),
     )
     docs = table(spark, folder, "documents").select(
-        F.expr(f"doc_id div {DOCS_PER_LOG}").alias("log_id"), doc.alias("chunk_id"), lines.alias("lines")
+        F.expr(f"doc_id div {DOCS_PER_LOG}").alias("log_id"), "doc_id", lines.alias("lines")
     )
-    base = small_side(chunk_base(docs, line_base=F.size("lines")), "shader_docs")
-    lines = docs.join(base, ["log_id", CHUNK]).select(
-        "log_id", CHUNK, "line_base", F.posexplode("lines").alias("pos", "content")
+    # Ten rows of two numbers per log.
+    earlier = Window.partitionBy("log_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = docs.select("log_id", "doc_id", F.size("lines").cast("bigint").alias("n"))
+    base = sizes.select("doc_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("line_base"))
+    placed = docs.join(base, "doc_id").select(
+        "log_id", "line_base", F.posexplode("lines").alias("pos", "content")
+    )
+    return LogLines.of(
+        placed.select(
+            "log_id", F.lit(0).cast("bigint").alias("chunk_id"),
+            (F.col("line_base") + F.col("pos") + 1).alias("line_num"), "content",
+        )
     )
-    return LogLines.of(lines.select("log_id", CHUNK, (F.col("line_base") + F.col("pos") + 1).alias("line_num"), "content"))
