@@ -50,11 +50,13 @@ def classify(lines: DataFrame, *keep: str) -> DataFrame:
     other columns only on request.
 
     Calls, swaps and costs are tried first: no noise pattern can match them, and
-    they are nearly all lines of a real log.
+    they are nearly all lines of a real log. Calls in the usual form are split at
+    blanks, which takes half the time of capturing their three fields by pattern.
     """
-    c = F.col("content")
+    c, words = F.col("content"), F.col("words")
+    plain = F.when(c.endswith(" us") & c.rlike(p.PLAIN_API_LINE), F.split(c, " "))
     shape = (
-        F.when(c.endswith("us") & c.rlike(p.API_LINE), CALL)
+        F.when(words.isNotNull() | (c.endswith("us") & c.rlike(p.API_LINE)), CALL)
         .when(c.endswith("us") & c.rlike(p.SWAP_LINE), SWAP)
         .when(c.endswith("ms") & c.rlike(p.COST_LINE), COST)
         .when(is_noise(c), NOISE)
@@ -64,11 +66,21 @@ def classify(lines: DataFrame, *keep: str) -> DataFrame:
         .otherwise(OTHER)
     )
     s = F.col("shape")
-    fields = lines.select("*", shape.alias("shape")).select(
+
+    def word(i: int, start: int, end: int) -> Column:
+        """Characters of a word without ``start`` leading and ``end`` trailing ones."""
+        w = F.get(words, F.lit(i))
+        return F.substring(w, F.lit(start + 1), F.length(w) - start - end)
+
+    shaped = lines.select("*", plain.alias("words")).select("*", shape.alias("shape"))
+    fields = shaped.select(
         "chunk_id", "line_num", *keep, "shape",
-        F.when(s == CALL, capture(c, p.API_LINE, 1)).alias("api_name"),
-        F.when(s == CALL, as_long(capture(c, p.API_LINE, 2))).alias("call_count"),
-        F.when(s == CALL, as_long(capture(c, p.API_LINE, 3)))
+        F.when(words.isNotNull(), word(0, 0, len(":"))).when(s == CALL, capture(c, p.API_LINE, 1)).alias("api_name"),
+        F.when(words.isNotNull(), as_long(word(1, len("count="), len(","))))
+        .when(s == CALL, as_long(capture(c, p.API_LINE, 2)))
+        .alias("call_count"),
+        F.when(words.isNotNull(), as_long(word(2, len("time="), 0)))
+        .when(s == CALL, as_long(capture(c, p.API_LINE, 3)))
         .when(s == SWAP, F.coalesce(as_long(capture(c, p.SWAP_LINE)), F.lit(LONG_MAX)))
         .when(s == COST, F.try_multiply(as_long(capture(c, p.COST_LINE)), F.lit(1000)))
         .when(s == HEADER, as_long(capture(c, p.SHADER_HEADER)))

@@ -8,6 +8,8 @@ a final line terminator, and ``(?s)`` so that ``.`` covers a carriage return.
 SEQ_PREFIX = r"(?:\[\s*\d+\]\s+)?"
 # An aggregated call whose name is a noise keyword is noise, as noise is dropped first.
 API_LINE = rf"^(?!warning:){SEQ_PREFIX}(?!vendor:)(\w+):\s+count=(\d+),\s+time=(\d+)\s+us\z"
+# The usual form of it, without prefix and with single blanks.
+PLAIN_API_LINE = r"^(?!warning:|vendor:)\w+: count=\d+, time=\d+ us\z"
 SWAP_LINE = rf"^{SEQ_PREFIX}swapBuffers:\s+(\d+)\s+us\z"
 COST_LINE = rf"^{SEQ_PREFIX}\d+\s+frame\s+cost\s+(\d+)ms\z"
 FPS_TEXT = r"libGL:\s+FPS\s*=\s*([\d.]+)"

@@ -151,19 +151,24 @@ def log_rows(log: LogLines, shader: ShaderState | None) -> DataFrame:
     return in_plain.unionByName(in_fenced.select(*in_plain.columns)).unionByName(classify(rates))
 
 
+def _step() -> Column:
+    """What a line does to the frame: calls open it, swaps close it."""
+    klass = F.col("line_class")
+    return F.when(klass == CALL, OPENS).when(klass == SWAP, CLOSES)
+
+
 def mark(rows: DataFrame) -> DataFrame:
     """Rows with the frame state reached inside their own chunk: one shuffle, on
     chunk, of typed fields without text or file name, and one sort."""
     w = in_chunk()
     klass, step, opened = F.col("line_class"), F.col("step"), F.col("open")
-    df = rows.withColumn("step", F.when(klass == CALL, OPENS).when(klass == SWAP, CLOSES))
+    df = rows.withColumn("step", _step())
     is_call = step == OPENS
     return (
         df.select(
             "*",
             F.last("step", ignorenulls=True).over(before(w)).alias("open"),
             F.sum(F.when(is_call, F.col("value")).otherwise(0)).over(upto(w)).alias("time_here"),
-            F.sum(F.when(is_call, 1).otherwise(0)).over(upto(w)).alias("calls_here"),
         )
         .select(
             "*",
@@ -172,20 +177,20 @@ def mark(rows: DataFrame) -> DataFrame:
             ).alias("closed_here"),
         )
         .filter(klass.isin(USED))
+        .drop("step")
     )
 
 
 def carry(marks: DataFrame, log: LogLines) -> DataFrame:
     """One row per chunk: the frame state in which it starts. Its size grows with the
     number of chunks only."""
-    line, step = F.col("line_num"), F.col("step")
+    line, step = F.col("line_num"), _step()
     stepped = F.when(step.isNotNull(), line)
     chunks = marks.groupBy(CHUNK).agg(
         F.min_by(step, stepped).alias("first_step"),
         F.max_by(step, stepped).alias("last_step"),
         F.sum(F.when((step == CLOSES) & (F.col("open") == OPENS), 1).otherwise(0)).alias("n_closed"),
         F.max("time_here").alias("n_time"),
-        F.max("calls_here").alias("n_calls"),
     ).join(log.chunks.select("log_id", CHUNK), CHUNK)
     prior = earlier_chunks()
     open_in = F.coalesce(F.last("last_step", ignorenulls=True).over(prior), F.lit(CLOSES))
@@ -201,7 +206,6 @@ def carry(marks: DataFrame, log: LogLines) -> DataFrame:
         "log_id", CHUNK, "open_in", "ends_carried",
         total_before(F.col("n_closed") + F.col("ends_carried")).alias("frame_base"),
         total_before(F.col("n_time")).alias("time_base"),
-        total_before(F.col("n_calls")).alias("call_base"),
     ).join(log.log_ends(), "log_id")
 
 
@@ -220,7 +224,6 @@ def attribute(marks: DataFrame, carried: DataFrame) -> DataFrame:
         ((F.col("line_class") == SWAP) & opened).alias("ends_frame"),
         (F.col("frame_base") + F.col("closed_here") + carried_end).alias("frame_num"),
         (F.col("time_base") + F.col("time_here")).alias("time_so_far"),
-        (F.col("call_base") + F.col("calls_here")).alias("call_ordinal"),
     )
 
 
@@ -228,7 +231,7 @@ def api_calls(rows: DataFrame) -> DataFrame:
     """Calls of aggregated logs, one row per log line."""
     return rows.filter("is_call").select(
         "log_id", "chunk_id", "frame_num", "line_num", "api_name", "call_count",
-        F.col("value").alias("time_us"), F.lit("").alias("raw_params"), "call_ordinal",
+        F.col("value").alias("time_us"), F.lit("").alias("raw_params"),
     )
 
 

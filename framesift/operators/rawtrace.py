@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.functions.lines import is_raw_frame_end, listed_ids, program_id, raw_calls
-from framesift.operators.scan import CHUNK, before, earlier_chunks, in_chunk, upto
+from framesift.operators.scan import CHUNK, before, earlier_chunks, in_chunk
 from framesift.sources.loglines import LogLines
 
 
 def mark(lines: DataFrame) -> DataFrame:
-    """Calls with counts of frame ends and calls inside their chunk; other lines are
+    """Calls with the number of frame ends before them in their chunk; other lines are
     dropped before the one shuffle, on the chunk."""
     w = in_chunk()
     ends = is_raw_frame_end(F.col("api_name"))
@@ -21,15 +21,14 @@ def mark(lines: DataFrame) -> DataFrame:
         .select(
             "*",
             F.coalesce(F.sum(F.col("ends_frame").cast("int")).over(before(w)), F.lit(0)).alias("ended_here"),
-            F.sum(F.col("is_call").cast("int")).over(upto(w)).alias("calls_here"),
         )
     )
 
 
 def carry(marks: DataFrame, log: LogLines) -> DataFrame:
-    """One row per chunk: frames ended and calls seen in the chunks before it."""
+    """One row per chunk: frames ended in the chunks before it."""
     totals = marks.groupBy(CHUNK).agg(
-        F.sum(F.col("ends_frame").cast("int")).alias("n_ended"), F.sum(F.col("is_call").cast("int")).alias("n_calls")
+        F.sum(F.col("ends_frame").cast("int")).alias("n_ended")
     )
     prior = earlier_chunks()
     return (
@@ -37,7 +36,6 @@ def carry(marks: DataFrame, log: LogLines) -> DataFrame:
         .select(
             "log_id", CHUNK,
             F.coalesce(F.sum("n_ended").over(prior), F.lit(0)).alias("frame_base"),
-            F.coalesce(F.sum("n_calls").over(prior), F.lit(0)).alias("call_base"),
         )
         .join(log.log_ends(), "log_id")
     )
@@ -48,7 +46,6 @@ def attribute(marks: DataFrame, carried: DataFrame) -> DataFrame:
     return marks.join(carried, CHUNK).select(
         "log_id", CHUNK, "line_num", "api_name", "raw_params", "is_call", "ends_frame", "last_line",
         (F.col("frame_base") + F.col("ended_here")).alias("frame_num"),
-        (F.col("call_base") + F.col("calls_here")).alias("call_ordinal"),
     )
 
 
@@ -56,7 +53,7 @@ def api_calls(rows: DataFrame) -> DataFrame:
     return rows.filter("is_call").select(
         "log_id", "chunk_id", "frame_num", "line_num", "api_name",
         F.lit(1).cast("bigint").alias("call_count"), F.lit(0).cast("bigint").alias("time_us"),
-        "raw_params", "call_ordinal",
+        "raw_params",
     )
 
 

@@ -102,8 +102,8 @@ def frame_range(frames: DataFrame, first: int, last: int) -> DataFrame:
 
 def rendered_calls(calls: DataFrame) -> DataFrame:
     """Call lines written anew, numbered by their place among the calls of the log."""
-    return calls.select(
-        "log_id", "chunk_id", F.col("call_ordinal").alias("line_num"),
+    return rank_in_log(calls, "ordinal").select(
+        "log_id", "chunk_id", F.col("ordinal").alias("line_num"),
         F.concat("api_name", F.lit(": count="), "call_count", F.lit(", time="), "time_us").alias("content"),
     )
 
