@@ -329,6 +329,11 @@ def shader_list_truncated(spark, d):
     return shaders.shader_list(parsed(spark, d, "shader").shaders)
 
 
+@query
+def shader_view(spark, d):
+    return shaders.shader_view(parsed(spark, d, "shader").shaders)
+
+
 @query
 def shader_previews(spark, d):
     return shaders.shader_previews(parsed(spark, d, "shader").shaders).drop("source")

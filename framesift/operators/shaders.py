@@ -14,6 +14,9 @@ from framesift.sources.loglines import LogLines
 LIST_SOURCE_CHARS = 2000
 CUT_NOTE = "\n[Source truncated]"
 PREVIEW_CHARS = 50
+# Fixed values of the expanded view.
+VIEW_SOURCE_CHARS = 50000
+VIEW_CUT_NOTE = "...[truncated]"
 
 
 def shaders(log: LogLines, shader: ShaderState, rows: DataFrame, frames: DataFrame) -> DataFrame:
@@ -82,23 +85,23 @@ def _joined(order: str, text: str) -> Column:
     return F.array_join(F.transform(ordered, lambda s: s[text]), "\n")
 
 
+def _cut(text: Column, n: int, note: str) -> Column:
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(note))).otherwise(text)
+
+
 def shader_list(shaders: DataFrame) -> DataFrame:
     """Shaders with sources cut to the length of the list view (in characters)."""
-    s = F.col("source")
-    return shaders.withColumn(
-        "source",
-        F.when(F.length(s) > LIST_SOURCE_CHARS, F.concat(F.substring(s, 1, LIST_SOURCE_CHARS), F.lit(CUT_NOTE)))
-        .otherwise(s),
-    )
+    return shaders.withColumn("source", _cut(F.col("source"), LIST_SOURCE_CHARS, CUT_NOTE))
+
+
+def shader_view(shaders: DataFrame) -> DataFrame:
+    """Shaders with sources cut to the length of the expanded view."""
+    return shaders.withColumn("source", _cut(F.col("source"), VIEW_SOURCE_CHARS, VIEW_CUT_NOTE))
 
 
 def shader_previews(shaders: DataFrame) -> DataFrame:
     """First characters of each source."""
-    s = F.col("source")
-    return shaders.withColumn(
-        "preview",
-        F.when(F.length(s) > PREVIEW_CHARS, F.concat(F.substring(s, 1, PREVIEW_CHARS), F.lit("..."))).otherwise(s),
-    )
+    return shaders.withColumn("preview", _cut(F.col("source"), PREVIEW_CHARS, "..."))
 
 
 def shader_call_class(name: Column) -> Column:

@@ -364,6 +364,8 @@ ORACLE: dict[str, str] = {
     "shader_sources": f"{SHADER} SELECT * FROM shaders",
     "shader_list_truncated": f"""{SHADER} SELECT * REPLACE (CASE WHEN length(source) > 2000
       THEN substr(source, 1, 2000) || chr(10) || '[Source truncated]' ELSE source END AS source) FROM shaders""",
+    "shader_view": f"""{SHADER} SELECT * REPLACE (CASE WHEN length(source) > 50000
+      THEN substr(source, 1, 50000) || '...[truncated]' ELSE source END AS source) FROM shaders""",
     "shader_previews": f"""{SHADER} SELECT log_id, frame_num, block_num, shader_id, command_line,
       CASE WHEN length(source) > 50 THEN substr(source, 1, 50) || '...' ELSE source END AS preview FROM shaders""",
     "raw_frames": f"{RAW} SELECT * FROM rframes",
@@ -392,6 +394,25 @@ ORACLE: dict[str, str] = {
       coalesce(api_call_count, 0) AS "APICallCount" FROM ends LEFT JOIN t USING (log_id)""",
     "export_search_text": f"""{AGG} SELECT '[' || line_num || '] ' || content AS value FROM ({_RENDERED})
       WHERE contains(lower(content), 'bind') AND contains(lower(content), 'count=3')""",
+    "log_json_lines": f"""{AGG}, logs AS ({_LOGS.format(kind="'apitrace'", ends="ends", frames="frames")}),
+      ff AS (SELECT log_id, min(frame_num) AS first_frame FROM frames GROUP BY log_id),
+      s AS (SELECT *, api_name = min(api_name) OVER (PARTITION BY log_id, frame_num) AS is_first FROM ({_SUMMARY})),
+      parts AS (SELECT unnest([2, 4, 6, 8, 10]) AS part, unnest(['],"APISummary":{{', '}},"Shaders":[', '],"Programs":null',
+        ',"BufferCreations":null', '}}']) AS value)
+      SELECT log_id, CAST(-1 AS BIGINT) AS frame_num, 0 AS part,
+        CASE frame_count WHEN 0 THEN '{{"Frames":null' ELSE '{{"Frames":[' END AS value FROM logs
+      UNION ALL SELECT log_id, 9223372036854775807, 0, CASE frame_count WHEN 0 THEN ',' ELSE '],' END || '"TotalTimeUs":'
+        || total_time_us || ',"FPS":' || fps || '}}' FROM logs
+      UNION ALL SELECT log_id, frame_num, 0, CASE WHEN frame_num > first_frame THEN ',' ELSE '' END || '{{"FrameNum":'
+        || frame_num || ',"StartLine":' || start_line || ',"EndLine":' || end_line || ',"TotalTimeUs":' || total_time_us
+        || ',"SwapBufferTimeUs":' || swap_time_us || ',"APITotalTimeUs":' || api_total_time_us || ',"APICalls":['
+        FROM frames JOIN ff USING (log_id)
+      UNION ALL SELECT c.log_id, c.frame_num, 1, CASE WHEN line_num = start_line THEN '' ELSE ',' END || '{{"APIName":"'
+        || api_name || '","Count":' || call_count || ',"TimeUs":' || time_us || ',"LineNum":' || line_num
+        || ',"RawParams":""}}' FROM calls c JOIN frames f ON f.log_id = c.log_id AND f.frame_num = c.frame_num
+      UNION ALL SELECT log_id, frame_num, 3, CASE WHEN is_first THEN '' ELSE ',' END || '"' || api_name || '":{{"APIName":"'
+        || api_name || '","Count":' || call_count || ',"TimeUs":' || time_us || '}}' FROM s
+      UNION ALL SELECT log_id, frame_num, part, value FROM frames, parts""",
     "frame_text": f"""{AGG} SELECT log_id, frame_num, p.part, CAST(0 AS BIGINT) AS line_num, CASE p.part
         WHEN 0 THEN 'Frame #' || frame_num WHEN 1 THEN 'Lines: ' || start_line || ' - ' || end_line
         WHEN 2 THEN 'Total Time: ' || total_time_us || ' us (' || printf('%.2f', total_time_us / CAST(1000 AS DOUBLE)) || ' ms)'

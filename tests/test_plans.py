@@ -41,5 +41,5 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_every_query_but_the_json_one_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"log_json_lines"}
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())
