@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.functions.lines import (
@@ -34,9 +34,10 @@ class ShaderState:
 
 def shader_state(log: LogLines) -> ShaderState | None:
     """State of the shader blocks; None if the corpus has no shader lines at all."""
-    fenced = small_side(log.chunks.filter("fenced").select(CHUNK), "fenced")
+    fenced = log.chunks.filter("fenced").select(CHUNK)
     if fenced.isEmpty():
         return None
+    fenced = small_side(fenced, "fenced")
     states = store(_states_in_chunk(log.lines.join(fenced, CHUNK, "left_semi")), "shader_states")
     return ShaderState(states, small_side(_starts(log.chunks, states), "shader_starts"))
 

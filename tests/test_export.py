@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from framesift.operators import export, search, stats
+from framesift.operators import export, stats
 from framesift.operators.shaders import shader_call_stats
 from framesift.plans import answers
 from framesift.plans.parse import parse_aggregated, parse_lines

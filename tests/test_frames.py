@@ -192,3 +192,28 @@ def test_profile_sample_file(spark, tmp_path):
     parsed = parse_files(spark, str(tmp_path / "p.txt"))
     assert frames_of(parsed) == [(0, 2, 7, 900, 3033, 0, 3)]
     assert parsed.logs().first().fps == 8.9
+
+
+def test_results_without_broadcast_are_the_same(spark, tmp_path, monkeypatch):
+    from framesift import session
+
+    rng = random.Random(8)
+    body = [rng.choice(PIECES) for _ in range(1500)]
+    (tmp_path / "a.txt").write_text("\n".join(body))
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1kb")
+    try:
+        parsed = parse_files(spark, str(tmp_path))
+        want, want_shaders = reference_rules.aggregated(body)
+        assert frames_of(parsed) == want
+        assert parsed.shaders.count() == len(want_shaders)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_split_layout_is_pinned(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("glA: count=1, time=5 us\n")
+    read_lines(spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.files.minPartitionNum")) >= 1
