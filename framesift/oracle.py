@@ -213,7 +213,7 @@ _SUMMARY = """SELECT log_id, frame_num, api_name, CAST(sum(call_count) AS BIGINT
 _FRAME_SUMMARY = """SELECT log_id, count(*) AS total_frames, max(total_time_us) AS max_time_us,
   min(total_time_us) AS min_time_us, CAST(sum(total_time_us) AS BIGINT) AS {total},
   CAST(sum(total_time_us) AS BIGINT) // count(*) AS avg_time_us FROM frames GROUP BY log_id"""
-_TOP = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY total_time_us DESC, frame_num) AS place
+_TOP = """SELECT * REPLACE (CAST(place AS INTEGER) AS place) FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY total_time_us DESC, frame_num) AS place
   FROM frames) WHERE place <= {n}"""
 _SLOWEST = """SELECT log_id, frame_num, api_name, time_us, line_num, api_call_count FROM (
   SELECT *, row_number() OVER (PARTITION BY log_id, frame_num ORDER BY time_us DESC, line_num) AS r,
@@ -434,7 +434,7 @@ ORACLE: dict[str, str] = {
         FROM shaders),
       p AS (SELECT log_id, block_num, CASE WHEN is_first THEN ['Shader ID: ' || shader_id, repeat('-', 50), source]
         ELSE ['', repeat('=', 50), '', 'Shader ID: ' || shader_id, repeat('-', 50), source] END AS parts FROM n)
-      SELECT log_id, block_num, i - 1 AS part, parts[i] AS value
+      SELECT log_id, block_num, CAST(i - 1 AS INTEGER) AS part, parts[i] AS value
       FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p)""",
     "text_source_calls": f"""WITH {TRACE_LINES} SELECT {_CLASS} AS line_class,
       CASE WHEN {_CLASS} = 'call' THEN regexp_extract(content, '^(\\w+)', 1) END AS api_name, count(*) AS n,

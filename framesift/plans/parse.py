@@ -108,7 +108,7 @@ def parse_lines(log: LogLines, head_lines: int = kind_ops.HEAD_LINES) -> ParsedL
 
     Logs of an unknown kind are read with the aggregated grammar.
     """
-    kinds = small_side(kind_ops.detect_kinds(log.lines, head_lines), "kinds")
+    kinds = small_side(kind_ops.kinds_of(log, head_lines), "kinds")
     raw, other = kinds.filter(F.col("kind") == RAWTRACE), kinds.filter(F.col("kind") != RAWTRACE)
     # With one grammar only, the text is not read for the other.
     if raw.isEmpty():

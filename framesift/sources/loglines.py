@@ -40,6 +40,8 @@ class LogLines:
 
     lines: DataFrame
     chunks: DataFrame
+    # What the first chunk of each log tells of its kind, if the source noted it.
+    heads: DataFrame | None = None
 
     @staticmethod
     def of(lines: DataFrame) -> LogLines:

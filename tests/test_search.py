@@ -182,3 +182,24 @@ def test_frame_pages_and_times(log_of):
     assert search.frame_page(frames, 4).count() == 0
     assert search.page_info(frames, 4).first()[1:] == (120, 1, 50)
     assert stats.frame_ms(frames.filter("frame_num = 7")).first()[2:] == (0.007, 0.001, 0.006)
+
+
+def test_kinds_of_files_in_splits_of_any_size(spark, tmp_path):
+    from framesift.sources.text import read_lines
+
+    logs = {
+        "late": ["x"] * 60 + ["glGenBuffers 1"], "early": ["", "glGenBuffers 1"] + ["1 frame cost 2ms"] * 80,
+        "agg": ["[1:2:3 a] 1 frame cost 2ms", "", "glGenBuffers 1"], "profile": ["<<other>>", "glGenBuffers 1"],
+        "none": ["hello"] * 3,
+    }
+    for name, body in logs.items():
+        (tmp_path / f"{name}.txt").write_text("\r\n".join(body))
+    want = {"late": "unknown", "early": "rawtrace", "agg": "apitrace", "profile": "profile", "none": "unknown"}
+    for split in ("64b", "128mb"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        log = read_lines(spark, str(tmp_path))
+        found = {r.log_id.rsplit("/", 1)[1][:-4]: r.kind for r in kinds.kinds_of(log).collect()}
+        assert found == want, split
+        late = {r.log_id.rsplit("/", 1)[1][:-4]: r.kind for r in kinds.kinds_of(log, 100).collect()}
+        assert late == {**want, "late": "rawtrace"}
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
