@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesift.llm import mixing
+from framesift.llm import mixing, quality_rules
 from framesift.llm.common import table
 from pyspark.sql import functions as F
 
@@ -12,7 +12,13 @@ def op2_mixing(spark, folder):
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing,)}
+def op10_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    rows = quality_rules.judged(docs, table(spark, folder, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op10_quality_rules)}
 
 _OP2 = r"""
 WITH sized AS (
