@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from framesift.llm import mixing, quality_rules
+import public_tokenizers
+from framesift.llm import mixing, quality_rules, token_files, tokens
 from framesift.llm.common import table
 from pyspark.sql import functions as F
 
@@ -18,7 +19,19 @@ def op10_quality_rules(spark, folder):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op10_quality_rules)}
+def op6_token_counts(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = tokens.token_prefixes(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"))
+
+
+def op8_token_files(spark, folder):
+    path = token_files.new_path(spark)
+    token_files.write_tokens(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.token_digests(token_files.read_tokens(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op6_token_counts, op8_token_files, op10_quality_rules)}
 
 _OP2 = r"""
 WITH sized AS (
