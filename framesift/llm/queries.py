@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from framesift.llm import mixing, quality_rules, token_files, tokens
+from framesift.llm import decontamination, mixing, quality_rules, token_files, tokens
 from framesift.llm.common import table
 from pyspark.sql import functions as F
 
@@ -19,6 +19,15 @@ def op10_quality_rules(spark, folder):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_decontamination(spark, folder):
+    docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    rows = decontamination.judged(decontamination.matches(docs, items))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op6_token_counts(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = tokens.token_prefixes(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -31,7 +40,7 @@ def op8_token_files(spark, folder):
     return token_files.token_digests(token_files.read_tokens(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op6_token_counts, op8_token_files, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_decontamination, op6_token_counts, op8_token_files, op10_quality_rules)}
 
 _OP2 = r"""
 WITH sized AS (
