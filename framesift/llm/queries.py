@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from framesift.llm import decontamination, mixing, quality_rules, token_files, tokens
+from framesift.llm import decontamination, jaccard_join, mixing, quality_rules, token_files, tokens
 from framesift.llm.common import table
 from pyspark.sql import functions as F
 
@@ -19,6 +19,11 @@ def op10_quality_rules(spark, folder):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_jaccard_join(spark, folder):
+    rows = jaccard_join.joined(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_decontamination(spark, folder):
     docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
     rows = decontamination.judged(decontamination.matches(docs, items))
@@ -40,7 +45,7 @@ def op8_token_files(spark, folder):
     return token_files.token_digests(token_files.read_tokens(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_decontamination, op6_token_counts, op8_token_files, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op5_decontamination, op6_token_counts, op8_token_files, op10_quality_rules)}
 
 _OP2 = r"""
 WITH sized AS (
