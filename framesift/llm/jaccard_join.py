@@ -34,6 +34,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from framesift.llm.bits import bit_table, maybe
 from framesift.llm.common import BLANKS, Powers, grams, keyed, mix64, text_bytes, words_of
 from framesift.llm.components import components
 from framesift.session import store
@@ -44,7 +45,6 @@ N = 4
 #: Two sets link when NUMERATOR / 100 of their union is shared.
 NUMERATOR = 85
 SKETCH_SLOTS = 1 << 18
-FILTER_WORDS = 1 << 18
 SLICE_SHINGLES = 400_000
 LEAST_SLICES = 48
 PAIRS_AT_ONCE = 200_000
@@ -252,23 +252,11 @@ def _pairs(prefixes: DataFrame, everything: bool) -> DataFrame:
     return prefixes.groupBy("slice").applyInArrow(_slice_pairs(everything), "a bigint, b bigint").distinct()
 
 
-def _wanted_bits(ids: DataFrame) -> np.ndarray:
-    """Bit table of fixed size of the documents wanted; may have false hits, never misses."""
-    hashed = ids.select(F.xxhash64(F.lit(2), "doc_id", "key").alias("h"))
-    words = hashed.select(F.expr(f"h & {FILTER_WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 40) & 63 as int))").alias("bit"))
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        bits[row["word"]] = row["bits"]
-    return bits
-
-
 def _wanted_sets(shared):
     def run(batches):
         bits, powers = shared.value, Powers()
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            keep = (bits[h & (FILTER_WORDS - 1)] >> ((h >> 40) & 63)) & 1
-            batch = batch.filter(pa.array(keep == 1))
+            batch = batch.filter(pa.array(maybe(bits, batch.column("h").to_numpy())))
             names, sets = [], []
             for values in shingle_sets(batch, powers):
                 names.append(_digest(values))
@@ -294,7 +282,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     pairs = store(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
     ids = store(owners.join(wanted, F.col("set") == F.col("s"), "left_semi"), "wanted")
-    bits = spark.sparkContext.broadcast(_wanted_bits(ids))
+    bits = spark.sparkContext.broadcast(bit_table(ids, F.xxhash64(F.lit(2), "doc_id", "key")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = keyed(docs).withColumn("h", F.xxhash64(F.lit(2), "doc_id", "key"))
     sets = read.mapInArrow(_wanted_sets(bits), f"doc_id {kind}, key bigint, set bigint, shingles binary")

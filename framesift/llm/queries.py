@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from framesift.llm import decontamination, jaccard_join, mixing, quality_rules, token_files, tokens
+from framesift.llm import decontamination, jaccard_join, mixing, quality_rules, substring_dedup, token_files, tokens
 from framesift.llm.common import table
 from pyspark.sql import functions as F
 
@@ -39,13 +39,18 @@ def op6_token_counts(spark, folder):
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"))
 
 
+def op7_suffix_dedup(spark, folder):
+    rows = substring_dedup.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_files(spark, folder):
     path = token_files.new_path(spark)
     token_files.write_tokens(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), path)
     return token_files.token_digests(token_files.read_tokens(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op5_decontamination, op6_token_counts, op8_token_files, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op5_decontamination, op6_token_counts, op7_suffix_dedup, op8_token_files, op10_quality_rules)}
 
 _OP2 = r"""
 WITH sized AS (
