@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import public_tokenizers
-from framesift.llm import decontamination, jaccard_join, mixing, quality_rules, substring_dedup, token_files, tokens
+from framesift.llm import decontamination, jaccard_join, language_model, line_dedup, mixing, quality_rules, substring_dedup, token_files, tokens, toxicity
 from framesift.llm.common import table
 from pyspark.sql import functions as F
 
 
+def op1_line_dedup(spark, folder):
+    rows = line_dedup.without_later_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return rows.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), "text")
+
+
 def op2_mixing(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_language_model(spark, folder):
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text", "lang"), table(spark, folder, "labels")
+    return language_model.classified(docs, labels).select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "kept")
+
+
 def op10_quality_rules(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     rows = quality_rules.judged(docs, table(spark, folder, "labels"))
@@ -24,6 +35,11 @@ def op3_jaccard_join(spark, folder):
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    return toxicity.scored(docs, toxicity.learn(docs, labels))
+
+
 def op5_decontamination(spark, folder):
     docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
     rows = decontamination.judged(decontamination.matches(docs, items))
@@ -50,7 +66,13 @@ def op8_token_files(spark, folder):
     return token_files.token_digests(token_files.read_tokens(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op5_decontamination, op6_token_counts, op7_suffix_dedup, op8_token_files, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_mixing, op3_jaccard_join, op4_toxicity, op5_decontamination,
+        op6_token_counts, op7_suffix_dedup, op8_token_files, op9_language_model, op10_quality_rules,
+    )
+}
 
 _OP2 = r"""
 WITH sized AS (
@@ -82,4 +104,22 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLE = {"op2_mixing": _OP2}
+_OP1 = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS unit FROM docs),
+normal AS (
+  SELECT doc_id, unit, line,
+         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM lines),
+ranked AS (
+  SELECT *, norm <> '' AND length(norm) - length(replace(norm, ' ', '')) >= 4
+            AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) > 1 AS gone
+  FROM normal)
+SELECT doc_id, count(*)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
+       coalesce(string_agg(start || '-' || (start + length(line)), ',' ORDER BY unit) FILTER (gone), '') AS removed_spans,
+       coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS text
+FROM ranked GROUP BY doc_id
+"""
+
+ORACLE = {"op1_line_dedup": _OP1, "op2_mixing": _OP2}
