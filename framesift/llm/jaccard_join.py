@@ -295,7 +295,10 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, n_shingles, component_id`` of every row."""
+    """``doc_id, key, n_shingles, component_id, root`` of every row.
+
+    ``root`` names the component by a set and is null for documents without words.
+    """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = store(keyed(docs).mapInArrow(_scan, f"doc_id {kind}, key bigint, set bigint, n bigint, slot int"), "scanned")
@@ -313,8 +316,8 @@ def joined(docs: DataFrame) -> DataFrame:
     more = verified(_pairs(grouped, True), docs, owners)
     roots = store(components(links.union(more)), "roots")
 
-    placed = rows.join(roots, (F.col("set") == F.col("node")) & (F.col("n") > 0), "left").withColumn("root", F.coalesce("root", "set"))
+    placed = rows.join(roots, (F.col("set") == F.col("node")) & (F.col("n") > 0), "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "set")))
     named = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r")
     return placed.join(named, (F.col("root") == F.col("r")) & (F.col("n") > 0), "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root"
     )

@@ -136,5 +136,10 @@ def token_digests(files: DataFrame) -> DataFrame:
     return sums.join(token_starts(files), ["part", "pos"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def token_rows(files: DataFrame) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` of every document."""
+    return files.join(token_starts(files), ["part", "pos"]).select("doc_id", "start", "n_tokens", "ids")
+
+
 def new_path(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/tokens-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
