@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from framesift.llm.common import text_of
 from framesift.session import store
 from pyspark.sql import Column, DataFrame
@@ -131,16 +131,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
     return store(chosen.select("text", "toxic"), "toxicity_training")
 
 
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parts(batches):
     """The distinct word beginnings and words of each document."""
     for batch in batches:
         parts, toxic = [], []
-        for text, label in zip(batch["text"], batch["toxic"]):
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = set(fold(text).split())
             own = {f" {w} " for w in words if len(w) >= BEGINNINGS[0]} | {f" {w[:n]}" for w in words for n in BEGINNINGS if len(w) >= n}
             parts += own
             toxic += [label] * len(own)
-        yield pd.DataFrame({"part": parts, "toxic": toxic})
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(toxic, pa.int32())], ["part", "toxic"])
 
 
 def _phrases(lexicon: Lexicon):
@@ -149,7 +149,7 @@ def _phrases(lexicon: Lexicon):
     def run(batches):
         for batch in batches:
             phrases, toxic = [], []
-            for text, label in zip(batch["text"], batch["toxic"]):
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 folded, own = fold(text), set()
                 for start, _ in lexicon.found(folded):
                     end = folded.index(" ", start + 1)
@@ -159,7 +159,7 @@ def _phrases(lexicon: Lexicon):
                         own.add(folded[start : folded.index(" ", end + 1) + 1])
                 phrases += own
                 toxic += [label] * len(own)
-            yield pd.DataFrame({"part": phrases, "toxic": toxic})
+            yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(toxic, pa.int32())], ["part", "toxic"])
 
     return run
 
@@ -167,8 +167,9 @@ def _phrases(lexicon: Lexicon):
 def _features(lexicon: Lexicon):
     def run(batches):
         for batch in batches:
-            values = [lexicon.features(t) for t in batch["text"]]
-            yield pd.DataFrame({"x": [v[0] for v in values], "y": [v[1] for v in values], "toxic": batch["toxic"]})
+            values = [lexicon.features(t) for t in batch.column("text").to_pylist()]
+            numbers = [pa.array([v[i] for v in values], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*numbers, batch.column("toxic").cast(pa.int32())], ["x", "y", "toxic"])
 
     return run
 
@@ -193,24 +194,24 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, excepti
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad:
         return Lexicon({})
-    counts = training.mapInPandas(_parts, "part string, toxic int").groupBy("part").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    counts = training.mapInArrow(_parts, "part string, toxic int").groupBy("part").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     best = counts.withColumn("weight", weight).filter((F.col("bad") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT))
     terms = {r["part"]: r["weight"] for r in best.orderBy(F.desc("bad"), F.desc("weight"), "part").limit(MAX_TERMS).collect()}
     # A term that goes on from another one finds no further words.
     terms = {t: w for t, w in terms.items() if not any(t[:n] in terms for n in range(2, len(t)))}
     lexicon = Lexicon(terms, spared)
-    phrases = training.mapInPandas(_phrases(lexicon), "part string, toxic int").groupBy("part").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    phrases = training.mapInArrow(_phrases(lexicon), "part string, toxic int").groupBy("part").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     harmless = phrases.filter((F.col("bad") == 0) & (F.col("good") >= EXCEPTION_DOCS)).orderBy(F.desc("good"), "part").limit(MAX_TERMS)
     lexicon = Lexicon(terms, spared + tuple(r["part"] for r in harmless.collect()))
-    fitted = training.mapInPandas(_features(lexicon), "x double, y double, toxic int").toPandas()
+    fitted = training.mapInArrow(_features(lexicon), "x double, y double, toxic int").toPandas()
     return Lexicon(terms, lexicon.exceptions, _fit(fitted["x"].to_numpy(), fitted["y"].to_numpy(), fitted["toxic"].to_numpy(float)))
 
 
 def score_column(lexicon: Lexicon, text: str = "text") -> Column:
     @F.pandas_udf("double")
     def toxicity(texts: pd.Series) -> pd.Series:
-        return texts.map(lexicon.score)
+        return pd.Series([lexicon.score(t) for t in texts], dtype="float64")
 
     return toxicity(text_of(text))
 
