@@ -310,7 +310,9 @@ def export(df: DataFrame, kind: str, fmt: str, path: str, calls: DataFrame | Non
     if kind not in HEADINGS:
         raise ValueError(f"unsupported data type for export: {kind}")
     if fmt == "csv":
-        headed(df, kind).write.option("header", True).option("escape", '"').csv(path)
+        # Blanks at both ends belong to the texts.
+        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        headed(df, kind).write.options(header=True, escape='"', **blanks).csv(path)
     elif fmt == "json":
         headed(df, kind).write.json(path)
     else:

@@ -103,12 +103,21 @@ def parse_raw(log: LogLines, kinds: DataFrame | None = None) -> ParsedLogs:
     )
 
 
+#: More lines than any log has.
+ALL_LINES = 2**62
+
+
 def parse_lines(log: LogLines, head_lines: int = kind_ops.HEAD_LINES) -> ParsedLogs:
     """Detect the grammar of every log and parse each with its own.
 
-    Logs of an unknown kind are read with the aggregated grammar.
+    A log whose first lines decide nothing is decided from all of its lines. Logs that
+    stay unknown are read with the aggregated grammar.
     """
     kinds = small_side(kind_ops.kinds_of(log, head_lines), "kinds")
+    unknown = kinds.filter(F.col("kind") == kind_ops.UNKNOWN)
+    if not unknown.isEmpty():
+        late = kind_ops.detect_kinds(log.only(unknown).lines, ALL_LINES).withColumnRenamed("kind", "late")
+        kinds = small_side(kinds.join(late, "log_id", "left").select("log_id", F.coalesce("late", "kind").alias("kind")), "kinds")
     raw, other = kinds.filter(F.col("kind") == RAWTRACE), kinds.filter(F.col("kind") != RAWTRACE)
     # With one grammar only, the text is not read for the other.
     if raw.isEmpty():

@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is joined by broadcast only up to this measured size; larger ones are joined by
-# shuffle. One row per 128 MB split of 100 TB of text is about 170 MB.
-BROADCAST_BYTES = 512 * 2**20
+# A side is joined by broadcast only up to this measured size, as several may be held at a
+# time; larger ones are joined by shuffle.
+BROADCAST_BYTES = 128 * 2**20
 SCALAR_BYTES = 16
 
 _local_roots: dict[str, tempfile.TemporaryDirectory] = {}
