@@ -15,7 +15,8 @@ then the hash). Two sets of similarity 0.85 must share a shingle within their fi
   of near copies with few pairs. Verified links give components. Then whatever pairs of
   different components still share a shingle are all tested, so no link between
   components is lost; pairs inside a component would not change it.
-* Pairs are verified on the full sets. Only documents that occur in pairs are read again,
+* Pairs are verified on the full sets, after a look at signatures of parity bits that
+  bound from below in how many shingles two sets differ. Only documents that occur in pairs are read again,
   told by a bit table of fixed size, whose false hits the join removes.
 
 Copies with equal sets count once from the first pass on. Sets are named by 64-bit
@@ -48,6 +49,7 @@ SKETCH_SLOTS = 1 << 18
 SLICE_SHINGLES = 400_000
 LEAST_SLICES = 48
 PAIRS_AT_ONCE = 200_000
+LEAST_BITS = 256
 
 _ENTRY = np.dtype([("shingle", "<u8"), ("place", "<i4")])
 
@@ -74,6 +76,23 @@ def shingle_sets(batch, powers: Powers, n: int = N):
             yield words[:0]
 
 
+def _signature(values: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each bit; as many bits as shingles, rounded up to a power of two."""
+    bits = max(LEAST_BITS, 1 << (len(values) - 1).bit_length()) if len(values) else LEAST_BITS
+    hit = np.bincount((values >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits((hit & 1).astype(bool)).tobytes()
+
+
+def least_difference(left: bytes, right: bytes) -> int:
+    """In how many shingles two sets differ at least; the longer signature is folded."""
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _digest(values: np.ndarray) -> int:
     return int(np.int64(mix64(np.array([mix64(values).sum(dtype=np.uint64) + np.uint64(len(values))]))[0].astype(np.int64)))
 
@@ -82,21 +101,20 @@ def _scan(batches):
     """A row for each document (n, set), and at the end rows of the task's sketch (slot, n)."""
     powers, sketch = Powers(), np.zeros(SKETCH_SLOTS, np.int64)
     for batch in batches:
-        sizes, names = [], []
+        sizes, names, signatures = [], [], []
         for values in shingle_sets(batch, powers):
             sizes.append(len(values))
             names.append(_digest(values))
-            sketch += np.bincount((values & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64), minlength=SKETCH_SLOTS) if len(values) > 50_000 else 0
-            if len(values) <= 50_000:
-                np.add.at(sketch, (values & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64), 1)
+            signatures.append(_signature(values))
+            np.add.at(sketch, (values & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64), 1)
         none = pa.nulls(len(batch), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), none], ["doc_id", "key", "set", "n", "slot"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), none, pa.array(signatures, pa.binary())], ["doc_id", "key", "set", "n", "slot", "signature"])
         kind = batch.column("doc_id").type
     some = np.flatnonzero(sketch)
     if len(some):
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(sketch[some]), pa.array(some, pa.int32())],
-            ["doc_id", "key", "set", "n", "slot"],
+            [pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(sketch[some]), pa.array(some, pa.int32()), pa.nulls(len(some), pa.binary())],
+            ["doc_id", "key", "set", "n", "slot", "signature"],
         )
 
 
@@ -220,21 +238,22 @@ class Trie:
                     yield records[x[later]], records[y[later]]
 
 
-def _slice_pairs(everything: bool):
+def _meetings(everything: bool):
+    """Pairs (a, b) of a slice; the first round also hands on the lists, without lone shingles."""
+
     def run(table: pa.Table) -> pa.Table:
         names, first = np.unique(table.column("set").to_numpy(), return_index=True)
         sizes = table.column("n").to_numpy()[first].astype(np.int64)
         groups = table.column("component").to_numpy()[first]
         raw = table.column("list").take(pa.array(first)).to_pylist()
-        lengths = np.array([len(x) // _ENTRY.itemsize for x in raw])
         entries = np.frombuffer(b"".join(raw), _ENTRY)
         _, back, counts = np.unique(entries["shingle"], return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(names)), lengths)
+        owner = np.repeat(np.arange(len(names)), [len(x) // _ENTRY.itemsize for x in raw])
         shared = counts[back] > 1
-        owner, shingles, places = owner[shared], back[shared].tolist(), entries["place"][shared].tolist()
-        cuts = np.append(0, np.flatnonzero(np.diff(owner)) + 1).tolist() if len(owner) else []
-        lists = ((int(owner[a]), zip(shingles[a:b], places[a:b])) for a, b in pairwise([*cuts, len(owner)]))
-        trie = Trie(sizes, groups, lists)
+        owner, entries, shingles = owner[shared], entries[shared], back[shared].tolist()
+        places = entries["place"].tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)] if len(owner) else []
+        trie = Trie(sizes, groups, ((int(owner[a]), zip(shingles[a:b], places[a:b])) for a, b in pairwise(cuts)))
         found, size = [np.zeros((2, 0), np.int64)], 0
         for pair in trie.all_pairs() if everything else trie.leader_pairs():
             found.append(np.stack(pair).astype(np.int64))
@@ -243,13 +262,33 @@ def _slice_pairs(everything: bool):
                 found, size = [np.unique(np.concatenate(found, axis=1), axis=1)], 0
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         a, b = names[a], names[b]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        pairs = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        if everything:
+            return pairs
+        members = owner[cuts[:-1]] if len(owner) else owner
+        lists = [entries[x:y].tobytes() for x, y in pairwise(cuts)]
+        slice_num = table.column("slice")[0].as_py()
+        kept = {"slice": pa.array([slice_num] * len(lists), pa.int32()), "set": pa.array(names[members], pa.int64()), "n": pa.array(sizes[members], pa.int32()), "list": pa.array(lists, pa.binary())}
+        return pa.concat_tables([
+            pa.table({**{c: pairs[c] for c in "ab"}, **{c: pa.nulls(len(a), v.type) for c, v in kept.items()}}),
+            pa.table({**{c: pa.nulls(len(lists), pa.int64()) for c in "ab"}, **kept}),
+        ])
 
     return run
 
 
-def _pairs(prefixes: DataFrame, everything: bool) -> DataFrame:
-    return prefixes.groupBy("slice").applyInArrow(_slice_pairs(everything), "a bigint, b bigint").distinct()
+def _unlike(batches):
+    """Pairs whose signatures allow the similarity: bits that differ are shingles that differ."""
+    for batch in batches:
+        n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+        differ = np.array([least_difference(x, y) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())], np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(differ <= n + m - 2 * needed_overlap(n, m)))
+
+
+def _by_signature(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    left = owners.select(F.col("set").alias("a"), "n", F.col("signature").alias("left"))
+    right = owners.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("signature").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(_unlike, "a bigint, b bigint")
 
 
 def _wanted_sets(shared):
@@ -277,9 +316,9 @@ def _similar(batches):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs of sets that link. ``owners``: set, doc_id, key of one document per set."""
+    """The pairs of sets that link. ``owners``: set, n, signature, doc_id, key of one document per set."""
     spark = docs.sparkSession
-    pairs = store(pairs, "pairs")
+    pairs = store(_by_signature(pairs, owners), "pairs")
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
     ids = store(owners.join(wanted, F.col("set") == F.col("s"), "left_semi"), "wanted")
     bits = spark.sparkContext.broadcast(bit_table(ids, F.xxhash64(F.lit(2), "doc_id", "key")))
@@ -301,19 +340,21 @@ def joined(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = store(keyed(docs).mapInArrow(_scan, f"doc_id {kind}, key bigint, set bigint, n bigint, slot int"), "scanned")
+    scanned = store(keyed(docs).mapInArrow(_scan, f"doc_id {kind}, key bigint, set bigint, n bigint, slot int, signature binary"), "scanned")
     rows = scanned.filter("slot IS NULL")
     full = rows.filter("n > 0")
-    owners = store(full.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("o"), F.first("n").alias("n")).select("set", "n", "o.doc_id", "o.key"), "owners")
+    owners = store(full.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("o"), F.first("n").alias("n"), F.first("signature").alias("signature")).select("set", "n", "signature", "o.doc_id", "o.key"), "owners")
     shingles = owners.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUMERATOR / 100) + 1)).first()[0] or 0
     slices = max(LEAST_SLICES, int(shingles) // SLICE_SHINGLES)
     classes = spark.sparkContext.broadcast(frequency_classes(scanned))
-    prefixes = store(keyed(docs).mapInArrow(_prefixes(classes, slices), "slice int, set bigint, n int, list binary"), "prefixes")
-
-    links = store(verified(_pairs(prefixes.withColumn("component", F.col("set")), False), docs, owners), "leader_links")
+    prefixes = keyed(docs).mapInArrow(_prefixes(classes, slices), "slice int, set bigint, n int, list binary")
+    alone = prefixes.withColumn("component", F.col("set"))
+    met = store(alone.groupBy("slice").applyInArrow(_meetings(False), "a bigint, b bigint, slice int, set bigint, n int, list binary"), "met")
+    links = store(verified(met.filter("a IS NOT NULL").select("a", "b").distinct(), docs, owners), "leader_links")
     roots = components(links)
+    prefixes = met.filter("a IS NULL").drop("a", "b")
     grouped = prefixes.join(roots, F.col("set") == F.col("node"), "left").select("slice", "set", "n", "list", F.coalesce("root", "set").alias("component"))
-    more = verified(_pairs(grouped, True), docs, owners)
+    more = verified(grouped.groupBy("slice").applyInArrow(_meetings(True), "a bigint, b bigint").distinct(), docs, owners)
     roots = store(components(links.union(more)), "roots")
 
     placed = rows.join(roots, (F.col("set") == F.col("node")) & (F.col("n") > 0), "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "set")))
