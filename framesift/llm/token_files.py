@@ -9,8 +9,11 @@ documents opens only their pages.
 Where a document starts in the whole sequence is a distributed prefix sum over the files'
 metadata: inside each written partition, then over one row per partition.
 
-Encoding is by words between blanks, which the tokenizer never joins; each worker keeps
-the ids of the words it has seen, up to ``CACHE_WORDS``.
+Encoding is by words between blanks, which the tokenizer never joins. Each worker keeps the
+ids of the words it has seen, up to two generations of ``CACHE_WORDS`` and those of one batch;
+forgetting costs time and changes nothing. New words of Latin letters and ASCII signs are
+split and lower-cased here and go to the merge model directly, if the file states the rules in
+``WORD_RULES``; all other words, and all words of other files, take the whole tokenizer.
 
 Defined cases: null texts are empty and consist of the end id alone; null ids sort last;
 equal ids are ordered by their text's hash, and equal rows each get their own place in
@@ -19,19 +22,46 @@ an arbitrary order; an empty table gives no rows; further columns are not looked
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from framesift.llm.common import keyed
+from framesift.llm.tokens import byte_letters
 from framesift.session import shared_root
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END_ID = 1
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
+#: The normaliser and the splitting under which Latin words are split here.
+WORD_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed", "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Signs of ASCII but the apostrophe, and the letters of Latin-1 and Latin Extended-A whose
+#: lower case is one composed letter.
+LATIN_WORD = re.compile("[!-&(-~À-ÖØ-öø-įı-ſ]+")
+LATIN_PIECE = re.compile("[a-zß-öø-ſ]+|[0-9]|[!-/:-`{-~]+")
 ROW_GROUP_BYTES = 16 * 2**20
 PAGE_BYTES = 256 * 2**10
 WRITING = {
@@ -47,24 +77,49 @@ class WordEncoder:
     """Ids of whole texts, from the ids of their words between blanks."""
 
     def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.ids: dict[str, bytes] = {"": b""}
+        rules = json.loads(self.tokenizer.to_str())
+        self.latin = all(rules[k] == v for k, v in WORD_RULES.items())
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
+        self.letters = dict(enumerate(byte_letters()))
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
         new = words.difference(self.ids)
         if len(self.ids) + len(new) > CACHE_WORDS:
-            # Words of the batch stay, all others are forgotten.
-            self.ids = {"": b""} | {w: self.ids[w] for w in words - new}
-        new = list(new)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
+            self.ids, self.older, new = {}, self.ids, words
+        known = {w: self.older[w] for w in new if w in self.older}
+        self.ids |= known
+        self._learn(new.difference(known))
+        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+
+    def _learn(self, words: set[str]) -> None:
+        others = []
+        for word in words:
+            if self.latin and LATIN_WORD.fullmatch(word) and not self.special.search(word):
+                self.ids[word] = b"".join([self.pieces.get(p) or self._piece(p) for p in LATIN_PIECE.findall(word.lower())])
+            else:
+                others.append(word)
+        for i in range(0, len(others), 10_000):
+            part = others[i : i + 10_000]
             for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
                 self.ids[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        if len(self.pieces) >= CACHE_WORDS:
+            self.pieces = {}
+        self.pieces[piece] = ids
+        return ids
 
 
 @cache

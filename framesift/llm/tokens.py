@@ -47,7 +47,7 @@ _CHUNK = regex.compile(r"(?<=\P{White_Space})(?= \P{White_Space})")
 _ODD_BLANKS = regex.compile(r" \p{White_Space}|\p{White_Space} ")
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies."""
     shown = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
     hidden = iter(range(256, 512))
@@ -66,7 +66,7 @@ class PrefixCounter:
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special_strings = special
         self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
-        self.letters = dict(enumerate(_byte_letters()))
+        self.letters = dict(enumerate(byte_letters()))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.states: dict[str, tuple[int, str]] = {}
         self.pieces: dict[str, list[int]] = {}
