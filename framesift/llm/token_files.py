@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END_ID = 1
-CACHE_WORDS = 250_000
+CACHE_WORDS = 350_000
 #: The normaliser and the splitting under which Latin words are split here.
 WORD_RULES = {
     "normalizer": {
@@ -103,11 +103,16 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         others = []
+        # One look at all new words tells whether any needs a look of its own.
+        special = self.special.search if self.special.search(" ".join(words)) else None
         for word in words:
-            if self.latin and LATIN_WORD.fullmatch(word) and not self.special.search(word):
-                self.ids[word] = b"".join([self.pieces.get(p) or self._piece(p) for p in LATIN_PIECE.findall(word.lower())])
-            else:
+            ids = self.pieces.get(word.lower()) if special is None else None
+            if ids is None and self.latin and LATIN_WORD.fullmatch(word) and not (special and special(word)):
+                ids = b"".join([self.pieces.get(p) or self._piece(p) for p in LATIN_PIECE.findall(word.lower())])
+            if ids is None:
                 others.append(word)
+            else:
+                self.ids[word] = ids
         for i in range(0, len(others), 10_000):
             part = others[i : i + 10_000]
             for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
