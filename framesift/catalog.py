@@ -93,7 +93,8 @@ def frame_page(spark, d):
 
 @query
 def frame_page_info(spark, d):
-    return search.page_info(parsed(spark, d, "agg").frames, 3, 5)
+    p = parsed(spark, d, "agg")
+    return search.page_info(p.frames, 3, 5, p.facts)
 
 
 @query
@@ -131,7 +132,7 @@ def frame_boundary_lines(spark, d):
 @query
 def line_classes(spark, d):
     log = classify(lines(spark, d, "agg").lines, "log_id")
-    return log.groupBy("log_id", "line_class").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return log.groupBy("log_id", "line_class").agg(F.count("*").alias("n"), F.try_sum("value").alias("value"))
 
 
 # Functions.
@@ -256,7 +257,8 @@ def keyword_page_from_zero(spark, d):
 
 @query
 def keyword_page_info(spark, d):
-    return search.page_info(_matches(spark, d), 2, 2)
+    logs = views.text_lines(spark, d).select("log_id").distinct()
+    return search.page_info(_matches(spark, d), 2, 2, logs)
 
 
 @query
@@ -422,6 +424,13 @@ def export_shaders_csv(spark, d):
     return spark.read.csv(path, header=True, multiLine=True, escape='"', schema="ID bigint, Source string")
 
 
+@query
+def export_shaders_json(spark, d):
+    path = _folder(spark)
+    answers.export_answer(parsed(spark, d, "shader"), path, "shader", "json")
+    return spark.read.json(path, schema="ID bigint, CommandLine string, Source string")
+
+
 @query
 def export_longest_csv(spark, d):
     path = _folder(spark)
@@ -481,7 +490,7 @@ def text_source_calls(spark, d):
     """Calls read from files; a file is a log here, so results are given over all logs."""
     log = read_lines(spark, _text_copy(spark, d))
     calls = classify(log.lines)
-    return calls.groupBy("line_class", "api_name").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return calls.groupBy("line_class", "api_name").agg(F.count("*").alias("n"), F.try_sum("value").alias("value"))
 
 
 @query

@@ -158,6 +158,11 @@ def _step() -> Column:
     return F.when(klass == CALL, OPENS).when(klass == SWAP, CLOSES)
 
 
+def _wide(column: str) -> Column:
+    """Times as decimals, so that totals of whole logs never overflow."""
+    return F.col(column).cast("decimal(19,0)")
+
+
 def mark(rows: DataFrame) -> DataFrame:
     """Rows with the frame state reached inside their own chunk: one shuffle, on
     chunk, of typed fields without text or file name, and one sort."""
@@ -169,7 +174,7 @@ def mark(rows: DataFrame) -> DataFrame:
         df.select(
             "*",
             F.last("step", ignorenulls=True).over(before(w)).alias("open"),
-            F.sum(F.when(is_call, F.col("value")).otherwise(0)).over(upto(w)).alias("time_here"),
+            F.sum(F.when(is_call, _wide("value")).otherwise(0)).over(upto(w)).alias("time_here"),
         )
         .select(
             "*",
@@ -241,6 +246,7 @@ def frames(rows: DataFrame) -> DataFrame:
 
     Only mergeable aggregates are used, so a frame may be as large as a log: sums
     of call time after a given line come from differences of the running total.
+    A frame time that does not fit 64 bits is NULL.
     """
     line, value, so_far = F.col("line_num"), F.col("value"), F.col("time_so_far")
     is_call, ends = F.col("is_call"), F.col("ends_frame")
@@ -254,7 +260,7 @@ def frames(rows: DataFrame) -> DataFrame:
             F.max(F.when(ends, line)).alias("swap_line"),
             F.max(F.when(ends, value)).alias("swap_us"),
             F.max("last_line").alias("last_line"),
-            F.sum(F.when(is_call, value)).alias("call_us"),
+            F.sum(F.when(is_call, _wide("value"))).alias("call_us"),
             F.count(F.when(is_call, 1)).alias("api_call_count"),
             F.max(F.when(is_call, so_far)).alias("end_so_far"),
             F.max_by(value, F.when(gap_cost, line)).alias("gap_last"),
@@ -279,10 +285,11 @@ def frames(rows: DataFrame) -> DataFrame:
     return f.withColumn("total_time_us", total).select(
         "log_id", "frame_num", "start_line",
         F.coalesce("swap_line", "last_line").alias("end_line"),
-        "total_time_us",
+        F.col("total_time_us").try_cast("bigint").alias("total_time_us"),
         F.coalesce("swap_us", F.lit(0)).alias("swap_time_us"),
         F.when(swapped, F.greatest(F.lit(0), F.col("total_time_us") - F.col("swap_us")))
         .otherwise(0)
+        .try_cast("bigint")
         .alias("api_total_time_us"),
         "api_call_count",
     )

@@ -32,6 +32,8 @@ HEADINGS = {
         "SwapBufferTimeUs": "swap_time_us", "APITotalTimeUs": "api_total_time_us", "APICallCount": "api_call_count",
     },
 }
+# JSON shows a command line beside these, where a shader has one.
+JSON_HEADINGS = HEADINGS | {"shaders": {"ID": "shader_id", "CommandLine": "command_line", "Source": "source"}}
 # Order of the rows of each kind within a log.
 ORDERS = {
     "search": ["line_num"],
@@ -62,12 +64,12 @@ def _order(kind: str) -> list[Column]:
     return [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in ORDERS[kind]]
 
 
-def headed(df: DataFrame, kind: str) -> DataFrame:
+def headed(df: DataFrame, kind: str, headings: dict[str, dict[str, str]] = HEADINGS) -> DataFrame:
     """The columns of a result kind under their headings, in order of log and row."""
-    if kind not in HEADINGS:
+    if kind not in headings:
         raise ValueError(f"unsupported data type for export: {kind}")
     return df.orderBy("log_id", *_order(kind)).select(
-        *[F.col(column).alias(name) for name, column in HEADINGS[kind].items()]
+        *[F.col(column).alias(name) for name, column in headings[kind].items()]
     )
 
 
@@ -314,7 +316,10 @@ def export(df: DataFrame, kind: str, fmt: str, path: str, calls: DataFrame | Non
         blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
         headed(df, kind).write.options(header=True, escape='"', **blanks).csv(path)
     elif fmt == "json":
-        headed(df, kind).write.json(path)
+        if kind == "shaders":
+            # Fields without a value are left out.
+            df = df.withColumn("command_line", F.when(F.col("command_line") != "", F.col("command_line")))
+        headed(df, kind, JSON_HEADINGS).write.json(path)
     else:
         write_document(text_of(df, kind, calls), path)
 

@@ -64,13 +64,21 @@ def page_from_one(matches: DataFrame, page: int | None = None, size: int | None
     return rank_in_log(matches, "rank", skip=(page - 1) * size, take=size).drop("rank")
 
 
-def page_info(rows: DataFrame, page: int | None = None, size: int | None = None) -> DataFrame:
-    """Total, page and size per log as reported with a page: 1 for a page past the end."""
+def page_info(
+    rows: DataFrame, page: int | None = None, size: int | None = None, logs: DataFrame | None = None
+) -> DataFrame:
+    """Total, page and size per log as reported with a page: 1 for a page past the end.
+
+    Each of ``logs`` (a table with a ``log_id`` per log) gets a row, with a total of 0 if it has
+    no rows; without ``logs`` only those that have some are known.
+    """
     page, size = _page_values(page, size)
-    past = F.lit((page - 1) * size) >= F.col("total")
-    return match_counts(rows).select(
-        "log_id", "total", F.when(past, 1).otherwise(page).alias("page"), F.lit(size).alias("page_size")
-    )
+    counts = match_counts(rows)
+    if logs is not None:
+        counts = logs.select("log_id").join(counts, "log_id", "left")
+    total = F.coalesce(F.col("total"), F.lit(0)).alias("total")
+    past = F.lit((page - 1) * size) >= total
+    return counts.select("log_id", total, F.when(past, 1).otherwise(page).alias("page"), F.lit(size).alias("page_size"))
 
 
 def frame_page(frames: DataFrame, page: int | None = None, size: int | None = None) -> DataFrame:

@@ -118,7 +118,7 @@ def shader_call_stats(calls: DataFrame) -> DataFrame:
         calls.select("log_id", shader_call_class(F.col("api_name")).alias("type"), "time_us")
         .filter(F.col("type").isNotNull())
         .groupBy("log_id", "type")
-        .agg(F.count("*").alias("compile_count"), F.sum("time_us").alias("total_compile_time_us"))
+        .agg(F.count("*").alias("compile_count"), F.try_sum("time_us").alias("total_compile_time_us"))
     )
 
 
@@ -126,5 +126,5 @@ def shader_summary(stats: DataFrame) -> DataFrame:
     return stats.groupBy("log_id").agg(
         F.count("*").alias("shader_types"),
         F.sum("compile_count").alias("total_compile"),
-        F.sum("total_compile_time_us").alias("total_time_us"),
+        F.try_sum("total_compile_time_us").alias("total_time_us"),
     )

@@ -1,4 +1,7 @@
-"""Statistics of calls and frames, and rankings of frames."""
+"""Statistics of calls and frames, and rankings of frames.
+
+A total that does not fit 64 bits is NULL, and so are means of it; other groups keep theirs.
+"""
 
 from __future__ import annotations
 
@@ -16,11 +19,17 @@ def whole_part(total: str, n: str) -> Column:
     return F.when(F.col(n) != 0, F.expr(f"{total} div {n}"))
 
 
+def total_of_frames() -> Column:
+    """Summed frame time; NULL if a frame's time or the sum does not fit 64 bits."""
+    known = F.count("total_time_us") == F.count(F.lit(1))
+    return F.when(known, F.try_sum("total_time_us")).alias("total_time_us")
+
+
 def func_stats(calls: DataFrame) -> DataFrame:
     """Per function over all frames: entries (log lines), time and mean time per entry."""
     return (
         calls.groupBy("log_id", "api_name")
-        .agg(F.count("*").alias("call_count"), F.sum("time_us").alias("total_time_us"))
+        .agg(F.count("*").alias("call_count"), F.try_sum("time_us").alias("total_time_us"))
         .withColumn("avg_time_us", whole_part("total_time_us", "call_count"))
     )
 
@@ -38,7 +47,7 @@ def func_stats_with_prefix(calls: DataFrame, prefix: str) -> DataFrame:
 def frame_api_summary(calls: DataFrame) -> DataFrame:
     """Counts and time per function in each frame."""
     return calls.groupBy("log_id", "frame_num", "api_name").agg(
-        F.sum("call_count").alias("call_count"), F.sum("time_us").alias("time_us")
+        F.try_sum("call_count").alias("call_count"), F.try_sum("time_us").alias("time_us")
     )
 
 
@@ -60,7 +69,7 @@ def frame_summary(frames: DataFrame) -> DataFrame:
             F.count("*").alias("total_frames"),
             F.max("total_time_us").alias("max_time_us"),
             F.min("total_time_us").alias("min_time_us"),
-            F.sum("total_time_us").alias("total_time_us"),
+            total_of_frames(),
         )
         .withColumn("avg_time_us", whole_part("total_time_us", "total_frames"))
     )

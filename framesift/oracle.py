@@ -282,8 +282,8 @@ ORACLE: dict[str, str] = {
       round(swap_time_us / 1000, 3) AS swap_time_ms, round(api_total_time_us / 1000, 3) AS api_total_time_ms FROM frames""",
     "frame_page": f"""{AGG} SELECT {_LIST} FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY frame_num) AS r
       FROM frames) WHERE r BETWEEN 6 AND 10""",
-    "frame_page_info": f"""{AGG} SELECT log_id, count(*) AS total, CASE WHEN 10 >= count(*) THEN 1 ELSE 3 END AS page,
-      5 AS page_size FROM frames GROUP BY log_id""",
+    "frame_page_info": f"""{AGG} SELECT log_id, count(frame_num) AS total, CASE WHEN 10 >= count(frame_num) THEN 1 ELSE 3 END AS page,
+      5 AS page_size FROM ends LEFT JOIN frames USING (log_id) GROUP BY log_id""",
     "frame_range": f"{AGG} SELECT * FROM frames WHERE frame_num BETWEEN 3 AND 6",
     "frame_by_number": f"{AGG} SELECT * FROM frames WHERE frame_num = 2",
     "frame_detail_text": f"""{AGG}, f AS (SELECT * FROM frames WHERE frame_num = 2),
@@ -337,8 +337,8 @@ ORACLE: dict[str, str] = {
     "keyword_search": f"{_RANKED} SELECT log_id, line_num, content, (r - 1) // 3 AS page_num FROM m",
     "keyword_page": f"{_RANKED} SELECT log_id, line_num, content FROM m WHERE r BETWEEN 3 AND 4",
     "keyword_page_from_zero": f"{_RANKED} SELECT log_id, line_num, content FROM m WHERE r BETWEEN 4 AND 6",
-    "keyword_page_info": f"""{_RANKED} SELECT DISTINCT log_id, total, CASE WHEN 2 >= total THEN 1 ELSE 2 END AS page,
-      2 AS page_size FROM m""",
+    "keyword_page_info": f"""{_RANKED} SELECT log_id, count(m.log_id) AS total, CASE WHEN 2 >= count(m.log_id) THEN 1 ELSE 2 END AS page,
+      2 AS page_size FROM (SELECT DISTINCT log_id FROM text_lines) t LEFT JOIN m USING (log_id) GROUP BY log_id""",
     "keyword_preview": f"{_RANKED} SELECT log_id, line_num, content, greatest(total - 2, 0) AS left_out FROM m WHERE r <= 2",
     "raw_file_search": f"""{TEXT} SELECT log_id, line_num FROM text_lines
       WHERE contains(lower(content), 'the') AND contains(lower(content), 'and')""",
@@ -388,6 +388,8 @@ ORACLE: dict[str, str] = {
     "export_funcs_json": f"""{AGG} SELECT api_name AS "FuncName", call_count AS "CallCount", total_time_us AS "TotalTimeUs",
       avg_time_us AS "AvgTimeUs" FROM ({_FUNC.format(calls='calls', where='')})""",
     "export_shaders_csv": f"""{SHADER} SELECT shader_id AS "ID", source AS "Source" FROM shaders""",
+    "export_shaders_json": f"""{SHADER} SELECT shader_id AS "ID", nullif(command_line, '') AS "CommandLine",
+      source AS "Source" FROM shaders""",
     "export_longest_csv": f"""{AGG}, t AS ({_TOP.format(n=1)}) SELECT coalesce(frame_num, 0) AS "FrameNum",
       coalesce(start_line, 0) AS "StartLine", coalesce(end_line, 0) AS "EndLine", coalesce(total_time_us, 0) AS "TotalTimeUs",
       coalesce(swap_time_us, 0) AS "SwapBufferTimeUs", coalesce(api_total_time_us, 0) AS "APITotalTimeUs",

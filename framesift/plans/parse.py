@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framesift.operators import aggregated, kinds as kind_ops, rawtrace, shaders as shader_ops
 from framesift.operators.kinds import APITRACE, RAWTRACE
+from framesift.operators.stats import total_of_frames
 from framesift.session import small_side, store
 from framesift.sources.loglines import LogLines
 from framesift.sources.text import read_lines
@@ -42,10 +43,10 @@ class ParsedLogs:
     def logs(self) -> DataFrame:
         """Totals per log. Frame rate: the last one logged, else frames per summed time."""
         totals = self.frames.groupBy("log_id").agg(
-            F.count("*").alias("frame_count"), F.sum("total_time_us").alias("total_time_us")
+            F.count("*").alias("frame_count"), total_of_frames()
         )
         n = F.coalesce("frame_count", F.lit(0))
-        total = F.coalesce("total_time_us", F.lit(0))
+        total = F.when(n > 0, F.col("total_time_us")).otherwise(0)
         fps = (
             F.when(F.col("fps_line") > 0, F.col("fps_line"))
             .when(total > 0, n * F.lit(1e6) / total)
