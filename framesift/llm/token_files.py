@@ -11,9 +11,10 @@ metadata: inside each written partition, then over one row per partition.
 
 Encoding is by words between blanks, which the tokenizer never joins. Each worker keeps the
 ids of the words it has seen, up to two generations of ``CACHE_WORDS`` and those of one batch;
-forgetting costs time and changes nothing. New words of Latin letters and ASCII signs are
-split and lower-cased here and go to the merge model directly, if the file states the rules in
-``WORD_RULES``; all other words, and all words of other files, take the whole tokenizer.
+forgetting costs time and changes nothing. If the file states the rules in ``WORD_RULES``, texts of
+Latin letters and ASCII signs alone are lower-cased and split into the pieces of these rules here,
+as are the Latin words of other texts, and new pieces go to the merge model directly; all other
+words, and all texts under other files, take the whole tokenizer.
 
 Defined cases: null texts are empty and consist of the end id alone; null ids sort last;
 equal ids are ordered by their text's hash, and equal rows each get their own place in
@@ -58,10 +59,10 @@ WORD_RULES = {
         ],
     },
 }
-#: Signs of ASCII but the apostrophe, and the letters of Latin-1 and Latin Extended-A whose
-#: lower case is one composed letter.
-LATIN_WORD = re.compile("[!-&(-~À-ÖØ-öø-įı-ſ]+")
-LATIN_PIECE = re.compile("[a-zß-öø-ſ]+|[0-9]|[!-/:-`{-~]+")
+#: Signs of ASCII, and the letters of Latin-1 and Latin Extended-A whose lower case is one
+#: composed letter.
+LATIN_TEXT = re.compile("[ \\n\\t!-~À-ÖØ-öø-įı-ſ]*")
+LATIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[!-/:-@\[-`{-~]+")
 ROW_GROUP_BYTES = 16 * 2**20
 PAGE_BYTES = 256 * 2**10
 WRITING = {
@@ -73,57 +74,54 @@ WRITING = {
 }
 
 
-class WordEncoder:
-    """Ids of whole texts, from the ids of their words between blanks."""
+class WordEncoder(dict):
+    """Ids of whole texts, from the ids of their words or pieces, which are the entries."""
 
     def __init__(self, file: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         rules = json.loads(self.tokenizer.to_str())
-        self.latin = all(rules[k] == v for k, v in WORD_RULES.items())
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
+        self.by_pieces = all(rules[k] == v for k, v in WORD_RULES.items())
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        # Signs that all of them begin with; a text without these needs no search.
+        self.special_start = re.match(r"[\W\d_]*", os.path.commonprefix(added))[0]
         self.letters = dict(enumerate(byte_letters()))
-        self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.ids)
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids, self.older, new = {}, self.ids, words
-        known = {w: self.older[w] for w in new if w in self.older}
-        self.ids |= known
-        self._learn(new.difference(known))
-        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
-
-    def _learn(self, words: set[str]) -> None:
-        others = []
-        # One look at all new words tells whether any needs a look of its own.
-        special = self.special.search if self.special.search(" ".join(words)) else None
-        for word in words:
-            ids = self.pieces.get(word.lower()) if special is None else None
-            if ids is None and self.latin and LATIN_WORD.fullmatch(word) and not (special and special(word)):
-                ids = b"".join([self.pieces.get(p) or self._piece(p) for p in LATIN_PIECE.findall(word.lower())])
-            if ids is None:
-                others.append(word)
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        return [b"".join(map(self.__getitem__, self._parts(t))) for t in texts]
+
+    def _parts(self, text: str) -> list[str]:
+        if self._latin(text):
+            return LATIN_PIECE.findall(text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def _latin(self, text: str) -> bool:
+        """Whether the rules can be followed here: no special token, no sign outside of ``LATIN_TEXT``."""
+        if not self.by_pieces or self.special_start in text and self.special.search(text):
+            return False
+        if text.isascii() and text.replace("\n", " ").replace("\t", " ").isprintable():
+            return True
+        return LATIN_TEXT.fullmatch(text) is not None
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if not self._latin(word):
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            elif (pieces := LATIN_PIECE.findall(word.lower())) != [word]:
+                return b"".join(map(self.__getitem__, pieces))
             else:
-                self.ids[word] = ids
-        for i in range(0, len(others), 10_000):
-            part = others[i : i + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.ids[word] = np.array(e.ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-        if len(self.pieces) >= CACHE_WORDS:
-            self.pieces = {}
-        self.pieces[piece] = ids
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        self[word] = ids
         return ids
 
 
