@@ -3,7 +3,7 @@ import random
 from framesift.functions.gl import TARGETS, number, tokens, id_of
 from framesift.operators import buffers
 from framesift.plans.parse import parse_raw
-from tests import reference_rules
+from tests import made_logs
 
 
 def test_tokens(text_column):
@@ -19,33 +19,14 @@ def test_numbers(text_column):
     assert text_column(id_of, ["0x1F", "0x0x1F", "0X7", "7", "0x"]) == [1, 31, 7, 7, 0]
 
 
-def test_random_traces_against_replay(spark, log_of):
+def test_made_buffer_lives(log_of):
     rng = random.Random(3)
     names = set(TARGETS.values())
     targets = ["0x8892", "GL_ARRAY_BUFFER", "GL_UNIFORM_BUFFER", "0x8B11", "odd"]
-
-    def call():
-        k = rng.randint(0, 4)
-        return rng.choice([
-            ("glGenBuffers", str(k)), ("glGenBuffers", f"{k}, 0x{k + 1}"), ("glGenBuffers", "-1"), ("glDeleteBuffers", str(k)),
-            ("glDeleteBuffers", f"{k} {k + 1}"), ("glBindBuffer", f"{rng.choice(targets)} {k}"),
-            ("glBufferData", f"{rng.choice(targets)} {rng.choice([0, 5, 64, 128])} 0x7f {rng.choice(['GL_STATIC_DRAW', 'U'])}"),
-            ("glBufferSubData", f"{rng.choice(targets)} 0 {rng.choice([0, 9, 17])} 0x7f"), ("glDraw", "1"), None,
-        ])
-
     logs, want = {}, {}
     for i in range(400):
-        calls = [call() for _ in range(rng.randint(1, 40))]
-        frames, current = [], []
-        for c in calls:
-            if c is None:
-                frames.append(current)
-                current = []
-            else:
-                current.append(c)
-        frames.append(current)
-        logs[f"log{i:03d}"] = ["glXSwapBuffers" if c is None else f"{c[0]} {c[1]}" for c in calls]
-        want[f"log{i:03d}"] = reference_rules.buffers(frames, names, TARGETS)
+        name = f"log{i:03d}"
+        logs[name], *want[name] = made_logs.buffers(rng, names, TARGETS, targets, rng.randint(1, 40))
     for chunk in (2, 9, 1000):
         calls = parse_raw(log_of(logs, chunk)).calls
         lives = buffers.incarnations(calls).cache()

@@ -3,33 +3,33 @@ import random
 from framesift.functions.lines import fps_value, is_frame_boundary
 from framesift.plans.parse import parse_aggregated, parse_files, parse_lines, parse_raw
 from framesift.sources.text import detect_encodings, frame_offsets, log_sizes, read_lines
-from tests import reference_rules
-
-SIX_LINES = """glBindBuffer: count=491, time=588 us
-glBindFramebuffer: count=29, time=25377 us
-glDrawElements: count=493, time=11214 us
-libGL: FPS = 8.9
-swapBuffers: 3033 us
-423 frame cost 109ms"""
-
-RAW = """glXSwapBuffers: dpy = 0x1c002a1400, drawable = 121634855
-glGenFramebuffers 1
-glBindBuffer 0x8892 498
-glBufferSubData 0x8892 0 8512 0x7fa1ba6970
-glUseProgram 18
-glDrawElements 0x0004 2304 0x1403 (nil)
-glXSwapBuffers: dpy = 0x1c002a1400, drawable = 121634855
-glGenFramebuffers 1
-glBindBuffer 0x8892 500
-glUseProgram 22
-glDrawArrays 0x0005 0 4"""
+from tests import made_logs
+
+SHORT = """glViewport: count=12, time=300 us
+glTexParameteri: count=4, time=1250 us
+libGL: FPS = 24.5
+glDrawArrays: count=70, time=8000 us
+glFinish: count=1, time=450 us
+swapBuffers: 2500 us
+17 frame cost 41ms"""
+
+RAW = """[ 1] glXSwapBuffers: dpy = 0x7a, drawable = 44
+glGenTextures 3
+glUseProgram 5
+glBindBuffer 0x8893 61
+glXSwapBuffers: dpy = 0x7a, drawable = 44
+glUseProgram 9
+glBufferData 0x8893 4096 0x55d0 GL_DYNAMIC_DRAW
+glUseProgram 5
+glDrawElements 0x0001 36 0x1405 (nil)
+glClear 0x4000"""
 
 COLUMNS = ["frame_num", "start_line", "end_line", "total_time_us", "swap_time_us", "api_total_time_us", "api_call_count"]
 
 # A profile of one frame as written on Windows, without a final line end.
 PROFILE = [
-    "<<gc = 0x1800d34000>>", "glBindBuffer: count=491, time=588 us", "glClear: count=9, time=184 us",
-    "glUseProgram: count=56, time=128 us", "", "libGL: FPS = 8.9", "swapBuffers: 3033 us", "423 frame cost 109ms",
+    "<<gc = 0x5a1c>>", "glViewport: count=2, time=310 us", "", "glDrawArrays: count=8, time=270 us",
+    "glFlush: count=3, time=60 us", "libGL: FPS = 52.25", "swapBuffers: 1900 us", "88 frame cost 12ms",
 ]
 
 
@@ -38,24 +38,19 @@ def frames_of(parsed):
     return [tuple(r) for r in rows]
 
 
-def test_six_line_log(log_of):
-    parsed = parse_aggregated(log_of(SIX_LINES))
-    assert frames_of(parsed) == [(0, 1, 5, 37179, 3033, 34146, 3)]
+def test_short_log(log_of):
+    parsed = parse_aggregated(log_of(SHORT))
+    assert frames_of(parsed) == [(0, 1, 6, 10000, 2500, 7500, 4)]
     log = parsed.logs().first()
-    assert (log.fps, log.frame_count, log.total_time_us, log.line_count, log.rejects) == (8.9, 1, 37179, 6, 0)
+    assert (log.fps, log.frame_count, log.total_time_us, log.line_count, log.rejects) == (24.5, 1, 10000, 7, 0)
     calls = parsed.api_calls.orderBy("line_num").collect()
-    assert [c.api_name for c in calls] == ["glBindBuffer", "glBindFramebuffer", "glDrawElements"]
-    assert (calls[0].call_count, calls[0].time_us, calls[0].raw_params) == (491, 588, "")
-
-
-def test_three_line_profile(log_of):
-    text = "glBindBuffer: count=491, time=588 us\nglDrawElements: count=493, time=11214 us\nswapBuffers: 3033 us"
-    assert len(frames_of(parse_lines(log_of(text)))) == 1
+    assert [(c.line_num, c.api_name) for c in calls] == [(1, "glViewport"), (2, "glTexParameteri"), (4, "glDrawArrays"), (5, "glFinish")]
+    assert (calls[2].call_count, calls[2].time_us, calls[2].raw_params) == (70, 8000, "")
 
 
 def test_boundary_lines(text_column):
-    texts = ["swapBuffers: 3033 us", "423 frame cost 109ms", "glBindBuffer: count=491, time=588 us", "libGL: FPS = 8.9"]
-    assert text_column(is_frame_boundary, texts) == [True, True, False, False]
+    texts = ["5 frame cost 0ms", "libGL: FPS = 61", "[ 8] swapBuffers: 1 us", "glFlush: count=1, time=2 us", "swapBuffers: x us"]
+    assert text_column(is_frame_boundary, texts) == [True, False, True, False, False]
 
 
 def test_unreadable_rate_is_skipped(text_column, log_of):
@@ -83,8 +78,8 @@ def test_names_that_are_noise_words(log_of):
 
 def test_raw_log(log_of):
     parsed = parse_lines(log_of(RAW, chunk=3))
-    assert [(f[0], f[1], f[2], f[6]) for f in frames_of(parsed)] == [(1, 2, 6, 5), (2, 8, 11, 4)]
-    assert [(p.frame_num, p.program_id) for p in parsed.programs.orderBy("line_num").collect()] == [(1, 18), (2, 22)]
+    assert [(f[0], f[1], f[2], f[6]) for f in frames_of(parsed)] == [(1, 2, 4, 3), (2, 6, 10, 5)]
+    assert [(p.frame_num, p.program_id) for p in parsed.programs.orderBy("line_num").collect()] == [(1, 5), (2, 9), (2, 5)]
     log = parsed.logs().first()
     assert (log.kind, log.fps, log.total_time_us) == ("rawtrace", 0.0, 0)
 
@@ -106,41 +101,30 @@ def test_raw_call_forms(log_of):
     assert [(r.line_num, r.buffer_id) for r in made] == [(14, 4), (14, 5), (15, 2), (15, 9)]
 
 
-PIECES = [
-    "glA: count=2, time=7 us", "[ 3] glB: count=1, time=10 us", "glA: count=1, time=0 us", "swapBuffers: 4 us",
-    "9 frame cost 1ms", "9 frame cost 0ms", "####", "[ 2] ####", "[ 1] (gc=0x1, tid=0x2): glShaderSource 5 1 x",
-    "[ 1] (gc=0x1, tid=0x2): glShaderSource 6 1 x", "void main", "", "warning: x", "libGL: FPS = 3", "[1:2:3 noise] x",
-]
-
-
-def test_random_logs_against_the_line_by_line_rules(log_of):
+def test_made_logs(log_of):
     rng = random.Random(11)
-    logs = {}
-    for i in range(600):
-        # Some logs without shader lines, some full of them.
-        pool = PIECES if i % 3 else [p for p in PIECES if "####" not in p and "glShaderSource" not in p]
-        logs[f"log{i:03d}"] = [rng.choice(pool) for _ in range(rng.randint(1, 30))]
-    expected = {n: reference_rules.aggregated(body) for n, body in logs.items()}
+    # Some logs without shader lines, some with many.
+    logs = {f"log{i:03d}": made_logs.aggregated(rng, rng.randint(0, 6), shaders=i % 3 > 0) for i in range(600)}
+    assert sum(len(m.shaders) for m in logs.values()) > 300
     for chunk in (3, 7, 1000):
-        parsed = parse_aggregated(log_of(logs, chunk))
+        parsed = parse_aggregated(log_of({n: m.lines for n, m in logs.items() if m.lines}, chunk))
         frames, shaders = {}, {}
         for r in parsed.frames.orderBy("log_id", "frame_num").collect():
             frames.setdefault(r.log_id, []).append(tuple(r[c] for c in COLUMNS))
         for r in parsed.shaders.orderBy("log_id", "block_num").collect():
             shaders.setdefault(r.log_id, []).append((r.frame_num, r.shader_id, r.command_line, r.source))
-        for name, (want_frames, want_shaders) in expected.items():
-            assert frames.get(name, []) == want_frames, (chunk, name, logs[name])
-            assert shaders.get(name, []) == want_shaders, (chunk, name, logs[name])
-        assert parsed.logs().count() == len(logs)
+        for name, made in logs.items():
+            assert frames.get(name, []) == made.frames, (chunk, name, made.lines)
+            assert shaders.get(name, []) == made.shaders, (chunk, name, made.lines)
+        assert parsed.logs().count() == sum(bool(m.lines) for m in logs.values())
 
 
 def test_files_in_splits_of_any_size(spark, tmp_path):
-    rng = random.Random(5)
-    body = [rng.choice(PIECES) for _ in range(4000)]
+    made = made_logs.aggregated(random.Random(5), 500)
+    body, want = made.lines, made.frames
     (tmp_path / "a.txt").write_bytes("\r\n".join(body).encode())
     (tmp_path / "b.txt").write_bytes(b"\xef\xbb\xbf" + ("\n".join(PROFILE) + "\n").encode())
-    (tmp_path / "c.txt").write_bytes(("\n".join(RAW.split("\n")) + "\n").encode())
-    want, want_shaders = reference_rules.aggregated(body)
+    (tmp_path / "c.txt").write_bytes((RAW + "\n").encode())
     seen = []
     for split in ("200b", "7kb", "128mb"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
@@ -152,13 +136,13 @@ def test_files_in_splits_of_any_size(spark, tmp_path):
             for r in rows:
                 by_log.setdefault(r.log_id[-5], []).append(tuple(r[c] for c in COLUMNS))
             assert by_log["a"] == want
-            assert by_log["b"] == [(0, 2, 7, 900, 3033, 0, 3)]
+            assert by_log["b"] == [(0, 2, 7, 640, 1900, 0, 3)]
             assert [f[0] for f in by_log["c"]] == [1, 2]
-            assert parsed.shaders.count() == len(want_shaders)
+            assert parsed.shaders.count() == len(made.shaders)
             kinds = {r.log_id[-5]: (r.kind, r.line_count) for r in parsed.logs().collect()}
-            assert kinds["b"] == ("apitrace", 8) and kinds["c"] == ("rawtrace", 11)
+            assert kinds["b"] == ("apitrace", 8) and kinds["c"] == ("rawtrace", 10)
             sizes = {r.log_id[-5]: r.line_count for r in log_sizes(log.lines).collect()}
-            assert sizes == {"a": 4000, "b": 8, "c": 11}
+            assert sizes == {"a": len(body), "b": 8, "c": 10}
             offsets = {(r.log_id[-5], r.frame_num): r.byte_offset for r in frame_offsets(log.lines, parsed.frames).collect()}
             assert len(offsets) == len(rows)
             seen.append(offsets)
@@ -190,24 +174,22 @@ def test_encodings(spark, tmp_path):
 def test_profile_sample_file(spark, tmp_path):
     (tmp_path / "p.txt").write_bytes("\r\n".join(PROFILE).encode())
     parsed = parse_files(spark, str(tmp_path / "p.txt"))
-    assert frames_of(parsed) == [(0, 2, 7, 900, 3033, 0, 3)]
-    assert parsed.logs().first().fps == 8.9
+    assert frames_of(parsed) == [(0, 2, 7, 640, 1900, 0, 3)]
+    assert parsed.logs().first().fps == 52.25
 
 
 def test_results_without_broadcast_are_the_same(spark, tmp_path, monkeypatch):
     from framesift import session
 
-    rng = random.Random(8)
-    body = [rng.choice(PIECES) for _ in range(1500)]
-    (tmp_path / "a.txt").write_text("\n".join(body))
+    made = made_logs.aggregated(random.Random(8), 200)
+    (tmp_path / "a.txt").write_text("\n".join(made.lines))
     monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1kb")
     try:
         parsed = parse_files(spark, str(tmp_path))
-        want, want_shaders = reference_rules.aggregated(body)
-        assert frames_of(parsed) == want
-        assert parsed.shaders.count() == len(want_shaders)
+        assert frames_of(parsed) == made.frames
+        assert parsed.shaders.count() == len(made.shaders)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")

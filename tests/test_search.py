@@ -6,8 +6,8 @@ from framesift.plans.parse import parse_aggregated
 from framesift.sources.tables import number_lines, of_log, open_table, save_table
 
 LINES = [
-    "glBindBuffer: count=491, time=588 us", "glBindFramebuffer: count=29, time=25377 us",
-    "glDrawElements: count=493, time=11214 us", "libGL: FPS = 8.9", "swapBuffers: 3033 us",
+    "glTexImage2D: count=36, time=900 us", "glClear: count=7, time=52 us", "libGL: FPS = 40.5",
+    "glTexStorage3D: count=368, time=4100 us", "glFlush: count=5, time=1948 us", "swapBuffers: 600 us",
 ]
 
 
@@ -17,61 +17,64 @@ def numbers(df):
 
 def test_keywords(log_of):
     lines = log_of({"a": LINES}).lines
-    assert numbers(search.keyword_search(lines, ["glBind"])) == [1, 2]
-    assert numbers(search.keyword_search(lines, ["count", "493"])) == [3]
-    assert numbers(search.keyword_search(lines, ["GLBIND"])) == [1, 2]
-    assert numbers(search.keyword_search(lines, ["notexist"])) == []
-    assert numbers(search.keyword_search(lines, ["", "swap"])) == [5]
-    assert numbers(search.keyword_search(lines, [])) == numbers(search.keyword_search(lines, [""])) == []
-    assert numbers(search.raw_search(lines, "  ")) == [1, 2, 3, 4, 5]
-    assert numbers(search.raw_search(lines, " us  draw ")) == [3]
+    expected = {
+        ("TEXS",): [4], ("gltex",): [1, 4], ("time", "36"): [1, 4], ("fps", "count"): [], ("", "clear"): [2], (): [], ("",): [],
+    }
+    for words, want in expected.items():
+        assert numbers(search.keyword_search(lines, list(words))) == want, words
+    assert numbers(search.raw_search(lines, "  ")) == [1, 2, 3, 4, 5, 6]
+    assert numbers(search.raw_search(lines, " us  fl ")) == [5]
     with pytest.raises(ValueError):
         search.raw_search(lines, "")
 
 
 def test_pages(log_of):
-    lines = log_of({"a": ["glBindBuffer: x"] * 2500}, chunk=300).lines
-    found = search.keyword_search(lines, ["glBind"])
-    assert [search.page_from_zero(found, p, 1000).count() for p in range(4)] == [1000, 1000, 500, 0]
-    assert numbers(search.page_from_zero(found, -1, 0)) == list(range(1, 1001))
-    assert search.match_counts(found).first().total == 2500
-    pages = search.with_page_numbers(found).groupBy("page_num").count().orderBy("page_num").collect()
-    assert [tuple(r) for r in pages] == [(0, 1000), (1, 1000), (2, 500)]
-    assert numbers(search.page_from_one(found, 2, 10)) == list(range(11, 21))
-    assert numbers(search.page_from_one(found)) == list(range(1, 51))
-    assert search.page_info(found, 9000, 10).first()[1:] == (2500, 1, 10)
-    assert search.page_info(found, 3, -1).first()[1:] == (2500, 3, 50)
+    # Every third line matches: 700 matches on lines 3, 6, 9 and so on.
+    body = [f"glFlush {i}" if i % 3 == 0 else "other" for i in range(1, 2101)]
+    found = search.keyword_search(log_of({"a": body}, chunk=130).lines, ["FLUSH"])
+    assert [search.page_from_zero(found, p, 300).count() for p in range(4)] == [300, 300, 100, 0]
+    assert numbers(search.page_from_zero(found, 2, 300)) == list(range(1803, 2101, 3))
+    assert numbers(search.page_from_zero(found, -5, -1)) == list(range(3, 2101, 3))
+    assert search.match_counts(found).first().total == 700
+    pages = search.with_page_numbers(found, 300).groupBy("page_num").count().orderBy("page_num").collect()
+    assert [tuple(r) for r in pages] == [(0, 300), (1, 300), (2, 100)]
+    assert numbers(search.page_from_one(found, 3, 7)) == list(range(45, 66, 3))
+    assert numbers(search.page_from_one(found)) == list(range(3, 151, 3))
+    assert search.page_info(found, 9000, 10).first()[1:] == (700, 1, 10)
+    assert search.page_info(found, 3, -1).first()[1:] == (700, 3, 50)
     shown = search.preview(found).collect()
-    assert len(shown) == 100 and {r.left_out for r in shown} == {2400}
+    assert len(shown) == 100 and {r.left_out for r in shown} == {600}
 
 
 def test_patterns_count_from_zero(log_of):
-    found = search.pattern_search(log_of({"a": LINES}).lines, r"^gl\w+: count=49").collect()
-    assert sorted(r.position for r in found) == [0, 2]
+    found = search.pattern_search(log_of({"a": LINES}).lines, r"^gl\w+: count=36").collect()
+    assert sorted(r.position for r in found) == [0, 3]
 
 
-def two_frames(spark):
-    frames = spark.createDataFrame([("a", 1, 3000), ("a", 2, 800)], "log_id string, frame_num long, total_time_us long")
+def some_calls(spark):
+    frames = spark.createDataFrame([("z", 4, 95), ("z", 5, 640), ("z", 6, 7)], "log_id string, frame_num long, total_time_us long")
     calls = spark.createDataFrame(
-        [("a", 1, 1, "glBindBuffer", 1000), ("a", 1, 2, "glDrawElements", 2000), ("a", 2, 3, "glBindBuffer", 500),
-         ("a", 2, 4, "glDrawElements", 300)],
+        [("z", 4, 21, "glFlush", 90), ("z", 4, 22, "glClear", 5), ("z", 5, 30, "glClear", 400), ("z", 5, 31, "glClearColor", 240),
+         ("z", 6, 40, "glFlush", 7)],
         "log_id string, frame_num long, line_num long, api_name string, time_us long",
     )
     return frames, calls
 
 
 def test_duration_and_frame_ranges(spark):
-    frames, calls = two_frames(spark)
-    found = [search.calls_in_duration_range(calls, frames, a, b).count() for a, b in ((1500, 5000), (0, 1000), (0, 500), (800, 3000))]
-    assert found == [2, 2, 0, 4]
-    assert search.frame_range(frames, 1, 1).count() == 1
+    frames, calls = some_calls(spark)
+    # Both ends belong to the range, and the frame's time decides.
+    ranges = {(0, 6): [], (7, 7): [40], (7, 95): [21, 22, 40], (96, 639): [], (95, 640): [21, 22, 30, 31], (640, 7): []}
+    for (low, high), want in ranges.items():
+        assert numbers(search.calls_in_duration_range(calls, frames, low, high)) == want
+    assert sorted(r.frame_num for r in search.frame_range(frames, 5, 9).collect()) == [5, 6]
 
 
 def test_postings(spark):
-    _, calls = two_frames(spark)
+    _, calls = some_calls(spark)
     postings = stats.call_postings(calls)
-    assert [r.line_num for r in stats.lookup(postings, "glBindBuffer").collect()] == [1, 3]
-    assert stats.lookup(postings, "glBind").count() == 0
+    assert sorted(r.line_num for r in stats.lookup(postings, "glClear").collect()) == [22, 30]
+    assert stats.lookup(postings, "glCl").count() == 0
     assert stats.has_postings(postings) and not stats.has_postings(postings.limit(0))
 
 
@@ -108,21 +111,18 @@ def test_rankings_and_summaries(spark):
 def test_parse_summary(log_of):
     parsed = parse_aggregated(log_of({"a": LINES, "b": ["glX 1"]}))
     by_log = {r.log_id: r for r in answers.summary(parsed).collect()}
-    assert (by_log["a"].format_label, by_log["a"].frame_count, by_log["a"].max_frame_time) == ("profile", 1, 37.179)
+    assert (by_log["a"].format_label, by_log["a"].frame_count, by_log["a"].max_frame_time) == ("profile", 1, 7.0)
     assert (by_log["b"].format_label, by_log["b"].frame_count, by_log["b"].max_frame_time) == ("rawtrace", 0, 0.0)
     assert answers.longest_or_zero(parsed).filter("log_id = 'b'").first().total_time_us == 0
 
 
 def test_kind_of_single_lines(text_column):
-    texts = [
-        "", "<<gc = 0x1800d34000>>", "glBindBuffer: count=491, time=588 us",
-        "glXSwapBuffers: dpy = 0x1c002a1400, drawable = 121634855", "glGenFramebuffers 1", "glBindBuffer 0x8892 498",
-        "glDrawElements 0x0004 2304 0x1403 (nil)", "some random text", "[  12] glTexImage2D 1", "[12]",
-    ]
-    raw = "rawtrace"
-    assert text_column(kinds.kind_of_line, texts) == [
-        "unknown", "profile", "apitrace", raw, raw, raw, raw, "unknown", raw, "unknown",
-    ]
+    expected = {
+        "": "unknown", "plain words": "unknown", "[44]": "unknown", "<<gc = 0x77>>": "profile", "glFlush: count=1, time=2 us": "apitrace",
+        "[ 5] glClear 0x4000": "rawtrace", "glXSwapBuffers: dpy = 0x9, drawable = 3": "rawtrace", "glDeleteTextures 2": "rawtrace",
+        "glUniform1f 3 0.5": "unknown",
+    }
+    assert text_column(kinds.kind_of_line, list(expected)) == list(expected.values())
 
 
 def test_kind_of_logs(log_of):
