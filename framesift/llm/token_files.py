@@ -114,16 +114,20 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            if not self._latin(word):
+            if self.by_pieces and word.isascii() and word.isalpha() and word.islower():
+                ids = self._merged(word)
+            elif not self._latin(word):
                 ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
             elif (pieces := LATIN_PIECE.findall(word.lower())) != [word]:
                 return b"".join(map(self.__getitem__, pieces))
             else:
-                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+                ids = self._merged(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
         self[word] = ids
         return ids
 
+    def _merged(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
 
 @cache
 def encoder_of(file: str) -> WordEncoder:
@@ -165,14 +169,18 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def token_starts(files: DataFrame) -> DataFrame:
-    """``part, pos, start``: ids of all documents before each; reads metadata columns only."""
+def _with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows(part, pos, n_tokens, ...)`` of all documents with ``start``."""
     before = Window.unboundedPreceding, -1
-    meta = files.select("part", "pos", "n_tokens")
-    parts = meta.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     first = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("first"))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("pos").rowsBetween(*before)), F.lit(0))
-    return meta.withColumn("inside", inside).join(first, F.col("part") == F.col("p")).select("part", "pos", (F.col("inside") + F.col("first")).alias("start"))
+    return rows.withColumn("inside", inside).join(first, F.col("part") == F.col("p")).withColumn("start", F.col("inside") + F.col("first"))
+
+
+def token_starts(files: DataFrame) -> DataFrame:
+    """``part, pos, start``: ids of all documents before each; reads metadata columns only."""
+    return _with_starts(files.select("part", "pos", "n_tokens"), files).select("part", "pos", "start")
 
 
 def _checksums(batches):
@@ -191,7 +199,7 @@ def token_digests(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files alone."""
     kind = files.schema["doc_id"].dataType.simpleString()
     sums = files.select("doc_id", "part", "pos", "n_tokens", "ids").mapInArrow(_checksums, f"doc_id {kind}, part int, pos bigint, n_tokens bigint, ids_crc32 bigint")
-    return sums.join(token_starts(files), ["part", "pos"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return _with_starts(sums, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_rows(files: DataFrame) -> DataFrame:
