@@ -98,6 +98,16 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
 
 
+def test_needless_links_go(spark, monkeypatch):
+    from framesift.llm import components as module
+
+    links = [(i, j) for i in range(0, 60, 3) for j in range(i + 3, 60, 3)] + [(7, 7), (1, 4), (4, 1)]
+    df = spark.createDataFrame(links, "a bigint, b bigint").coalesce(1)
+    assert df.mapInArrow(module._forest, "a bigint, b bigint").count() == 20
+    monkeypatch.setattr(module, "FOREST_NODES", 2)
+    assert dict(components(df.repartition(3)).collect()) == {**{i: 0 for i in range(3, 60, 3)}, 4: 1}
+
+
 def test_decontamination(spark, docs, rows, nothing):
     items = [(1, rows[0][1]), (2, "one two"), (3, None), (4, "..."), (None, "one two three"), (5, rows[3][1].split("\n")[0])]
     windows = defaultdict(set)
