@@ -162,6 +162,25 @@ def test_substring_dedup_of_random_overlaps(spark):
     test_substring_dedup(spark.createDataFrame(made, "doc_id bigint, text string"), made, spark.createDataFrame([], "doc_id bigint, text string"))
 
 
+@pytest.mark.parametrize("full", range(5))
+def test_substring_dedup_with_full_bit_tables(spark, nothing, monkeypatch, full):
+    """A table whose bits are all set holds nothing back, also at the ends of repeats and beside edits."""
+    made_tables, bit_table = [], substring_dedup.bit_table
+
+    def filled(names, key):
+        made_tables.append(bit_table(names, key))
+        return np.full_like(made_tables[-1], -1) if len(made_tables) == full + 1 else made_tables[-1]
+
+    monkeypatch.setattr(substring_dedup, "bit_table", filled)
+    rnd = random.Random(4)
+    letters = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    base = letters(1200)
+    made = [(0, base), (1, base[:500] + "X" + base[501:]), (2, base[:700] + "X" + base[701:])]
+    made += [(i, letters(150) + base[150 * i - 450 : 150 * i - 50] + letters(150)) for i in range(3, 8)]
+    test_substring_dedup(spark.createDataFrame(made, "doc_id bigint, text string"), made, nothing.select("doc_id", "text"))
+    assert len(made_tables) >= 5
+
+
 def test_token_prefixes(docs, rows, nothing):
     file = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(file)
