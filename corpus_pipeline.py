@@ -14,6 +14,9 @@ from framesift.session import store
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Near copies share at least so many hundredths of their runs of so many words.
+SHINGLE_WORDS, SIMILAR_HUNDREDTHS = 5, 80
+
 
 def _rows_of(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
     """Rows of ``docs`` whose id and text are (``left_semi``) or are not (``left_anti``) among ``decided``."""
@@ -30,8 +33,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near copies; documents without words all stay."""
-    rows = jaccard_join.joined(docs)
+    """The first document of each component of near copies; documents without words all stay.
+
+    Near copies are those of five-word similarity 0.8, where ``op3_jaccard_join`` takes four words and 0.85.
+    """
+    rows = jaccard_join.joined(docs, SHINGLE_WORDS, SIMILAR_HUNDREDTHS)
     lone = rows.filter("root IS NULL").select("doc_id", "key")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.key")

@@ -1,9 +1,10 @@
 """Exact Jaccard self-join of word n-gram sets over prefix trees, and its components.
 
-A document's set holds the hashes of its distinct runs of ``N`` words. All sets share one
-order, frequent shingles last (classes of a fixed-size count sketch over all documents,
-then the hash). Two sets of similarity 0.85 must share a shingle within their first
-``n - ceil(0.85 n) + 1`` in that order, so only these prefixes meet:
+A document's set holds the hashes of its distinct runs of ``width`` words (``N`` unless
+given). All sets share one order, frequent shingles last (classes of a fixed-size count
+sketch over all documents, then the hash). Two sets of similarity ``s = numerator / 100``
+(``NUMERATOR`` unless given) must share a shingle within their first
+``n - ceil(s n) + 1`` in that order, so only these prefixes meet:
 
 * The shingle space is cut into slices. A slice holds, for each set, its prefix shingles
   that fall there, as one ordered list; the lists of a slice form a trie with a list of
@@ -23,7 +24,7 @@ Copies with equal sets count once from the first pass on. Sets are named by 64-b
 digests; at 10^10 documents the expected number of clashes is below 3.
 
 Defined cases: null or blank texts have an empty set, are linked with nothing and form a
-component of their own; texts of fewer than ``N`` words have one shingle, the whole
+component of their own; texts of fewer than ``width`` words have one shingle, the whole
 sequence; a null ``doc_id`` takes part but never names a component unless alone; rows
 with equal ids are told apart by text and get the component of their own text; further
 columns are not looked at.
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N = 4
-#: Two sets link when NUMERATOR / 100 of their union is shared.
+#: Two sets link when NUMERATOR / 100 of their union is shared, if not told otherwise.
 NUMERATOR = 85
 SKETCH_SLOTS = 1 << 18
 SLICE_SHINGLES = 400_000
@@ -97,25 +98,29 @@ def _digest(values: np.ndarray) -> int:
     return int(np.int64(mix64(np.array([mix64(values).sum(dtype=np.uint64) + np.uint64(len(values))]))[0].astype(np.int64)))
 
 
-def _scan(batches):
+def _scan(width: int):
     """A row for each document (n, set), and at the end rows of the task's sketch (slot, n)."""
-    powers, sketch = Powers(), np.zeros(SKETCH_SLOTS, np.int64)
-    for batch in batches:
-        sizes, names, signatures = [], [], []
-        for values in shingle_sets(batch, powers):
-            sizes.append(len(values))
-            names.append(_digest(values))
-            signatures.append(_signature(values))
-            np.add.at(sketch, (values & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64), 1)
-        none = pa.nulls(len(batch), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), none, pa.array(signatures, pa.binary())], ["doc_id", "key", "set", "n", "slot", "signature"])
-        kind = batch.column("doc_id").type
-    some = np.flatnonzero(sketch)
-    if len(some):
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(sketch[some]), pa.array(some, pa.int32()), pa.nulls(len(some), pa.binary())],
-            ["doc_id", "key", "set", "n", "slot", "signature"],
-        )
+
+    def run(batches):
+        powers, sketch = Powers(), np.zeros(SKETCH_SLOTS, np.int64)
+        for batch in batches:
+            sizes, names, signatures = [], [], []
+            for values in shingle_sets(batch, powers, width):
+                sizes.append(len(values))
+                names.append(_digest(values))
+                signatures.append(_signature(values))
+                np.add.at(sketch, (values & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64), 1)
+            none = pa.nulls(len(batch), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), none, pa.array(signatures, pa.binary())], ["doc_id", "key", "set", "n", "slot", "signature"])
+            kind = batch.column("doc_id").type
+        some = np.flatnonzero(sketch)
+        if len(some):
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(sketch[some]), pa.array(some, pa.int32()), pa.nulls(len(some), pa.binary())],
+                ["doc_id", "key", "set", "n", "slot", "signature"],
+            )
+
+    return run
 
 
 def frequency_classes(scanned: DataFrame) -> np.ndarray:
@@ -130,20 +135,20 @@ def frequency_classes(scanned: DataFrame) -> np.ndarray:
     return np.where(above < 1, 0, np.log2(np.maximum(above, 1)).astype(np.int64) + 1).astype(np.uint8)
 
 
-def _prefixes(shared, slices: int):
+def _prefixes(shared, slices: int, width: int, numerator: int):
     """A row for each set and slice: the set's prefix shingles there and their places."""
 
     def run(batches):
         classes, powers, seen = shared.value, Powers(), set()
         for batch in batches:
             out_slice, out_set, out_n, out_list = [], [], [], []
-            for values in shingle_sets(batch, powers):
+            for values in shingle_sets(batch, powers, width):
                 n, name = len(values), _digest(values)
                 if n == 0 or name in seen:
                     continue
                 seen.add(name)
                 kind = classes[(values & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64)]
-                order = np.argsort(kind, kind="stable")[: prefix_length(n)] if kind.any() else np.arange(prefix_length(n))
+                order = np.argsort(kind, kind="stable")[: prefix_length(n, numerator)] if kind.any() else np.arange(prefix_length(n, numerator))
                 entries = np.empty(len(order), _ENTRY)
                 entries["shingle"], entries["place"] = values[order], np.arange(len(order))
                 where = (mix64(values[order]) % np.uint64(slices)).astype(np.int64)
@@ -169,8 +174,8 @@ class Trie:
     through it, and the place of its shingle in each.
     """
 
-    def __init__(self, sizes, groups, lists):
-        self.sizes, self.groups = sizes, groups
+    def __init__(self, sizes, groups, lists, numerator: int):
+        self.sizes, self.groups, self.numerator = sizes, groups, numerator
         self.children: dict[tuple[int, int], int] = {}
         self.depth, self.records, self.places = [0], [None], [None]
         self.header: dict[int, list[int]] = {}
@@ -207,7 +212,7 @@ class Trie:
         """Which pairs could be similar, by size and by what remains after the shingle."""
         n, m = self.sizes[a], self.sizes[b]
         rest = 1 + np.minimum(n - place_a, m - place_b) - 1
-        return ((node_a != node_b) | (node_a == 0)) & (self.groups[a] != self.groups[b]) & (rest >= needed_overlap(n, m))
+        return ((node_a != node_b) | (node_a == 0)) & (self.groups[a] != self.groups[b]) & (rest >= needed_overlap(n, m, self.numerator))
 
     def leader_pairs(self):
         """Each record with the first record that could be similar to it."""
@@ -238,7 +243,7 @@ class Trie:
                     yield records[x[later]], records[y[later]]
 
 
-def _meetings(everything: bool):
+def _meetings(everything: bool, numerator: int):
     """Pairs (a, b) of a slice; the first round also hands on the lists, without lone shingles."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -253,7 +258,7 @@ def _meetings(everything: bool):
         owner, entries, shingles = owner[shared], entries[shared], back[shared].tolist()
         places = entries["place"].tolist()
         cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)] if len(owner) else []
-        trie = Trie(sizes, groups, ((int(owner[a]), zip(shingles[a:b], places[a:b])) for a, b in pairwise(cuts)))
+        trie = Trie(sizes, groups, ((int(owner[a]), zip(shingles[a:b], places[a:b])) for a, b in pairwise(cuts)), numerator)
         found, size = [np.zeros((2, 0), np.int64)], 0
         for pair in trie.all_pairs() if everything else trie.leader_pairs():
             found.append(np.stack(pair).astype(np.int64))
@@ -277,27 +282,31 @@ def _meetings(everything: bool):
     return run
 
 
-def _unlike(batches):
+def _unlike(numerator: int):
     """Pairs whose signatures allow the similarity: bits that differ are shingles that differ."""
-    for batch in batches:
-        n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-        differ = np.array([least_difference(x, y) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(differ <= n + m - 2 * needed_overlap(n, m)))
 
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            differ = np.array([least_difference(x, y) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(differ <= n + m - 2 * needed_overlap(n, m, numerator)))
+
+    return run
 
-def _by_signature(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+
+def _by_signature(pairs: DataFrame, owners: DataFrame, numerator: int) -> DataFrame:
     left = owners.select(F.col("set").alias("a"), "n", F.col("signature").alias("left"))
     right = owners.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("signature").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(_unlike, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(_unlike(numerator), "a bigint, b bigint")
 
 
-def _wanted_sets(shared):
+def _wanted_sets(shared, width: int):
     def run(batches):
         bits, powers = shared.value, Powers()
         for batch in batches:
             batch = batch.filter(pa.array(maybe(bits, batch.column("h").to_numpy())))
             names, sets = [], []
-            for values in shingle_sets(batch, powers):
+            for values in shingle_sets(batch, powers, width):
                 names.append(_digest(values))
                 sets.append(values.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "key", "set", "shingles"])
@@ -305,56 +314,61 @@ def _wanted_sets(shared):
     return run
 
 
-def _similar(batches):
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= NUMERATOR * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _similar(numerator: int):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= numerator * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, numerator: int) -> DataFrame:
     """The pairs of sets that link. ``owners``: set, n, signature, doc_id, key of one document per set."""
     spark = docs.sparkSession
-    pairs = store(_by_signature(pairs, owners), "pairs")
+    pairs = store(_by_signature(pairs, owners, numerator), "pairs")
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
     ids = store(owners.join(wanted, F.col("set") == F.col("s"), "left_semi"), "wanted")
     bits = spark.sparkContext.broadcast(bit_table(ids, F.xxhash64(F.lit(2), "doc_id", "key")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = keyed(docs).withColumn("h", F.xxhash64(F.lit(2), "doc_id", "key"))
-    sets = read.mapInArrow(_wanted_sets(bits), f"doc_id {kind}, key bigint, set bigint, shingles binary")
+    sets = read.mapInArrow(_wanted_sets(bits, width), f"doc_id {kind}, key bigint, set bigint, shingles binary")
     chosen = ids.select("set", F.col("doc_id").alias("d"), F.col("key").alias("k"))
     sets = sets.join(chosen, "set").filter(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("set", "shingles").dropDuplicates(["set"])
     sets = store(sets, "sets")
     left = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("left")), "a")
     both = left.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_similar, "a bigint, b bigint")
+    return both.select("a", "b", "left", "right").mapInArrow(_similar(numerator), "a bigint, b bigint")
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, width: int = N, numerator: int = NUMERATOR) -> DataFrame:
     """``doc_id, key, n_shingles, component_id, root`` of every row.
 
+    Shingles are of ``width`` words, and sets link from a similarity of ``numerator / 100`` on.
+
     ``root`` names the component by a set and is null for documents without words.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = store(keyed(docs).mapInArrow(_scan, f"doc_id {kind}, key bigint, set bigint, n bigint, slot int, signature binary"), "scanned")
+    scanned = store(keyed(docs).mapInArrow(_scan(width), f"doc_id {kind}, key bigint, set bigint, n bigint, slot int, signature binary"), "scanned")
     rows = scanned.filter("slot IS NULL")
     full = rows.filter("n > 0")
     owners = store(full.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("o"), F.first("n").alias("n"), F.first("signature").alias("signature")).select("set", "n", "signature", "o.doc_id", "o.key"), "owners")
-    shingles = owners.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUMERATOR / 100) + 1)).first()[0] or 0
+    shingles = owners.agg(F.sum(F.col("n") - F.ceil(F.col("n") * numerator / 100) + 1)).first()[0] or 0
     slices = max(LEAST_SLICES, int(shingles) // SLICE_SHINGLES)
     classes = spark.sparkContext.broadcast(frequency_classes(scanned))
-    prefixes = keyed(docs).mapInArrow(_prefixes(classes, slices), "slice int, set bigint, n int, list binary")
+    prefixes = keyed(docs).mapInArrow(_prefixes(classes, slices, width, numerator), "slice int, set bigint, n int, list binary")
     alone = prefixes.withColumn("component", F.col("set"))
-    met = store(alone.groupBy("slice").applyInArrow(_meetings(False), "a bigint, b bigint, slice int, set bigint, n int, list binary"), "met")
-    links = store(verified(met.filter("a IS NOT NULL").select("a", "b").distinct(), docs, owners), "leader_links")
+    met = store(alone.groupBy("slice").applyInArrow(_meetings(False, numerator), "a bigint, b bigint, slice int, set bigint, n int, list binary"), "met")
+    links = store(verified(met.filter("a IS NOT NULL").select("a", "b").distinct(), docs, owners, width, numerator), "leader_links")
     roots = components(links)
     prefixes = met.filter("a IS NULL").drop("a", "b")
     grouped = prefixes.join(roots, F.col("set") == F.col("node"), "left").select("slice", "set", "n", "list", F.coalesce("root", "set").alias("component"))
-    more = verified(grouped.groupBy("slice").applyInArrow(_meetings(True), "a bigint, b bigint").distinct(), docs, owners)
+    more = verified(grouped.groupBy("slice").applyInArrow(_meetings(True, numerator), "a bigint, b bigint").distinct(), docs, owners, width, numerator)
     roots = store(components(links.union(more)), "roots")
 
     placed = rows.join(roots, (F.col("set") == F.col("node")) & (F.col("n") > 0), "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "set")))

@@ -309,5 +309,29 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "start", "n_tokens", "ids"]
 
 
+def test_pipeline_takes_near_copies_by_five_words(spark, tmp_path):
+    """Copies of five-word similarity 0.8 and more go, also below 0.85; less similar ones stay."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(900)]
+    changed, other = list(base), list(base)
+    for i in range(19):
+        changed[20 + 45 * i] = f"c{i}"
+    for i in range(24):
+        other[20 + 36 * i] = f"o{i}"
+    made = [base, base[:738], changed, other]
+
+    def similarity(a, b, n):
+        x, y = ({tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    assert 0.8 < similarity(base, made[1], 5) < 0.85 and similarity(base, made[1], 4) < 0.85
+    assert 0.8 < similarity(base, changed, 5) < similarity(base, changed, 4) < 0.85
+    assert max(similarity(x, other, 5) for x in made[:3]) < 0.8
+    df = spark.createDataFrame([(i, " ".join(t), "en", "a", 1, 1, "k", 1) for i, t in enumerate(made)], SCHEMA).repartition(2)
+    found = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, df, str(tmp_path))
+    assert sorted(r.doc_id for r in found.collect()) == [0, 3]
+    assert len({r.component_id for r in jaccard_join.joined(df).collect()}) == 4
+
+
 def test_digest_of_items():
     assert decontamination.items_digest(["1", "2"]) == hashlib.sha256(b"1,2").hexdigest()
