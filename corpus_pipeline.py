@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from framesift.llm import decontamination, jaccard_join, mixing, token_files, toxicity
-from framesift.llm.common import table, text_key
+from framesift.llm.common import table, text_key, text_of
 from framesift.session import store
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +33,19 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near copies; documents without words all stay.
+    """The first document of each component of near copies; rows without words all stay.
 
-    Near copies are those of five-word similarity 0.8, where ``op3_jaccard_join`` takes four words and 0.85.
+    Of rows that agree in id and text, the one with the least other columns, in their order, stays. Near copies are those of five-word similarity 0.8, where ``op3_jaccard_join`` takes four words and 0.85.
     """
     rows = jaccard_join.joined(docs, SHINGLE_WORDS, SIMILAR_HUNDREDTHS)
-    lone = rows.filter("root IS NULL").select("doc_id", "key")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.key")
-    return _rows_of(docs, lone.union(first), "left_semi").dropDuplicates()
+    worded = text_of().rlike(r"[^\x20\x09-\x0D]")
+    kept = _rows_of(docs.filter(worded), first, "left_semi")
+    rest = F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")), "text")
+    one = kept.select("doc_id", text_key().alias("key"), rest.alias("rest")).groupBy("doc_id", "key").agg(F.min("rest").alias("rest"))
+    one = one.select(*("doc_id" if c == "doc_id" else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    return docs.filter(~worded).union(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

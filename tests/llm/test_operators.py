@@ -333,5 +333,15 @@ def test_pipeline_takes_near_copies_by_five_words(spark, tmp_path):
     assert len({r.component_id for r in jaccard_join.joined(df).collect()}) == 4
 
 
+def test_pipeline_keeps_wordless_rows_and_one_row_of_a_document(spark, tmp_path):
+    """Equal rows without words all stay; of rows with equal id and text the first by their other columns does."""
+    blank = [(1, None, "en", "a", 0, 1, "k", 1), (1, None, "en", "a", 0, 1, "k", 1), (None, " \n\t", "en", "a", 3, 1, "k", 1), (None, " \n\t", "en", "a", 3, 1, "k", 1)]
+    same = [(2, "some words", "en", "b", 10, 1, "k", 1), (2, "some words", "en", "a", 11, 1, "k", 1), (2, "some words", "en", "a", 10, 1, "k", 1), (2, "some words", "en", "a", 10, 1, "k", 1)]
+    others = [(3, "some words", "en", "a", 1, 1, "k", 1), (None, "\x00", None, None, 1, 1, None, 1), (None, "\x00", None, "a", 1, 1, None, 1)]
+    df = spark.createDataFrame([*blank, *same, *others], SCHEMA).repartition(3)
+    found = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, df, str(tmp_path))
+    assert got(found, *found.columns) == Counter([*blank, same[2], others[1]])
+
+
 def test_digest_of_items():
     assert decontamination.items_digest(["1", "2"]) == hashlib.sha256(b"1,2").hexdigest()
