@@ -157,3 +157,10 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - n + 1 + k])
     return out
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that a later one has replaced."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from framesift.llm import decontamination, jaccard_join, language_model, line_dedup, mixing, quality_rules, substring_dedup, token_files, tokens, toxicity
+from framesift.llm import (
+    decontamination, forest_search, jaccard_join, language_model, line_dedup, merkle_log, mixing, quality_rules, substring_dedup, token_files, tokens, toxicity,
+    vector_codes,
+)
+from framesift.llm import queries_sql
 from framesift.llm.common import table
 from pyspark.sql import functions as F
 
@@ -66,11 +70,29 @@ def op8_token_files(spark, folder):
     return token_files.token_digests(token_files.read_tokens(spark, path))
 
 
+def op11_forest_search(spark, folder):
+    found = forest_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op12_vector_codes(spark, folder):
+    rows, codes = vector_codes.coded(table(spark, folder, "embeddings"))
+    return vector_codes.with_label_errors(rows).select(
+        F.col("id").alias("vec_id"), "code", vector_codes.as_long("error"), vector_codes.as_long("label_error"),
+        F.lit(vector_codes.digest_of(codes)).alias("codebooks_sha256"),
+    )
+
+
+def op13_merkle_log(spark, folder):
+    return merkle_log.proven(table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_mixing, op3_jaccard_join, op4_toxicity, op5_decontamination,
         op6_token_counts, op7_suffix_dedup, op8_token_files, op9_language_model, op10_quality_rules,
+        op11_forest_search, op12_vector_codes, op13_merkle_log,
     )
 }
 
@@ -122,4 +144,9 @@ SELECT doc_id, count(*)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_
 FROM ranked GROUP BY doc_id
 """
 
-ORACLE = {"op1_line_dedup": _OP1, "op2_mixing": _OP2}
+ORACLE = {
+    "op1_line_dedup": _OP1,
+    "op2_mixing": _OP2,
+    "op12_vector_codes": queries_sql.vector_codes(),
+    "op13_merkle_log": queries_sql.merkle_log(),
+}
