@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.functions.lines import classify, is_frame_boundary
-from framesift.operators import buffers, export, kinds, search, shaders, stats
+from framesift.operators import buffers, compare, export, kinds, postings, search, shaders, stats
+from framesift.operators import expressions as ex
 from framesift.operators.stats import FRAME_LIST_COLUMNS
 from framesift.plans import answers
-from framesift.plans.corpus import lines, parsed
+from framesift.plans.corpus import lines, once, parsed
 from framesift.session import shared_root
-from framesift.sources import views
-from framesift.sources.text import detect_encodings, frame_offsets, log_sizes, read_lines, with_byte_places
+from framesift.sources import saved, views
+from framesift.sources.text import encodings, frame_offsets, log_sizes, read_lines, with_byte_places
+from framesift.streaming.capture import capture, captured_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -493,6 +495,150 @@ def text_source_calls(spark, d):
     return calls.groupBy("line_class", "api_name").agg(F.count("*").alias("n"), F.try_sum("value").alias("value"))
 
 
+def _log_files(spark, log, path, encoding="UTF-8", mark=""):
+    """Write each log of a corpus as one file, in a folder named after it."""
+    first = F.col("line_num") == 1
+    text = F.when(first, F.concat(F.lit(mark), F.col("content"))).otherwise(F.col("content")) if mark else F.col("content")
+    rows = log.select("log_id", "line_num", text.alias("content")).repartition("log_id").sortWithinPartitions("log_id", "line_num")
+    # A line is one field: the separator and the quote never occur in a log.
+    plain = rows.select("log_id", "content").write.mode("append").partitionBy("log_id")
+    plain.options(sep="\u0001", quote="\u0000", emptyValue="", encoding=encoding, lineSep="\n").csv(path)
+
+
+def _log_of_file():
+    return F.regexp_extract("log_id", r"log_id=(\w+)/", 1).cast("bigint").alias("log_id")
+
+
 @query
 def text_source_encodings(spark, d):
-    return detect_encodings(spark, _text_copy(spark, d)).select("encoding").distinct()
+    """Logs per encoding, told by the first bytes of files in UTF-8 and both kinds of UTF-16."""
+    path, log, third = _folder(spark), lines(spark, d, "agg").lines, F.col("log_id") % 3
+    _log_files(spark, log.filter(third == 0), path)
+    _log_files(spark, log.filter(third == 1), path, "UTF-16LE", "\ufeff")
+    _log_files(spark, log.filter(third == 2), path, "UTF-16BE", "\ufeff")
+    found = encodings(read_lines(spark, path))
+    return found.groupBy("encoding").agg(F.count("*").alias("n_logs"), F.sum(_log_of_file()).alias("sum_of_ids"))
+
+
+# Corpora that are saved and opened again.
+
+def _reopened(spark, d, name="agg"):
+    def save():
+        path = _folder(spark)
+        saved.save_logs(parsed(spark, d, name), path)
+        return path
+
+    return saved.open_logs(spark, once(spark, d, f"{name}/saved", save))
+
+
+@query
+def reopened_summary(spark, d):
+    return answers.summary(_reopened(spark, d).parsed)
+
+
+@query
+def reopened_calls_of_logs(spark, d):
+    """Calls of two logs; the folders of all others are left out."""
+    return _reopened(spark, d).only([3, 8]).api_calls
+
+
+@query
+def reopened_shaders(spark, d):
+    return _reopened(spark, d, "shader").parsed.shaders
+
+
+@query
+def reopened_mixed_search(spark, d):
+    found = search.keyword_search(_reopened(spark, d, "mixed").parsed.lines, ["BIND", "1"])
+    return search.with_page_numbers(found, 5).select("log_id", "line_num", "content", "page_num")
+
+
+def _stored_postings(spark, d):
+    def save():
+        path = _folder(spark)
+        postings.save_postings(parsed(spark, d, "trace").calls, path)
+        return path
+
+    return postings.open_postings(spark, once(spark, d, "trace/postings", save))
+
+
+@query
+def stored_postings_lookup(spark, d):
+    """Lines of one function between two lines, from the row groups that may hold some."""
+    return postings.lines_of(_stored_postings(spark, d), "glRF", first_line=20, last_line=60)
+
+
+@query
+def stored_postings_of_functions(spark, d):
+    return postings.calls_of_functions(_stored_postings(spark, d))
+
+
+# Logs that arrive in a folder.
+
+def _captured(spark, d):
+    """All logs captured as files: a first part, and the rest after a restart."""
+    return once(spark, d, "agg/captured", lambda: _capture(spark, d))
+
+
+def _capture(spark, d):
+    log, root = lines(spark, d, "agg").lines, _folder(spark)
+    for late in (False, True):
+        _log_files(spark, log.filter((F.col("log_id") % 4 == 0) == F.lit(late)), f"{root}/logs")
+        capture(spark, f"{root}/logs", f"{root}/corpus", f"{root}/checkpoint", pattern="*.csv").awaitTermination()
+    return f"{root}/corpus"
+
+
+@query
+def captured_frames(spark, d):
+    return saved.open_logs(spark, _captured(spark, d)).parsed.frames.select(_log_of_file(), *FRAME_COLUMNS[1:])
+
+
+@query
+def captured_logs_per_batch(spark, d):
+    return captured_batches(saved.manifest(spark, _captured(spark, d)))
+
+
+# Two runs compared: logs with even and odd numbers, paired in order.
+
+def _halves(spark, d, table):
+    rows = getattr(parsed(spark, d, "trace"), table).withColumn("pair", F.expr("log_id div 2"))
+    return rows.filter("log_id % 2 = 0"), rows.filter("log_id % 2 = 1")
+
+
+@query
+def compared_functions(spark, d):
+    before, after = _halves(spark, d, "calls")
+    # Functions that only one run calls are told apart.
+    return compare.compare_functions(before.filter("api_name <> 'glRF'"), after.filter("api_name <> 'glAF'"))
+
+
+@query
+def compared_frames(spark, d):
+    return compare.compare_frames(*_halves(spark, d, "frames"), "pair")
+
+
+@query
+def compared_runs(spark, d):
+    return compare.compare_runs(*_halves(spark, d, "frames"))
+
+
+@query
+def regressed_frames(spark, d):
+    return compare.regressions(compare.compare_frames(*_halves(spark, d, "frames"), "pair"), least_growth=1.5)
+
+
+# Searches of words, patterns, AND and OR.
+
+@query
+def expression_search(spark, d):
+    asked = (ex.word("THE") | ex.word("license")) & ~ex.word("ing on") & ex.pattern(r"\b[A-Z][a-z]+s\b")
+    return ex.search(views.text_lines(spark, d), asked).select("log_id", "line_num", "content")
+
+
+@query
+def expression_search_in_frames(spark, d):
+    """Calls by words or pattern in a range of frames whose time is in a range."""
+    p = parsed(spark, d, "trace")
+    calls = search.calls_in_duration_range(search.frame_range(p.api_calls, 2, 9), p.frames, 40000, 120000)
+    asked = ex.any_of(ex.word("glrf"), ex.pattern(r"^glN\w$"))
+    return calls.filter(ex.matches(asked, F.col("api_name"))).select("log_id", "frame_num", "line_num", "api_name", "time_us")

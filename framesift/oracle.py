@@ -261,6 +261,29 @@ FROM seen GROUP BY log_id"""
 
 _CLASS = "CASE WHEN content LIKE 'swapBuffers%' THEN 'swap' WHEN content LIKE '%frame cost%' THEN 'cost' ELSE 'call' END"
 
+_SIDE = "CASE WHEN b.{key} IS NULL THEN 'after' WHEN a.{key} IS NULL THEN 'before' ELSE 'both' END AS side"
+
+
+def _changes(*measures: str) -> str:
+    return ", ".join(
+        f"b.{m} AS {m}_before, a.{m} AS {m}_after, coalesce(a.{m}, 0) - coalesce(b.{m}, 0) AS {m}_change, "
+        f"CASE WHEN b.{m} > 0 THEN a.{m} / b.{m} END AS {m}_growth"
+        for m in measures
+    )
+
+
+def _run(name: str, calls: str, odd: str, where: str) -> str:
+    return f"""{name} AS (SELECT api_name, count(*) AS call_count, CAST(sum(time_us) AS BIGINT) AS total_time_us,
+      CAST(sum(time_us) AS BIGINT) // count(*) AS avg_time_us FROM {calls} WHERE log_id % 2 = {odd} AND {where} GROUP BY api_name)"""
+
+
+_COMPARED_FRAMES = f"""
+fb AS (SELECT *, log_id // 2 AS pair FROM frames WHERE log_id % 2 = 0),
+fa AS (SELECT *, log_id // 2 AS pair FROM frames WHERE log_id % 2 = 1),
+compared AS (SELECT coalesce(b.pair, a.pair) AS pair, coalesce(b.frame_num, a.frame_num) AS frame_num, {_SIDE.format(key="pair")},
+    {_changes("total_time_us", "swap_time_us", "api_call_count")}
+  FROM fb b FULL JOIN fa a ON a.pair = b.pair AND a.frame_num = b.frame_num)"""
+
 ORACLE: dict[str, str] = {
     "frames": f"{AGG} SELECT * FROM frames",
     "api_calls": f"{AGG} SELECT * FROM calls",
@@ -442,5 +465,40 @@ ORACLE: dict[str, str] = {
       CASE WHEN {_CLASS} = 'call' THEN regexp_extract(content, '^(\\w+)', 1) END AS api_name, count(*) AS n,
       CAST(sum(CAST(regexp_extract(content, '(\\d+) us$', 1) AS BIGINT)) AS BIGINT) AS value
       FROM trace_lines GROUP BY ALL""",
-    "text_source_encodings": "SELECT 'utf-8' AS encoding",
+    "text_source_encodings": """SELECT CASE log_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16-le' ELSE 'utf-16-be' END AS encoding,
+      count(*) AS n_logs, CAST(sum(log_id) AS BIGINT) AS sum_of_ids
+      FROM (SELECT DISTINCT user_id AS log_id FROM events) GROUP BY log_id % 3""",
+    "reopened_calls_of_logs": f"{AGG} SELECT * FROM calls WHERE log_id IN (3, 8)",
+    "reopened_shaders": f"{SHADER} SELECT * FROM shaders",
+    "reopened_mixed_search": f"""{MIXED} SELECT log_id, line_num, content,
+      (row_number() OVER (PARTITION BY log_id ORDER BY line_num) - 1) // 5 AS page_num
+      FROM mixed WHERE contains(lower(content), 'bind') AND contains(content, '1')""",
+    "stored_postings_lookup": f"""{TRACE} SELECT api_name, log_id, line_num FROM calls
+      WHERE api_name = 'glRF' AND line_num BETWEEN 20 AND 60""",
+    "stored_postings_of_functions": f"""{TRACE} SELECT api_name, log_id, count(*) AS n_calls, min(line_num) AS first_line,
+      max(line_num) AS last_line FROM calls GROUP BY api_name, log_id""",
+    "captured_frames": f"{AGG} SELECT * FROM frames",
+    "captured_logs_per_batch": """SELECT CAST(CASE WHEN log_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS batch, count(*) AS n_logs
+      FROM (SELECT DISTINCT user_id AS log_id FROM events) GROUP BY log_id % 4 = 0""",
+    "compared_functions": f"""{TRACE}, {_run("b", "calls", "0", "api_name <> 'glRF'")}, {_run("a", "calls", "1", "api_name <> 'glAF'")}
+      SELECT coalesce(b.api_name, a.api_name) AS api_name, {_SIDE.format(key="api_name")},
+        {_changes("call_count", "total_time_us", "avg_time_us")}
+      FROM b FULL JOIN a ON a.api_name = b.api_name""",
+    "compared_frames": f"{TRACE}, {_COMPARED_FRAMES} SELECT * FROM compared",
+    "compared_runs": f"""{TRACE}, r AS (SELECT CASE log_id % 2 WHEN 0 THEN 'before' ELSE 'after' END AS run, count(*) AS total_frames,
+        CAST(sum(total_time_us) AS BIGINT) AS total_time_us, CAST(sum(total_time_us) AS BIGINT) // count(*) AS avg_time_us,
+        max(total_time_us) AS max_time_us, min(total_time_us) AS min_time_us FROM frames GROUP BY log_id % 2)
+      SELECT r.*, r.total_frames - o.total_frames AS total_frames_beyond_other, r.total_time_us - o.total_time_us AS total_time_us_beyond_other,
+        r.avg_time_us - o.avg_time_us AS avg_time_us_beyond_other, r.max_time_us - o.max_time_us AS max_time_us_beyond_other,
+        r.min_time_us - o.min_time_us AS min_time_us_beyond_other
+      FROM r LEFT JOIN r o ON r.run <> o.run""",
+    "regressed_frames": f"""{TRACE}, {_COMPARED_FRAMES} SELECT * FROM compared
+      WHERE total_time_us_growth > 1.5 OR side = 'after' AND total_time_us_after > 0""",
+    "expression_search": f"""{TEXT} SELECT log_id, line_num, content FROM text_lines
+      WHERE (contains(lower(content), 'the') OR contains(lower(content), 'license')) AND NOT contains(lower(content), 'ing on')
+        AND regexp_matches(content, '\\b[A-Z][a-z]+s\\b')""",
+    "expression_search_in_frames": f"""{TRACE} SELECT log_id, frame_num, line_num, api_name, time_us FROM calls JOIN
+      (SELECT log_id, frame_num FROM frames WHERE total_time_us BETWEEN 40000 AND 120000) USING (log_id, frame_num)
+      WHERE frame_num BETWEEN 2 AND 9 AND (contains(lower(api_name), 'glrf') OR regexp_matches(api_name, '^glN\\w$'))""",
 }
+ORACLE["reopened_summary"] = ORACLE["parse_summary"]

@@ -15,7 +15,7 @@ _TABLES = {"agg": "events", "raw": "events", "mixed": "events", "trace": "lineit
 _kept: dict[tuple, object] = {}
 
 
-def _once(spark: SparkSession, folder: str, name: str, make: Callable[[], object]):
+def once(spark: SparkSession, folder: str, name: str, make: Callable[[], object]):
     """Keep a result for the session, for as long as the files under it stay the same."""
     # Lists the files only: their content is not selected, hence not read.
     listed = spark.read.format("binaryFile").load(f"{folder}/{_TABLES[name.split('/')[0]]}.parquet")
@@ -30,8 +30,8 @@ def _once(spark: SparkSession, folder: str, name: str, make: Callable[[], object
 def mixed_lines(spark: SparkSession, folder: str) -> LogLines:
     """Aggregated and raw logs of the same events in one corpus, told apart by their id."""
     def named(log: LogLines, letter: str) -> tuple[DataFrame, DataFrame]:
-        # Chunk ids of the two corpora are kept apart by the second highest bit.
-        chunk = F.col("chunk_id") + (2**62 if letter == "r" else 0)
+        # Chunk ids of the two corpora are kept apart by a bit beyond those of partitions.
+        chunk = F.col("chunk_id") + (2**52 if letter == "r" else 0)
         return tuple(
             df.withColumns({"log_id": F.concat(F.lit(letter), F.col("log_id")), "chunk_id": chunk})
             for df in (log.lines, log.chunks)
@@ -47,9 +47,9 @@ def lines(spark: SparkSession, folder: str, name: str) -> LogLines:
         "agg": views.agg_lines, "raw": views.raw_lines, "trace": views.bench_lines, "shader": views.shader_lines,
         "mixed": mixed_lines,
     }[name]
-    return _once(spark, folder, f"{name}/lines", lambda: make(spark, folder))
+    return once(spark, folder, f"{name}/lines", lambda: make(spark, folder))
 
 
 def parsed(spark: SparkSession, folder: str, name: str) -> ParsedLogs:
     parse = {"agg": parse_aggregated, "trace": parse_aggregated, "shader": parse_aggregated, "raw": parse_raw, "mixed": parse_lines}[name]
-    return _once(spark, folder, f"{name}/parsed", lambda: parse(lines(spark, folder, name)))
+    return once(spark, folder, f"{name}/parsed", lambda: parse(lines(spark, folder, name)))
