@@ -20,7 +20,8 @@ LONG_MAX = 2**63 - 1
 
 def is_noise(c: Column) -> Column:
     """Lines that an aggregated log never uses: blank, browser, warning, error, gc, vendor."""
-    return (c == "") | c.rlike(p.NOISE_LINE)
+    # Calls and shader text begin with other characters, which spares them the pattern.
+    return (c == "") | (F.substring(c, 1, 1).isin(*p.NOISE_STARTS) & c.rlike(p.NOISE_LINE))
 
 
 def is_fps(c: Column) -> Column:

@@ -24,6 +24,8 @@ NOISE_LINE = (
     r"(?s)^(?:(?:\d+\s+)?\[\d+:\d+:\d+.*\]|warning:|\[\d+:\d+:\d+.*ERROR"
     rf"|<<gc = 0x[a-fA-F0-9]+>>\z|{SEQ_PREFIX}vendor:)"
 )
+# The characters that a line of this kind can begin with.
+NOISE_STARTS = [*"0123456789[w<v"]
 SHADER_HEADER = r"^\[\s*\d+\]\s+\(gc=[^)]+,\s+tid=[^)]+\):\s+glShaderSource\s+(\d+)\s"
 SHADER_FENCE = rf"^{SEQ_PREFIX}####\r?\z"
 

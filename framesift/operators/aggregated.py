@@ -158,9 +158,17 @@ def _step() -> Column:
     return F.when(klass == CALL, OPENS).when(klass == SWAP, CLOSES)
 
 
-def _wide(column: str) -> Column:
-    """Times as decimals, so that totals of whole logs never overflow."""
-    return F.col(column).cast("decimal(19,0)")
+# Times are summed as two whole numbers, of their upper and lower bits: sums of rows then stay
+# plain 64-bit additions and never overflow. Decimals are used for rows of frames and chunks only.
+LOW_BITS = 31
+
+
+def _halves(value: Column) -> tuple[Column, Column]:
+    return F.shiftright(value, LOW_BITS), value.bitwiseAND(2**LOW_BITS - 1)
+
+
+def _whole(high: Column, low: Column) -> Column:
+    return high.cast("decimal(38,0)") * F.lit(2**LOW_BITS).cast("decimal(11,0)") + low.cast("decimal(20,0)")
 
 
 def mark(rows: DataFrame) -> DataFrame:
@@ -169,12 +177,13 @@ def mark(rows: DataFrame) -> DataFrame:
     w = in_chunk()
     klass, step, opened = F.col("line_class"), F.col("step"), F.col("open")
     df = rows.withColumn("step", _step())
-    is_call = step == OPENS
+    high, low = _halves(F.when(step == OPENS, F.col("value")).otherwise(0))
     return (
         df.select(
             "*",
             F.last("step", ignorenulls=True).over(before(w)).alias("open"),
-            F.sum(F.when(is_call, _wide("value")).otherwise(0)).over(upto(w)).alias("time_here"),
+            F.sum(high).over(upto(w)).alias("high_here"),
+            F.sum(low).over(upto(w)).alias("low_here"),
         )
         .select(
             "*",
@@ -196,7 +205,7 @@ def carry(marks: DataFrame, log: LogLines) -> DataFrame:
         F.min_by(step, stepped).alias("first_step"),
         F.max_by(step, stepped).alias("last_step"),
         F.sum(F.when((step == CLOSES) & (F.col("open") == OPENS), 1).otherwise(0)).alias("n_closed"),
-        F.max("time_here").alias("n_time"),
+        _whole(F.max("high_here"), F.max("low_here")).alias("n_time"),
     ).join(log.chunks.select("log_id", CHUNK), CHUNK)
     prior = earlier_chunks()
     open_in = F.coalesce(F.last("last_step", ignorenulls=True).over(prior), F.lit(CLOSES))
@@ -208,10 +217,13 @@ def carry(marks: DataFrame, log: LogLines) -> DataFrame:
     def total_before(c: Column) -> Column:
         return F.coalesce(F.sum(c).over(prior), F.lit(0))
 
+    time = total_before(F.col("n_time"))
     return chunks.select(
         "log_id", CHUNK, "open_in", "ends_carried",
         total_before(F.col("n_closed") + F.col("ends_carried")).alias("frame_base"),
-        total_before(F.col("n_time")).alias("time_base"),
+        # NULL beyond 94 bits, and so are the totals of the frames that need it.
+        F.floor(time / F.lit(2**LOW_BITS)).try_cast("bigint").alias("high_base"),
+        (time % F.lit(2**LOW_BITS)).cast("bigint").alias("low_base"),
     ).join(log.log_ends(), "log_id")
 
 
@@ -229,7 +241,8 @@ def attribute(marks: DataFrame, carried: DataFrame) -> DataFrame:
         opened.alias("in_frame"),
         ((F.col("line_class") == SWAP) & opened).alias("ends_frame"),
         (F.col("frame_base") + F.col("closed_here") + carried_end).alias("frame_num"),
-        (F.col("time_base") + F.col("time_here")).alias("time_so_far"),
+        (F.col("high_base") + F.col("high_here")).alias("high_so_far"),
+        (F.col("low_base") + F.col("low_here")).alias("low_so_far"),
     )
 
 
@@ -248,7 +261,8 @@ def frames(rows: DataFrame) -> DataFrame:
     of call time after a given line come from differences of the running total.
     A frame time that does not fit 64 bits is NULL.
     """
-    line, value, so_far = F.col("line_num"), F.col("value"), F.col("time_so_far")
+    line, value = F.col("line_num"), F.col("value")
+    high, low = _halves(value)
     is_call, ends = F.col("is_call"), F.col("ends_frame")
     cost = F.col("line_class") == COST
     gap_cost, frame_cost = cost & ~F.col("in_frame"), cost & F.col("in_frame")
@@ -260,25 +274,30 @@ def frames(rows: DataFrame) -> DataFrame:
             F.max(F.when(ends, line)).alias("swap_line"),
             F.max(F.when(ends, value)).alias("swap_us"),
             F.max("last_line").alias("last_line"),
-            F.sum(F.when(is_call, _wide("value"))).alias("call_us"),
+            F.sum(F.when(is_call, high)).alias("call_high"),
+            F.sum(F.when(is_call, low)).alias("call_low"),
             F.count(F.when(is_call, 1)).alias("api_call_count"),
-            F.max(F.when(is_call, so_far)).alias("end_so_far"),
+            # Both halves of a running total rise along the lines, so they peak together.
+            *[F.max(F.when(is_call, F.col(f"{h}_so_far"))).alias(f"{h}_at_end") for h in ("high", "low")],
             F.max_by(value, F.when(gap_cost, line)).alias("gap_last"),
             F.max_by(value, F.when(gap_cost & (value > 0), line)).alias("gap_positive"),
             F.max_by(value, F.when(frame_cost & (value > 0), line)).alias("cost_positive"),
-            F.max(F.when(frame_cost & (value > 0), so_far)).alias("so_far_at_positive"),
-            F.min(F.when(frame_cost, so_far)).alias("so_far_at_first"),
+            *[F.max(F.when(frame_cost & (value > 0), F.col(f"{h}_so_far"))).alias(f"{h}_at_positive") for h in ("high", "low")],
+            *[F.min(F.when(frame_cost, F.col(f"{h}_so_far"))).alias(f"{h}_at_first") for h in ("high", "low")],
+            F.bool_or(frame_cost).alias("has_cost"),
         )
         .filter(F.col("api_call_count") > 0)
     )
     gap = F.coalesce(F.col("gap_positive"), F.lit(0))
+
+    def time_after(place: str) -> Column:
+        """Call time between a cost line and the end of the frame; NULL if no such line is there."""
+        return _whole(F.col("high_at_end") - F.col(f"high_{place}"), F.col("low_at_end") - F.col(f"low_{place}"))
+
     total = (
-        F.when(
-            F.col("cost_positive").isNotNull(),
-            F.col("cost_positive") + F.col("end_so_far") - F.col("so_far_at_positive"),
-        )
-        .when(F.coalesce(F.col("gap_last"), F.lit(0)) == 0, gap + F.col("call_us"))
-        .when(F.col("so_far_at_first").isNotNull(), gap + F.col("end_so_far") - F.col("so_far_at_first"))
+        F.when(F.col("cost_positive").isNotNull(), F.col("cost_positive") + time_after("at_positive"))
+        .when(F.coalesce(F.col("gap_last"), F.lit(0)) == 0, gap + _whole(F.col("call_high"), F.col("call_low")))
+        .when(F.col("has_cost"), gap + time_after("at_first"))
         .otherwise(gap)
     )
     swapped = F.col("swap_line").isNotNull()
