@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.functions.lines import classify, is_frame_boundary
+from framesift.functions.lines import classify, fps_value, is_fps, is_frame_boundary, is_noise, is_raw_noise
 from framesift.operators import buffers, compare, export, kinds, postings, search, shaders, stats
 from framesift.operators import expressions as ex
 from framesift.operators.stats import FRAME_LIST_COLUMNS
@@ -137,6 +138,36 @@ def line_classes(spark, d):
     return log.groupBy("log_id", "line_class").agg(F.count("*").alias("n"), F.try_sum("value").alias("value"))
 
 
+# The same with prefixes, rates, unusable numbers and noise.
+
+@query
+def noisy_frames(spark, d):
+    return parsed(spark, d, "noisy").frames.select(*FRAME_COLUMNS)
+
+
+@query
+def noisy_calls(spark, d):
+    return parsed(spark, d, "noisy").api_calls
+
+
+@query
+def noisy_log_summary(spark, d):
+    return parsed(spark, d, "noisy").logs()
+
+
+@query
+def noisy_line_classes(spark, d):
+    log = classify(lines(spark, d, "noisy").lines, "log_id")
+    return log.groupBy("log_id", "line_class").agg(F.count("*").alias("n"), F.max("fps").alias("fps"))
+
+
+@query
+def logged_rates(spark, d):
+    """Every line with a rate that is no noise; the unreadable ones are NULL."""
+    log, c = lines(spark, d, "noisy").lines, F.col("content")
+    return log.filter(is_fps(c) & ~is_noise(c)).select("log_id", "line_num", fps_value(c).alias("fps"))
+
+
 # Functions.
 
 @query
@@ -187,7 +218,7 @@ def rendered_calls(spark, d):
 
 @query
 def rendered_call_search(spark, d):
-    found = search.export_search(parsed(spark, d, "agg").calls, "BIND count=3")
+    found = search.kept(search.export_search(parsed(spark, d, "agg").calls, "BIND count=3"))
     return search.with_page_numbers(found).select("log_id", "line_num", "content", "page_num")
 
 
@@ -239,7 +270,7 @@ def text_lines(spark, d):
 
 
 def _matches(spark, d):
-    return search.keyword_search(views.text_lines(spark, d), WORDS)
+    return search.kept(search.keyword_search(views.text_lines(spark, d), WORDS))
 
 
 @query
@@ -328,6 +359,11 @@ def shader_sources(spark, d):
     return parsed(spark, d, "shader").shaders
 
 
+@query
+def shader_body_lines(spark, d):
+    return parsed(spark, d, "shader").shader_lines.drop("chunk_id")
+
+
 @query
 def shader_list_truncated(spark, d):
     return shaders.shader_list(parsed(spark, d, "shader").shaders)
@@ -370,6 +406,32 @@ def buffer_creations(spark, d):
     return parsed(spark, d, "raw").buffer_creations
 
 
+@query
+def odd_raw_frames(spark, d):
+    return parsed(spark, d, "odd").frames.select(*FRAME_COLUMNS)
+
+
+@query
+def odd_raw_calls(spark, d):
+    return parsed(spark, d, "odd").api_calls
+
+
+@query
+def odd_programs(spark, d):
+    return parsed(spark, d, "odd").programs
+
+
+@query
+def odd_buffer_creations(spark, d):
+    return parsed(spark, d, "odd").buffer_creations
+
+
+@query
+def odd_noise_lines(spark, d):
+    log = lines(spark, d, "odd").lines
+    return log.filter(is_raw_noise(F.col("content"))).select("log_id", "line_num", "content")
+
+
 def _lives(spark, d):
     return buffers.incarnations(parsed(spark, d, "raw").calls)
 
@@ -451,6 +513,50 @@ def export_search_text(spark, d):
     return spark.read.option("lineSep", "\n").text(path)
 
 
+def _six_shapes(spark, d):
+    """Every kind of result that can be exported."""
+    p = parsed(spark, d, "agg")
+    return {
+        "search": search.with_page_numbers(search.kept(search.export_search(p.calls, "draw")), 10),
+        "funcs": stats.func_stats(p.calls), "frames": p.frames, "frame": stats.longest_frame(p.frames),
+        "shader_stats": shaders.shader_call_stats(p.calls), "shaders": parsed(spark, d, "shader").shaders,
+    }
+
+
+def _read_by_log(spark, d, fmt):
+    """All kinds written in folders by log and read back, the fields of a row as one text."""
+    found = []
+    for kind, df in _six_shapes(spark, d).items():
+        path = _folder(spark)
+        export.export(df, kind, fmt, path, parsed(spark, d, "agg").api_calls, by_log=True)
+        names = list(export.HEADINGS[kind])
+        schema = ", ".join(f"{n} string" for n in [*names, "log"])
+        read = spark.read.schema(schema)
+        rows = read.csv(path, header=True, multiLine=True, escape='"') if fmt == "csv" else read.json(path)
+        fields = F.concat_ws("|", *[F.coalesce(n, F.lit("")) for n in names])
+        found.append(rows.select(F.lit(kind).alias("kind"), F.col("log").cast("bigint").alias("log_id"), fields.alias("fields")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def csv_of_each_log(spark, d):
+    return _read_by_log(spark, d, "csv")
+
+
+@query
+def json_of_each_log(spark, d):
+    return _read_by_log(spark, d, "json")
+
+
+@query
+def frame_trees_of_each_log(spark, d):
+    """Frames as trees, written by the exporter in folders by log and read back as lines."""
+    p, path = parsed(spark, d, "agg"), _folder(spark)
+    export.export(search.frame_range(p.frames, 2, 2), "frame", "json", path, by_log=True, parsed=p)
+    lines = spark.read.schema("value string, log bigint").option("lineSep", "\n").text(path)
+    return lines.select(F.col("log").alias("log_id"), "value")
+
+
 @query
 def frame_text(spark, d):
     p = parsed(spark, d, "agg")
@@ -549,7 +655,7 @@ def reopened_shaders(spark, d):
 
 @query
 def reopened_mixed_search(spark, d):
-    found = search.keyword_search(_reopened(spark, d, "mixed").parsed.lines, ["BIND", "1"])
+    found = search.kept(search.keyword_search(_reopened(spark, d, "mixed").parsed.lines, ["BIND", "1"]))
     return search.with_page_numbers(found, 5).select("log_id", "line_num", "content", "page_num")
 
 

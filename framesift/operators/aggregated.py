@@ -51,10 +51,10 @@ def _states_in_chunk(lines: DataFrame) -> DataFrame:
     w = in_chunk()
     klass, line = F.col("line_class"), F.col("line_num")
     fence = klass == FENCE
-    df = classify(survivors(lines), "content")
+    df = classify(lines.filter(~is_noise(F.col("content"))), "content")
     df = df.select(
         "*",
-        F.last(F.when(klass != NOISE, klass), ignorenulls=True).over(before(w)).alias("class_before"),
+        F.last(F.when(~klass.isin(NOISE, FPS), klass), ignorenulls=True).over(before(w)).alias("class_before"),
         F.max(F.when(klass == HEADER, line)).over(upto(w)).alias("header"),
     )
     paired = fence & F.coalesce(F.col("class_before") == HEADER, F.lit(False))
@@ -79,9 +79,10 @@ def _masked(starts_inside: Column) -> Column:
 def _starts(chunks: DataFrame, states: DataFrame) -> DataFrame:
     """For every chunk: does it start inside a block, in which one, after which header."""
     line, klass = F.col("line_num"), F.col("line_class")
+    other = F.when(klass != FPS, line)
     summary = states.groupBy(CHUNK).agg(
-        F.min_by(klass == FENCE, line).alias("starts_with_fence"),
-        F.max_by(klass == HEADER, line).alias("ends_with_header"),
+        F.min_by(klass == FENCE, other).alias("starts_with_fence"),
+        F.max_by(klass == HEADER, other).alias("ends_with_header"),
         F.max_by(F.col("inside").cast("int"), line).alias("inside_end"),
         F.bool_or("anchored").alias("anchored"),
         F.max("header").alias("last_header"),
@@ -140,16 +141,18 @@ def log_rows(log: LogLines, shader: ShaderState | None) -> DataFrame:
         return classify(lines)
     starts = shader.starts.select(CHUNK, "fenced", "starts_inside")
     hidden = F.when(F.col("starts_inside") & (klass != FPS), OTHER).otherwise(klass)
+    plain = starts.filter("not fenced")
+    in_fenced = placed_states(shader).filter(
+        (klass.isin(CALL, SWAP, COST, REJECT) & ~F.col("masked")) | klass.isin(FENCE, FPS)
+    )
     in_plain = (
-        classify(lines.join(starts.filter("not fenced"), CHUNK), "starts_inside")
+        classify(lines.join(plain, CHUNK), "starts_inside")
         .withColumn("line_class", hidden)
         .drop("starts_inside")
     )
-    in_fenced = placed_states(shader).filter(
-        (klass.isin(CALL, SWAP, COST, REJECT) & ~F.col("masked")) | (klass == FENCE)
-    )
-    rates = log.lines.filter(is_fps(c) & ~is_noise(c)).join(starts.filter("fenced").select(CHUNK), CHUNK, "left_semi")
-    return in_plain.unionByName(in_fenced.select(*in_plain.columns)).unionByName(classify(rates))
+    in_fenced = in_fenced.select(*in_plain.columns)
+    # Where all chunks hold shader lines, the text is not read once more for the others.
+    return in_fenced if plain.isEmpty() else in_plain.unionByName(in_fenced)
 
 
 def _step() -> Column:

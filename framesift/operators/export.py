@@ -44,6 +44,8 @@ ORDERS = {
     "frame": ["frame_num"],
 }
 FORMATS = ("txt", "csv", "json")
+# Stands in text results for a source that is too long for one value.
+SOURCE_IN_LINES = "[Source in the table of shader lines]"
 # Rules drawn in text results.
 RULE = "-" * 50
 BETWEEN_SHADERS = "=" * 50
@@ -66,11 +68,20 @@ def _order(kind: str) -> list[Column]:
 
 def headed(df: DataFrame, kind: str, headings: dict[str, dict[str, str]] = HEADINGS) -> DataFrame:
     """The columns of a result kind under their headings, in order of log and row."""
+    return df.orderBy("log_id", *_order(kind)).select(*_headings(kind, headings))
+
+
+def headed_by_log(df: DataFrame, kind: str, headings: dict[str, dict[str, str]] = HEADINGS) -> DataFrame:
+    """The same with a leading column ``log``, each log in order in neighbouring partitions."""
+    order = ["log", *_order(kind)]
+    ranged = df.withColumnRenamed("log_id", "log").repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select("log", *_headings(kind, headings))
+
+
+def _headings(kind: str, headings: dict[str, dict[str, str]]) -> list[Column]:
     if kind not in headings:
         raise ValueError(f"unsupported data type for export: {kind}")
-    return df.orderBy("log_id", *_order(kind)).select(
-        *[F.col(column).alias(name) for name, column in headings[kind].items()]
-    )
+    return [F.col(column).alias(name) for name, column in headings[kind].items()]
 
 
 def two_decimals(value: Column) -> Column:
@@ -114,7 +125,7 @@ def shader_text(shaders: DataFrame) -> Document:
     """Id, rule and source of every shader, with a double rule before all but the first of a log."""
     first = shaders.groupBy("log_id").agg(F.min(F.struct("frame_num", "block_num")).alias("first"))
     is_first = F.struct("frame_num", "block_num") == F.col("first")
-    entry = [F.format_string("Shader ID: %d", "shader_id"), F.lit(RULE), F.col("source")]
+    entry = [F.format_string("Shader ID: %d", "shader_id"), F.lit(RULE), F.coalesce("source", F.lit(SOURCE_IN_LINES))]
     gap = [F.lit(""), F.lit(BETWEEN_SHADERS), F.lit("")]
     lines = shaders.join(first, "log_id").select(
         "log_id", "frame_num", "block_num",
@@ -303,25 +314,38 @@ def write_document(doc: Document, path: str, by_log: bool = False) -> None:
         doc.sorted().select("value").write.text(path)
 
 
-def export(df: DataFrame, kind: str, fmt: str, path: str, calls: DataFrame | None = None) -> None:
-    """Write a result of one kind as txt, csv or json."""
+def export(
+    df: DataFrame, kind: str, fmt: str, path: str, calls: DataFrame | None = None, by_log: bool = False, parsed=None
+) -> None:
+    """Write a result of one kind as txt, csv or json; with ``by_log`` each log in a folder of its own.
+
+    Frames as json are whole trees with calls, shaders, programs and buffers if the parsed logs
+    are given, else rows of their numbers.
+    """
     if df is None:
         raise ValueError("nothing to export")
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format: {fmt}")
     if kind not in HEADINGS:
         raise ValueError(f"unsupported data type for export: {kind}")
+    head = headed_by_log if by_log else headed
+
+    def writer(rows: DataFrame):
+        return rows.write.partitionBy("log") if by_log else rows.write
+
     if fmt == "csv":
         # Blanks at both ends belong to the texts.
         blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-        headed(df, kind).write.options(header=True, escape='"', **blanks).csv(path)
+        writer(head(df, kind)).options(header=True, escape='"', **blanks).csv(path)
+    elif fmt == "json" and kind in ("frames", "frame") and parsed is not None:
+        write_document(frames_json(parsed, df), path, by_log)
     elif fmt == "json":
         if kind == "shaders":
             # Fields without a value are left out.
             df = df.withColumn("command_line", F.when(F.col("command_line") != "", F.col("command_line")))
-        headed(df, kind, JSON_HEADINGS).write.json(path)
+        writer(head(df, kind, JSON_HEADINGS)).json(path)
     else:
-        write_document(text_of(df, kind, calls), path)
+        write_document(text_of(df, kind, calls), path, by_log)
 
 
 def text_of(df: DataFrame, kind: str, calls: DataFrame | None = None) -> Document:

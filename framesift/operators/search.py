@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.operators.scan import rank_in_log
+from framesift.session import store
 
 LINES_PER_PAGE = 1000
 PAGE_SIZE = 50
@@ -42,6 +43,15 @@ def pattern_search(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.filter(F.col("content").rlike(pattern)).withColumn("position", F.col("line_num") - 1)
 
 
+def kept(matches: DataFrame) -> DataFrame:
+    """Matches written once, for results that are paged.
+
+    Pages, totals and previews need the matches and their number in each chunk. Asked of kept
+    matches, none of them reads the text again.
+    """
+    return store(matches, "matches")
+
+
 def with_page_numbers(matches: DataFrame, per_page: int = LINES_PER_PAGE) -> DataFrame:
     """Page of each match within its log, from 0."""
     ranked = rank_in_log(matches, "rank")

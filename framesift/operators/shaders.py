@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.functions.lines import FENCE, HEADER, NOISE
+from framesift.functions.lines import FENCE, FPS, HEADER, NOISE
 from framesift.operators.aggregated import ShaderState, placed_states, survivors
 from framesift.operators.scan import CHUNK
 from framesift.sources.loglines import LogLines
@@ -14,34 +14,60 @@ from framesift.sources.loglines import LogLines
 LIST_SOURCE_CHARS = 2000
 CUT_NOTE = "\n[Source truncated]"
 PREVIEW_CHARS = 50
+#: A source longer than this is not put together, as it would have to fit into one value of one
+#: task: it is NULL, and its lines are in the table of body lines like those of all others.
+LONGEST_SOURCE_BYTES = 64 * 2**20
 # Fixed values of the expanded view.
 VIEW_SOURCE_CHARS = 50000
 VIEW_CUT_NOTE = "...[truncated]"
 
 
-def shaders(log: LogLines, shader: ShaderState, rows: DataFrame, frames: DataFrame) -> DataFrame:
+def body_lines(log: LogLines, shader: ShaderState) -> DataFrame:
+    """``log_id, chunk_id, line_num, block, content`` of the lines inside shader blocks.
+
+    Line text is read only from chunks that hold shader lines or start inside a block; a block
+    of any length is as many rows as it has lines.
+    """
+    klass, columns = F.col("line_class"), ["log_id", CHUNK, "line_num", "block", "content"]
+    here = placed_states(shader).filter(F.col("masked") & ~klass.isin(FENCE, HEADER, NOISE, FPS)).select(*columns)
+    inside = shader.starts.filter("starts_inside and not fenced").select(CHUNK, F.col("block_base").alias("block"))
+    if inside.isEmpty():
+        return here
+    return here.unionByName(survivors(log.lines.join(inside, CHUNK)).select(*columns))
+
+
+def lines_of_shaders(body: DataFrame, shaders: DataFrame) -> DataFrame:
+    """``log_id, frame_num, block_num, chunk_id, line_num, content`` of the kept blocks."""
+    blocks = shaders.select("log_id", "frame_num", "block_num")
+    return body.withColumnRenamed("block", "block_num").join(blocks, ["log_id", "block_num"]).select(
+        "log_id", "frame_num", "block_num", CHUNK, "line_num", "content"
+    )
+
+
+def _sources(body: DataFrame) -> DataFrame:
+    """``log_id, block, source``: a block is joined within each chunk, then over its chunks,
+    unless it is too long for one value."""
+    # A chunk is one split of the input, which bounds a piece.
+    pieces = body.groupBy("log_id", CHUNK, "block").agg(
+        F.sum(F.octet_length("content").cast("bigint") + 1).alias("bytes"), _in_order("line_num", "content").alias("piece")
+    )
+    whole = F.sum("bytes").over(Window.partitionBy("log_id", "block"))
+    fits = pieces.withColumn("fits", whole <= LONGEST_SOURCE_BYTES)
+    # Pieces of a block that does not fit are NULL and hence never gathered.
+    fits = fits.withColumn("piece", F.when(F.col("fits"), F.col("piece")))
+    joined = fits.groupBy("log_id", "block").agg(F.first("fits").alias("fits"), _in_order("chunk_id", "piece").alias("source"))
+    return joined.select("log_id", "block", F.when(F.col("fits"), F.col("source")).alias("source"))
+
+
+def shaders(body: DataFrame, shader: ShaderState, rows: DataFrame, frames: DataFrame) -> DataFrame:
     """One row per kept shader block: frame, id, command line and source.
 
     A block closed by a fence is kept if it has text and a frame is open there; one
     restarted by a new header is lost; one open at the end goes to the last frame.
-    Line text is read only from chunks that hold shader lines or start inside a block.
     """
     klass = F.col("line_class")
     placed = placed_states(shader)
-    body_here = placed.filter(F.col("masked") & ~klass.isin(FENCE, HEADER, NOISE)).select(
-        "log_id", CHUNK, "line_num", "block", "content"
-    )
-    inside = shader.starts.filter("starts_inside and not fenced").select(CHUNK, F.col("block_base").alias("block"))
-    body_through = (
-        survivors(log.lines.join(inside, CHUNK)).select("log_id", CHUNK, "line_num", "block", "content")
-    )
-    # A block is first joined within each chunk, then over its chunks.
-    pieces = (
-        body_here.unionByName(body_through)
-        .groupBy("log_id", CHUNK, "block")
-        .agg(_joined("line_num", "content").alias("piece"))
-    )
-    sources = pieces.groupBy("log_id", "block").agg(_joined("chunk_id", "piece").alias("source"))
+    sources = _sources(body)
 
     fences = placed.filter(klass == FENCE)
     opens = fences.filter("masked").select("log_id", "block", F.col("last_header").alias("header"))
@@ -80,8 +106,8 @@ def shaders(log: LogLines, shader: ShaderState, rows: DataFrame, frames: DataFra
     )
 
 
-def _joined(order: str, text: str) -> Column:
-    ordered = F.array_sort(F.collect_list(F.struct(order, text)))
+def _in_order(order: str, text: str) -> Column:
+    ordered = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(order, text))))
     return F.array_join(F.transform(ordered, lambda s: s[text]), "\n")
 
 

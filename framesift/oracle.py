@@ -57,7 +57,22 @@ text_lines AS (
         FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))"""
 
 
-def _rows(lines: str) -> str:
+NOISY_LINES = rf"""{AGG_LINES.replace("agg_lines AS (", "plain AS (").replace("AS content", "AS content, event_id AS e")},
+noisy_lines AS (
+  SELECT log_id, line_num, e % 17 AS odd, CASE e % 17
+    WHEN 0 THEN '[ ' || (e % 90) || '] ' || content WHEN 1 THEN 'x libGL: FPS =  ' || (e % 90) || '.5 (mean)'
+    WHEN 2 THEN 'libGL: FPS = 8.9.1' WHEN 3 THEN 'warning: glLate: count=1, time=' || e || ' us'
+    WHEN 4 THEN '12 [7:8:9 worker] libGL: FPS = 77' WHEN 5 THEN '<<gc = 0x1aF>>' WHEN 6 THEN '[ 4] vendor: count=2, time=9 us'
+    WHEN 7 THEN '' WHEN 8 THEN 'glWide:   count=3,  time=' || e || '  us'
+    WHEN 9 THEN 'glMany: count=99999999999999999999, time=1 us'
+    WHEN 10 THEN '[7:8:9 worker] ERROR glLost: count=1, time=1 us' ELSE content END AS content
+  FROM plain),
+noisy AS (
+  SELECT log_id, line_num, regexp_replace(regexp_replace(content, '^\[ \d+\] ', ''), '  us$', ' us') AS content
+  FROM noisy_lines WHERE odd IN (0, 8) OR odd > 10)"""
+
+
+def _rows(lines: str, every: str = "") -> str:
     """Typed rows with the frame they belong to; ``k`` is A for a call, S a swap, C a cost."""
     return rf"""
 ev AS (
@@ -93,7 +108,7 @@ sums AS (
     coalesce(sum(v) FILTER (WHERE line_num > first_cost), 0) AS after_first
   FROM pts p JOIN nm ON nm.log_id = p.log_id AND nm.frame_num = p.frame_num AND k = 'A'
   GROUP BY p.log_id, p.frame_num),
-ends AS (SELECT log_id, count(*) AS line_count FROM {lines} GROUP BY log_id),
+ends AS (SELECT log_id, count(*) AS line_count FROM {every or lines} GROUP BY log_id),
 tot AS (
   SELECT p.*, n, line_count, CAST(CASE
       WHEN pos_line IS NOT NULL THEN pos_us + after_pos
@@ -111,6 +126,7 @@ frames AS (
 
 AGG = f"WITH {AGG_LINES}, {_rows('agg_lines')}"
 TRACE = f"WITH {TRACE_LINES}, {_rows('trace_lines')}"
+NOISY = f"WITH {NOISY_LINES}, {_rows('noisy', 'noisy_lines')}"
 TEXT = f"WITH {TEXT_LINES}"
 
 RAW_ROWS = r"""
@@ -133,6 +149,24 @@ rframes AS (
   GROUP BY log_id, frame_num HAVING count(*) FILTER (WHERE NOT boundary) > 0)"""
 RAW = f"WITH {RAW_LINES}, {RAW_ROWS}"
 
+# Calls, ids and programs of the odd raw logs are told by the rule that makes their lines.
+ODD = rf"""WITH {RAW_LINES.replace("raw_lines AS (", "plain AS (").replace("END AS content", "END AS content, event_id AS e")},
+odd_lines AS (
+  SELECT log_id, line_num, e % 19 AS odd, e % 7 + 1 AS k, content AS base, CASE e % 19
+    WHEN 0 THEN '[ 7] ' || content WHEN 1 THEN '  glFlush' WHEN 2 THEN '[__dri3 x] glFlush'
+    WHEN 3 THEN '(tid=1 gc=0x1) glFlush' WHEN 4 THEN 'no call' WHEN 5 THEN 'glUseProgram: program = ' || (e % 7 + 1)
+    WHEN 6 THEN 'glGenBuffers: 30, 0x1F -2  ' || (e % 7 + 1) WHEN 7 THEN 'glUniform4f   ' || (e % 7 + 1) || '   0x1F' || chr(9) || '  2'
+    WHEN 8 THEN 'eglSwapBuffers' WHEN 9 THEN 'glUseProgram -4' WHEN 10 THEN 'glUseProgram none' ELSE content END AS content
+  FROM plain),
+rv AS (
+  SELECT log_id, line_num, odd, k, CASE odd WHEN 5 THEN 'glUseProgram' WHEN 6 THEN 'glGenBuffers' WHEN 7 THEN 'glUniform4f'
+      WHEN 8 THEN 'eglSwapBuffers' WHEN 9 THEN 'glUseProgram' WHEN 10 THEN 'glUseProgram' ELSE regexp_extract(base, '^\w+', 0) END AS name,
+    CASE odd WHEN 5 THEN 'program = ' || k WHEN 6 THEN '30, 0x1F -2  ' || k WHEN 7 THEN k || ' 0x1F 2' WHEN 8 THEN ''
+      WHEN 9 THEN '-4' WHEN 10 THEN 'none' ELSE regexp_replace(regexp_replace(base, '^\w+', ''), '^ ', '') END AS params,
+    odd = 8 OR (odd = 0 OR odd > 10) AND base LIKE 'glXSwapBuffers%' AS boundary
+  FROM odd_lines WHERE odd NOT BETWEEN 1 AND 4),
+{RAW_ROWS[RAW_ROWS.index("rn AS ("):].replace("FROM raw_lines", "FROM odd_lines")}"""
+
 BUFFER_ROWS = r"""
 last_calls AS (SELECT log_id, frame_num, max(line_num) AS last_line FROM rcalls GROUP BY log_id, frame_num),
 bev AS (
@@ -335,6 +369,29 @@ ORACLE: dict[str, str] = {
       WHERE content LIKE 'swapBuffers%' OR content LIKE '%frame cost%'""",
     "line_classes": f"""{AGG} SELECT log_id, CASE k WHEN 'A' THEN 'call' WHEN 'S' THEN 'swap' ELSE 'cost' END AS line_class,
       count(*) AS n, CAST(sum(v) AS BIGINT) AS value FROM ev GROUP BY log_id, k""",
+    "noisy_frames": f"{NOISY} SELECT * FROM frames",
+    "noisy_calls": f"{NOISY} SELECT * FROM calls",
+    "noisy_log_summary": f"""{NOISY}, facts AS (SELECT log_id, count(*) FILTER (odd = 9) AS n_rejects, max_by(
+        CAST(nullif(regexp_extract(content, 'FPS =  (\\d+\\.5)', 1), '') AS DOUBLE), line_num) FILTER (odd = 1) AS rate FROM noisy_lines GROUP BY log_id),
+      logs AS ({_LOGS.format(kind="'apitrace'", ends="ends", frames="frames")})
+      SELECT logs.* REPLACE (CASE WHEN rate > 0 THEN rate ELSE fps END AS fps, n_rejects AS rejects) FROM logs JOIN facts USING (log_id)""",
+    "noisy_line_classes": """WITH """ + NOISY_LINES + """, named AS (SELECT log_id, CASE WHEN odd IN (1, 2) THEN 'fps'
+        WHEN odd BETWEEN 3 AND 7 OR odd = 10 THEN 'noise' WHEN odd = 8 THEN 'call' WHEN odd = 9 THEN 'reject'
+        WHEN contains(content, 'swapBuffers') THEN 'swap' WHEN contains(content, 'frame cost') THEN 'cost' ELSE 'call' END AS line_class,
+        CASE WHEN odd = 1 THEN CAST(regexp_extract(content, '(\\d+\\.5)', 1) AS DOUBLE) END AS fps FROM noisy_lines)
+      SELECT log_id, line_class, count(*) AS n, max(fps) AS fps FROM named GROUP BY log_id, line_class""",
+    "logged_rates": f"""WITH {NOISY_LINES} SELECT log_id, line_num,
+      CASE WHEN odd = 1 THEN CAST(regexp_extract(content, '(\\d+\\.5)', 1) AS DOUBLE) END AS fps FROM noisy_lines WHERE odd IN (1, 2)""",
+    "odd_raw_frames": f"{ODD} SELECT * FROM rframes",
+    "odd_raw_calls": f"{ODD} SELECT * FROM rcalls",
+    "odd_programs": f"""{ODD} SELECT log_id, frame_num, line_num, k AS program_id FROM rn
+      WHERE name = 'glUseProgram' AND odd NOT IN (9, 10)""",
+    "odd_buffer_creations": f"""{ODD}, made AS (SELECT log_id, frame_num, line_num, unnest(ids) AS id FROM (SELECT *, CASE odd WHEN 6
+        THEN [{{'pos': 0, 'id': 30}}, {{'pos': 1, 'id': -2}}, {{'pos': 2, 'id': k}}] ELSE [{{'pos': 0, 'id': k}}] END AS ids
+        FROM rn WHERE name = 'glGenBuffers'))
+      SELECT log_id, frame_num, line_num, id.pos AS pos, CAST(id.id AS BIGINT) AS buffer_id, 'GL_ARRAY_BUFFER' AS target,
+        CAST(0 AS BIGINT) AS size, '' AS usage FROM made""",
+    "odd_noise_lines": f"{ODD} SELECT log_id, line_num, content FROM odd_lines WHERE odd IN (1, 2, 3)",
     "func_stats": f"{AGG} {_FUNC.format(calls='calls', where='')}",
     "func_stats_prefix": AGG + " " + _FUNC.format(calls="calls", where="WHERE api_name LIKE 'glDraw%'"),
     "frame_func_stats": f"""{AGG} SELECT log_id, frame_num, api_name, call_count, time_us AS total_time_us,
@@ -385,6 +442,8 @@ ORACLE: dict[str, str] = {
       n_chars AS total_time_us, doc_id AS swap_time_us, greatest(0, n_chars - doc_id) AS api_total_time_us,
       CAST(1 AS BIGINT) AS api_call_count FROM placed""",
     "shader_sources": f"{SHADER} SELECT * FROM shaders",
+    "shader_body_lines": f"""{SHADER} SELECT log_id, frame_num, base + 3 AS block_num, base + 3 + pos AS line_num, line AS content
+      FROM kept JOIN placed USING (doc_id)""",
     "shader_list_truncated": f"""{SHADER} SELECT * REPLACE (CASE WHEN length(source) > 2000
       THEN substr(source, 1, 2000) || chr(10) || '[Source truncated]' ELSE source END AS source) FROM shaders""",
     "shader_view": f"""{SHADER} SELECT * REPLACE (CASE WHEN length(source) > 50000
@@ -501,4 +560,17 @@ ORACLE: dict[str, str] = {
       (SELECT log_id, frame_num FROM frames WHERE total_time_us BETWEEN 40000 AND 120000) USING (log_id, frame_num)
       WHERE frame_num BETWEEN 2 AND 9 AND (contains(lower(api_name), 'glrf') OR regexp_matches(api_name, '^glN\\w$'))""",
 }
+_SIX_SHAPES = f"""{AGG}, m AS (SELECT *, (row_number() OVER (PARTITION BY log_id ORDER BY line_num) - 1) // 10 AS page_num
+      FROM ({_RENDERED}) WHERE contains(lower(content), 'draw')),
+    longest AS ({_TOP.format(n=1)}), sh AS ({SHADER} SELECT * FROM shaders)
+  SELECT 'search' AS kind, log_id, concat_ws('|', line_num, content, page_num) AS fields FROM m
+  UNION ALL SELECT 'funcs', log_id, concat_ws('|', api_name, call_count, total_time_us, avg_time_us)
+    FROM ({_FUNC.format(calls='calls', where='')})
+  UNION ALL SELECT 'frames', log_id, concat_ws('|', frame_num, start_line, end_line, total_time_us, api_call_count) FROM frames
+  UNION ALL SELECT 'frame', log_id, concat_ws('|', frame_num, start_line, end_line, total_time_us, swap_time_us,
+    api_total_time_us, api_call_count) FROM longest
+  UNION ALL SELECT 'shader_stats', log_id, concat_ws('|', type, compile_count, total_compile_time_us) FROM ({_SHADER_CALLS})
+  UNION ALL SELECT 'shaders', log_id, concat_ws('|', shader_id, source) FROM sh"""
+ORACLE["csv_of_each_log"] = ORACLE["json_of_each_log"] = _SIX_SHAPES
+ORACLE["frame_trees_of_each_log"] = f"SELECT log_id, value FROM ({ORACLE['frame_detail_text']})"
 ORACLE["reopened_summary"] = ORACLE["parse_summary"]

@@ -30,24 +30,24 @@ def longest_or_zero(parsed: ParsedLogs) -> DataFrame:
 
 
 def export_answer(
-    parsed: ParsedLogs, path: str, kind: str = "frames", fmt: str = "json", query: str = ""
+    parsed: ParsedLogs, path: str, kind: str = "frames", fmt: str = "json", query: str = "", by_log: bool = False
 ) -> None:
     """Export by question: frames, funcs, shader, search, top or longest.
 
     An unknown question means frames; ``query`` holds the keywords of a search or the
-    number of top frames.
+    number of top frames. With ``by_log`` each log gets a folder of its own.
     """
     fmt = fmt or "json"
     if fmt not in export.FORMATS:
         raise ValueError(f"unsupported format: {fmt}")
     calls = parsed.api_calls
     if kind == "funcs":
-        export.export(stats.func_stats(calls), "funcs", fmt, path)
+        export.export(stats.func_stats(calls), "funcs", fmt, path, by_log=by_log)
     elif kind == "shader":
-        export.export(parsed.shaders, "shaders", fmt, path)
+        export.export(parsed.shaders, "shaders", fmt, path, by_log=by_log)
     elif kind == "search":
-        found = search.with_page_numbers(search.export_search(parsed.calls, query))
-        export.export(found, "search", fmt, path)
+        found = search.with_page_numbers(search.kept(search.export_search(parsed.calls, query)))
+        export.export(found, "search", fmt, path, by_log=by_log)
     else:
         shape = "frame" if kind == "longest" else "frames"
         if kind == "top":
@@ -57,10 +57,7 @@ def export_answer(
             frames = longest_or_zero(parsed)
         else:
             frames = parsed.frames
-        if fmt == "json":
-            export.write_document(export.frames_json(parsed, frames), path)
-        else:
-            export.export(frames, shape, fmt, path, calls)
+        export.export(frames, shape, fmt, path, calls, by_log, parsed)
 
 
 def shader_calls(parsed: ParsedLogs) -> DataFrame:

@@ -11,7 +11,7 @@ from framesift.plans.parse import ParsedLogs, parse_aggregated, parse_lines, par
 from framesift.sources import views
 from framesift.sources.loglines import LogLines
 
-_TABLES = {"agg": "events", "raw": "events", "mixed": "events", "trace": "lineitem", "shader": "documents"}
+_TABLES = {"agg": "events", "raw": "events", "mixed": "events", "noisy": "events", "odd": "events", "trace": "lineitem", "shader": "documents"}
 _kept: dict[tuple, object] = {}
 
 
@@ -45,11 +45,11 @@ def mixed_lines(spark: SparkSession, folder: str) -> LogLines:
 def lines(spark: SparkSession, folder: str, name: str) -> LogLines:
     make = {
         "agg": views.agg_lines, "raw": views.raw_lines, "trace": views.bench_lines, "shader": views.shader_lines,
-        "mixed": mixed_lines,
+        "mixed": mixed_lines, "noisy": views.noisy_lines, "odd": views.odd_raw_lines,
     }[name]
     return once(spark, folder, f"{name}/lines", lambda: make(spark, folder))
 
 
 def parsed(spark: SparkSession, folder: str, name: str) -> ParsedLogs:
-    parse = {"agg": parse_aggregated, "trace": parse_aggregated, "shader": parse_aggregated, "raw": parse_raw, "mixed": parse_lines}[name]
+    parse = {"agg": parse_aggregated, "trace": parse_aggregated, "shader": parse_aggregated, "raw": parse_raw, "mixed": parse_lines, "noisy": parse_aggregated, "odd": parse_raw}[name]
     return once(spark, folder, f"{name}/parsed", lambda: parse(lines(spark, folder, name)))

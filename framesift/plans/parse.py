@@ -15,6 +15,7 @@ from framesift.sources.loglines import LogLines
 from framesift.sources.text import read_lines
 
 SHADERS = {"block_num": "bigint", "shader_id": "bigint", "command_line": "string", "source": "string"}
+SHADER_LINES = {"block_num": "bigint", "chunk_id": "bigint", "line_num": "bigint", "content": "string"}
 PROGRAMS = {"line_num": "bigint", "program_id": "bigint"}
 CREATIONS = {
     "line_num": "bigint", "pos": "int", "buffer_id": "bigint", "target": "string", "size": "bigint",
@@ -33,6 +34,7 @@ class ParsedLogs:
     frames: DataFrame
     facts: DataFrame
     shaders: DataFrame
+    shader_lines: DataFrame
     programs: DataFrame
     buffer_creations: DataFrame
 
@@ -73,13 +75,19 @@ def parse_aggregated(log: LogLines, kinds: DataFrame | None = None) -> ParsedLog
     marks = store(aggregated.mark(aggregated.log_rows(log, shader)), "marks")
     rows = aggregated.attribute(marks, small_side(aggregated.carry(marks, log), "carry"))
     frames = store(aggregated.frames(rows), "frames")
+    shaders, shader_lines = _none(frames, SHADERS), _none(frames, SHADER_LINES)
+    if shader:
+        body = shader_ops.body_lines(log, shader)
+        shaders = store(shader_ops.shaders(body, shader, rows, frames), "shaders")
+        shader_lines = shader_ops.lines_of_shaders(body, shaders)
     return ParsedLogs(
         lines=log.lines,
         kinds=kinds if kinds is not None else _kinds(ends, APITRACE),
         calls=aggregated.api_calls(rows),
         frames=frames,
         facts=aggregated.log_facts(rows, ends),
-        shaders=shader_ops.shaders(log, shader, rows, frames) if shader else _none(frames, SHADERS),
+        shaders=shaders,
+        shader_lines=shader_lines,
         programs=_none(frames, PROGRAMS),
         buffer_creations=_none(frames, CREATIONS),
     )
@@ -99,6 +107,7 @@ def parse_raw(log: LogLines, kinds: DataFrame | None = None) -> ParsedLogs:
         frames=frames,
         facts=rawtrace.log_facts(ends),
         shaders=_none(frames, SHADERS),
+        shader_lines=_none(frames, SHADER_LINES),
         programs=rawtrace.programs(calls),
         buffer_creations=rawtrace.buffer_creations(calls),
     )
@@ -133,6 +142,7 @@ def parse_lines(log: LogLines, head_lines: int = kind_ops.HEAD_LINES) -> ParsedL
         frames=a.frames.unionByName(r.frames),
         facts=a.facts.unionByName(r.facts),
         shaders=a.shaders,
+        shader_lines=a.shader_lines,
         programs=r.programs,
         buffer_creations=r.buffer_creations,
     )

@@ -6,7 +6,7 @@ text can be built by any SQL engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesift.sources.loglines import LogLines
@@ -21,15 +21,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 
-def agg_lines(spark: SparkSession, folder: str) -> LogLines:
-    """Aggregated logs from ``events``: one log per user, in order of time."""
+def _agg_content() -> Column:
     kind, value = F.col("event_type"), F.col("value")
     name = (
         F.when(kind == "view", "glDrawElements")
         .when(kind == "click", "glBindBuffer")
         .otherwise("glCompileShader")
     )
-    content = (
+    return (
         F.when(kind == "purchase", F.concat(F.lit("swapBuffers: "), F.floor(value), F.lit(" us")))
         .when(
             kind == "error",
@@ -42,17 +41,75 @@ def agg_lines(spark: SparkSession, folder: str) -> LogLines:
             )
         )
     )
+
+
+def _of_events(spark: SparkSession, folder: str, content: Column) -> LogLines:
+    """One log per user, in order of time."""
     records = table(spark, folder, "events").select(
         F.col("user_id").alias("log_id"), content.alias("content"), "ts", "event_id"
     )
     return number_lines(records, "ts", "event_id")
 
 
+def agg_lines(spark: SparkSession, folder: str) -> LogLines:
+    """Aggregated logs from ``events``."""
+    return _of_events(spark, folder, _agg_content())
+
+
+def noisy_lines(spark: SparkSession, folder: str) -> LogLines:
+    """The aggregated logs with prefixes, wide blanks, rates, unusable numbers and every kind of noise."""
+    event = F.col("event_id")
+    lines = {
+        0: F.concat(F.lit("[ "), event % 90, F.lit("] "), _agg_content()),
+        1: F.concat(F.lit("x libGL: FPS =  "), event % 90, F.lit(".5 (mean)")),
+        2: F.lit("libGL: FPS = 8.9.1"),
+        3: F.concat(F.lit("warning: glLate: count=1, time="), event, F.lit(" us")),
+        4: F.lit("12 [7:8:9 worker] libGL: FPS = 77"),
+        5: F.lit("<<gc = 0x1aF>>"),
+        6: F.lit("[ 4] vendor: count=2, time=9 us"),
+        7: F.lit(""),
+        8: F.concat(F.lit("glWide:   count=3,  time="), event, F.lit("  us")),
+        9: F.lit("glMany: count=99999999999999999999, time=1 us"),
+        10: F.lit("[7:8:9 worker] ERROR glLost: count=1, time=1 us"),
+    }
+    content = _agg_content()
+    for k, line in lines.items():
+        content = F.when(event % 17 == k, line).otherwise(content)
+    return _of_events(spark, folder, content)
+
+
 def raw_lines(spark: SparkSession, folder: str) -> LogLines:
-    """Raw traces from ``events``: one trace per user, in order of time."""
+    """Raw traces from ``events``."""
+    return _of_events(spark, folder, _raw_content())
+
+
+def odd_raw_lines(spark: SparkSession, folder: str) -> LogLines:
+    """The raw traces with prefixes, wide blanks, several ids, two more forms of calls and noise."""
+    event = F.col("event_id")
+    k = event % 7 + 1
+    lines = {
+        0: F.concat(F.lit("[ 7] "), _raw_content()),
+        1: F.lit("  glFlush"),
+        2: F.lit("[__dri3 x] glFlush"),
+        3: F.lit("(tid=1 gc=0x1) glFlush"),
+        4: F.lit("no call"),
+        5: F.concat(F.lit("glUseProgram: program = "), k),
+        6: F.concat(F.lit("glGenBuffers: 30, 0x1F -2  "), k),
+        7: F.concat(F.lit("glUniform4f   "), k, F.lit("   0x1F\t  2")),
+        8: F.lit("eglSwapBuffers"),
+        9: F.lit("glUseProgram -4"),
+        10: F.lit("glUseProgram none"),
+    }
+    content = _raw_content()
+    for n, line in lines.items():
+        content = F.when(event % 19 == n, line).otherwise(content)
+    return _of_events(spark, folder, content)
+
+
+def _raw_content() -> Column:
     kind, event = F.col("event_type"), F.col("event_id")
     k = event % 7 + 1
-    content = (
+    return (
         F.when(kind == "signup", F.concat(F.lit("glGenBuffers "), k))
         .when(
             kind == "click",
@@ -79,10 +136,6 @@ def raw_lines(spark: SparkSession, folder: str) -> LogLines:
         .when(kind == "error", F.concat(F.lit("glDeleteBuffers "), k))
         .otherwise("glXSwapBuffers: dpy = 0x1, drawable = 2")
     )
-    records = table(spark, folder, "events").select(
-        F.col("user_id").alias("log_id"), content.alias("content"), "ts", "event_id"
-    )
-    return number_lines(records, "ts", "event_id")
 
 
 def bench_lines(spark: SparkSession, folder: str) -> LogLines:

@@ -70,6 +70,33 @@ def test_all_kinds_in_all_formats(log_of, tmp_path):
         export.export(None, "frame", "csv", f"{tmp_path}/x")
 
 
+def test_each_log_has_its_folder_in_every_format(spark, log_of, tmp_path):
+    parsed = parse_lines(log_of({"a": LOG, "b": RAW, "c/d": LOG}))
+    results = {
+        "funcs": stats.func_stats(parsed.calls), "frames": parsed.frames, "frame": stats.longest_frame(parsed.frames),
+        "shader_stats": shader_call_stats(parsed.calls), "shaders": parsed.shaders,
+    }
+    for kind, df in results.items():
+        for fmt in export.FORMATS:
+            path = f"{tmp_path}/{kind}-{fmt}"
+            export.export(df, kind, fmt, path, parsed.api_calls, by_log=True)
+            for log in {r.log_id for r in df.select("log_id").distinct().collect()}:
+                folder = f"{path}/log={log.replace('/', '%2F')}"
+                alone = f"{tmp_path}/alone-{kind}-{fmt}-{log.replace('/', '')}"
+                export.export(df.filter(df.log_id == log), kind, fmt, alone, parsed.api_calls)
+                assert written(folder) == written(alone) != "", (kind, fmt, log)
+    answers.export_answer(parsed, f"{tmp_path}/top", "top", "csv", "1", by_log=True)
+    assert len(glob.glob(f"{tmp_path}/top/log=*")) == 3
+
+
+def test_frames_as_trees_from_the_exporter(log_of, tmp_path):
+    parsed = parse_lines(log_of({"a": LOG, "b": RAW}))
+    export.export(parsed.frames, "frames", "json", f"{tmp_path}/t", parsed=parsed)
+    text = written(f"{tmp_path}/t").replace("\n", "")
+    found = json.loads("[" + text.replace('}{"FrameNum"', '},{"FrameNum"') + "]")
+    assert len(found) == parsed.frames.count() and found[0]["APICalls"][0]["APIName"] == "glBindBuffer"
+
+
 def test_text_layouts(log_of):
     parsed = parse_aggregated(log_of(LOG))
     frame = [r["value"] for r in export.frame_text(parsed.frames.filter("frame_num = 0"), parsed.calls).sorted().collect()]

@@ -1,6 +1,7 @@
 import random
 
 from framesift.functions.lines import fps_value, is_frame_boundary
+from framesift.operators import shaders
 from framesift.plans.parse import parse_aggregated, parse_files, parse_lines, parse_raw
 from framesift.sources.text import detect_encodings, frame_offsets, log_sizes, read_lines
 from tests import made_logs
@@ -119,6 +120,26 @@ def test_made_logs(log_of):
         assert parsed.logs().count() == sum(bool(m.lines) for m in logs.values())
 
 
+def test_blocks_over_many_chunks_and_longer_than_a_value(log_of, monkeypatch):
+    body = [f"vec4 v{i};" for i in range(400)]
+    closed = ["glA: count=1, time=5 us", "[ 1] (gc=0x1, tid=0x2): glShaderSource 9 1 0xff", "####", *body, "libGL: FPS = 12", "####", "swapBuffers: 1 us"]
+    opened = ["glA: count=1, time=5 us", "####", "warning: none", *body, "swapBuffers: 1 us"]
+    for chunk in (13, 5000):
+        log = log_of({"closed": closed, "open": opened}, chunk)
+        parsed = parse_aggregated(log)
+        found = {r.log_id: r for r in parsed.shaders.collect()}
+        assert found["closed"].source == "\n".join(body) and found["closed"].shader_id == 9
+        assert found["open"].source == "\n".join([*body, "swapBuffers: 1 us"]) and found["open"].frame_num == 0
+        assert {r.log_id: r.fps for r in parsed.logs().collect()}["closed"] == 12.0
+        monkeypatch.setattr(shaders, "LONGEST_SOURCE_BYTES", len("\n".join(body)) + 1)
+        cut = parse_aggregated(log)
+        assert {r.log_id: r.source for r in cut.shaders.collect()} == {"closed": "\n".join(body), "open": None}
+        lines = cut.shader_lines.orderBy("line_num").collect()
+        assert [r.content for r in lines if r.log_id == "open"] == [*body, "swapBuffers: 1 us"]
+        assert [r.line_num for r in lines if r.log_id == "closed"] == list(range(4, 404))
+        monkeypatch.undo()
+
+
 def test_files_in_splits_of_any_size(spark, tmp_path):
     made = made_logs.aggregated(random.Random(5), 500)
     body, want = made.lines, made.frames
