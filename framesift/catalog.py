@@ -15,7 +15,7 @@ from framesift.operators import expressions as ex
 from framesift.operators.stats import FRAME_LIST_COLUMNS
 from framesift.plans import answers
 from framesift.plans.corpus import lines, once, parsed
-from framesift.session import shared_root
+from framesift.session import shared_root, store
 from framesift.sources import saved, views
 from framesift.sources.text import encodings, frame_offsets, log_sizes, read_lines, with_byte_places
 from framesift.streaming.capture import capture, captured_batches
@@ -433,7 +433,8 @@ def odd_noise_lines(spark, d):
 
 
 def _lives(spark, d):
-    return buffers.incarnations(parsed(spark, d, "raw").calls)
+    # Four questions are asked of the same lives.
+    return once(spark, d, "raw/lives", lambda: store(buffers.incarnations(parsed(spark, d, "raw").calls), "buffer_lives"))
 
 
 @query

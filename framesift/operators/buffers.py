@@ -184,37 +184,33 @@ def _scoped(events: DataFrame, strict_targets: bool) -> DataFrame:
 _SCOPE = ["log_id", "scope"]
 
 
-def _last_before(points: DataFrame, updates: DataFrame, names: list[str]) -> DataFrame:
-    """For every point, the last non-null value of each named column before it."""
-    both = points.unionByName(updates.select(*_SCOPE, "chunk_id", "pos", *names), allowMissingColumns=True)
-    w = _in_chunk(_SCOPE)
-    here = both.select("*", *[F.last(c, ignorenulls=True).over(before(w)).alias(f"{c}_here") for c in names])
-    ends = updates.groupBy(*_SCOPE, "chunk_id").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in names]
-    )
-    return _with_carry(here.filter("is_point").drop(*names), points, ends, names, before(_over_chunks(_SCOPE)))
-
+_VALUES = ["data", "used", "sub"]
 
-def _first_after(points: DataFrame, updates: DataFrame, names: list[str]) -> DataFrame:
-    """For every point, the first non-null value of each named column after it."""
-    both = points.unionByName(updates.select(*_SCOPE, "chunk_id", "pos", *names), allowMissingColumns=True)
-    w = Window.partitionBy(*_SCOPE, "chunk_id").orderBy(F.desc("pos"))
-    here = both.select("*", *[F.last(c, ignorenulls=True).over(before(w)).alias(f"{c}_here") for c in names])
-    ends = updates.groupBy(*_SCOPE, "chunk_id").agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in names]
-    )
-    later = before(Window.partitionBy(*_SCOPE).orderBy(F.desc("chunk_id")))
-    return _with_carry(here.filter("is_point").drop(*names), points, ends, names, later)
 
+def _as_of(points: DataFrame, updates: DataFrame) -> DataFrame:
+    """For every point the last ``data`` and ``used`` before it and the first ``sub`` after it.
 
-def _with_carry(here, points, ends, names, window) -> DataFrame:
-    # One row per (scope, chunk) that holds points or updates.
-    chunks = points.select(*_SCOPE, "chunk_id").distinct().join(ends, [*_SCOPE, "chunk_id"], "full_outer")
-    carried = chunks.select(
-        *_SCOPE, "chunk_id", *[F.last(c, ignorenulls=True).over(window).alias(f"{c}_carried") for c in names]
-    )
-    return here.join(carried, [*_SCOPE, "chunk_id"]).select(
-        *points.columns, *[F.coalesce(f"{c}_here", f"{c}_carried").alias(c) for c in names]
+    Points and updates are shuffled once; both directions are windows over that one
+    partitioning, and what comes from other chunks is found over one row per (scope, chunk).
+    """
+    both = points.unionByName(updates.select(*_SCOPE, "chunk_id", "pos", *_VALUES), allowMissingColumns=True)
+    both = both.repartition(*_SCOPE, "chunk_id")
+    up = before(_in_chunk(_SCOPE))
+    down = before(Window.partitionBy(*_SCOPE, "chunk_id").orderBy(F.desc("pos")))
+    sides = {"data": up, "used": up, "sub": down}
+    here = both.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"{c}_here") for c, w in sides.items()])
+
+    def end(c: str) -> Column:
+        known = F.when(F.col(c).isNotNull(), F.col("pos"))
+        return (F.min_by if c == "sub" else F.max_by)(c, known).alias(c)
+
+    chunks = both.groupBy(*_SCOPE, "chunk_id").agg(*[end(c) for c in _VALUES])
+    earlier = before(_over_chunks(_SCOPE))
+    later = before(Window.partitionBy(*_SCOPE).orderBy(F.desc("chunk_id")))
+    over = {"data": earlier, "used": earlier, "sub": later}
+    carried = chunks.select(*_SCOPE, "chunk_id", *[F.last(c, ignorenulls=True).over(w).alias(f"{c}_carried") for c, w in over.items()])
+    return here.filter("is_point").drop(*_VALUES).join(carried, [*_SCOPE, "chunk_id"]).select(
+        *points.columns, *[F.coalesce(f"{c}_here", f"{c}_carried").alias(c) for c in _VALUES]
     )
 
 
@@ -246,28 +242,21 @@ def incarnations(calls: DataFrame, strict_targets: bool = False) -> DataFrame:
     after_all = F.lit(_END) - F.pmod(F.xxhash64("buffer_id", "incarnation", "from"), F.lit(_LAST_CHUNKS))
     to_points = spans.select(
         *_SCOPE, F.coalesce("to_chunk", after_all).alias("chunk_id"), end_pos.alias("pos"),
-        F.lit(True).alias("is_point"), "buffer_id", "incarnation", "from",
+        F.lit(True).alias("is_point"), F.lit(True).alias("is_end"), "buffer_id", "incarnation", F.col("from").alias("other"),
     )
     from_points = spans.select(
-        *_SCOPE, "chunk_id", F.col("from").alias("pos"), F.lit(True).alias("is_point"),
-        "buffer_id", "incarnation", end_pos.alias("to"),
-    )
-    found_last = _last_before(to_points, updates, ["data", "used"]).select(
-        *LIFE,
-        F.when(F.col("data.pos") > F.col("from"), F.col("data")).alias("data"),
-        F.when(F.col("used.pos") > F.col("from"), F.col("used")).alias("used"),
-        F.lit(None).cast(_value_type(updates, "sub")).alias("sub"),
-    )
-    found_first = _first_after(from_points, updates, ["sub"]).select(
-        *LIFE,
-        F.lit(None).cast(_value_type(updates, "data")).alias("data"),
-        F.lit(None).cast(_value_type(updates, "used")).alias("used"),
-        F.when(F.col("sub.pos") < F.col("to"), F.col("sub")).alias("sub"),
+        *_SCOPE, "chunk_id", F.col("from").alias("pos"), F.lit(True).alias("is_point"), F.lit(False).alias("is_end"),
+        "buffer_id", "incarnation", end_pos.alias("other"),
     )
+    at_end, other = F.col("is_end"), F.col("other")
     values = (
-        found_last.unionByName(found_first)
+        _as_of(to_points.unionByName(from_points), updates)
         .groupBy(*LIFE)
-        .agg(F.max("data").alias("data"), F.max("used").alias("used"), F.min("sub").alias("sub"))
+        .agg(
+            F.max(F.when(at_end & (F.col("data.pos") > other), F.col("data"))).alias("data"),
+            F.max(F.when(at_end & (F.col("used.pos") > other), F.col("used"))).alias("used"),
+            F.min(F.when(~at_end & (F.col("sub.pos") < other), F.col("sub"))).alias("sub"),
+        )
     )
     return whole.join(values, LIFE, "left").select(
         *LIFE,
@@ -279,10 +268,6 @@ def incarnations(calls: DataFrame, strict_targets: bool = False) -> DataFrame:
     )
 
 
-def _value_type(df: DataFrame, name: str):
-    return df.schema[name].dataType
-
-
 def live_buffers(lives: DataFrame) -> DataFrame:
     """Buffers alive at the end of the log."""
     return lives.filter("is_live").select("log_id", "buffer_id", "target", "size", "usage")

@@ -99,9 +99,15 @@ def kinds_of(log: LogLines, head_lines: int = HEAD_LINES) -> DataFrame:
     """Kind of each log; without another pass over the text where the reader noted the
     signs of the first chunks and these hold all lines asked for."""
     heads = log.heads
-    if heads is None or not heads.filter((F.col("n_lines") < head_lines) & ~F.col("is_whole")).isEmpty():
+    if heads is None:
         return detect_kinds(log.lines, head_lines)
-    return _decided(heads, head_lines)
+    # What the first chunk says stands, unless it is shorter than the head and a later line could still speak.
+    known = F.least(F.coalesce("kind_line", F.lit(head_lines + 1)), F.coalesce("agg_line", F.lit(head_lines + 1)))
+    short = (F.col("n_lines") < head_lines) & ~F.col("is_whole") & (known > F.col("n_lines"))
+    if heads.filter(short).isEmpty():
+        return _decided(heads, head_lines)
+    again = detect_kinds(log.only(heads.filter(short)).lines, head_lines)
+    return _decided(heads.filter(~short), head_lines).unionByName(again)
 
 
 def _decided(heads: DataFrame, head_lines: int) -> DataFrame:
