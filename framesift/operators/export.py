@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.operators.stats import frame_api_summary
+from framesift.session import store
 
 # Column headings of the result kinds, each with the column it shows.
 HEADINGS = {
@@ -169,15 +170,9 @@ def frames_json(parsed, frames: DataFrame | None = None) -> Document:
     """
     frames = parsed.frames if frames is None else frames
     keys = ["log_id", "frame_num"]
-    chosen = frames.select(*keys)
-
-    def of_frames(df: DataFrame) -> DataFrame:
-        return df.join(chosen, keys, "left_semi")
-
-    calls = of_frames(parsed.api_calls)
-    summary = of_frames(_aggregated_only(parsed))
-    shaders, programs = of_frames(parsed.shaders), of_frames(parsed.programs)
-    creations = of_frames(parsed.buffer_creations)
+    # Joins with the frames narrow these to the chosen ones.
+    calls, summary = parsed.api_calls, _aggregated_only(parsed)
+    shaders, programs, creations = parsed.shaders, parsed.programs, parsed.buffer_creations
     firsts = (
         frames.join(programs.groupBy(*keys).agg(F.min("line_num").alias("first_program")), keys, "left")
         .join(
@@ -186,11 +181,14 @@ def frames_json(parsed, frames: DataFrame | None = None) -> Document:
         .join(shaders.groupBy(*keys).agg(F.min("block_num").alias("first_shader")), keys, "left")
         .join(summary.groupBy(*keys).agg(F.min("api_name").alias("first_name")), keys, "left")
     )
-
-    def fixed(part: int, value: Column) -> DataFrame:
-        return firsts.select(
-            *keys, F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("k1"), F.lit("").alias("k2"),
-            value.alias("value"),
+    # One row for each frame, asked by every kind of element.
+    firsts = store(firsts, "frame_heads")
+
+    def fixed(parts: dict[int, Column]) -> DataFrame:
+        """The lines that every frame has, all from one pass over the frames."""
+        rows = F.array(*[F.struct(F.lit(part).alias("part"), value.alias("value")) for part, value in parts.items()])
+        return firsts.select(*keys, F.inline(rows)).select(
+            *keys, "part", F.lit(0).cast("bigint").alias("k1"), F.lit("").alias("k2"), "value"
         )
 
     def element(df: DataFrame, part: int, first: Column, body: Column, k1=F.lit(0), k2=F.lit("")) -> DataFrame:
@@ -208,7 +206,17 @@ def frames_json(parsed, frames: DataFrame | None = None) -> Document:
         "frame_num", "start_line", "end_line", "total_time_us", "swap_time_us", "api_total_time_us",
     )
     pieces = [
-        fixed(_HEAD, head),
+        fixed({
+            _HEAD: head,
+            _SUMMARY_HEAD: F.lit('],"APISummary":{'),
+            _SHADER_HEAD: F.lit('},"Shaders":['),
+            _PROGRAM_HEAD: F.concat(F.lit("],"), opened("Programs", "first_program", "null")),
+            _BUFFER_HEAD: F.concat(
+                F.when(F.col("first_program").isNull(), ",").otherwise("],"),
+                opened("BufferCreations", "first_buffer", "null"),
+            ),
+            _TAIL: F.when(F.col("first_buffer").isNull(), "}").otherwise("]}"),
+        }),
         element(
             calls, _CALLS, F.col("line_num") == F.col("start_line"),
             F.to_json(F.struct(
@@ -218,7 +226,6 @@ def frames_json(parsed, frames: DataFrame | None = None) -> Document:
             )),
             F.col("line_num"),
         ),
-        fixed(_SUMMARY_HEAD, F.lit('],"APISummary":{')),
         element(
             summary, _SUMMARY, F.col("api_name") == F.col("first_name"),
             F.concat(
@@ -230,7 +237,6 @@ def frames_json(parsed, frames: DataFrame | None = None) -> Document:
             ),
             k2=F.col("api_name"),
         ),
-        fixed(_SHADER_HEAD, F.lit('},"Shaders":[')),
         element(
             shaders, _SHADERS, F.col("block_num") == F.col("first_shader"),
             F.to_json(F.struct(
@@ -240,18 +246,10 @@ def frames_json(parsed, frames: DataFrame | None = None) -> Document:
             )),
             F.col("block_num"),
         ),
-        fixed(_PROGRAM_HEAD, F.concat(F.lit("],"), opened("Programs", "first_program", "null"))),
         element(
             programs, _PROGRAMS, F.col("line_num") == F.col("first_program"), F.col("program_id").cast("string"),
             F.col("line_num"),
         ),
-        fixed(
-            _BUFFER_HEAD,
-            F.concat(
-                F.when(F.col("first_program").isNull(), ",").otherwise("],"),
-                opened("BufferCreations", "first_buffer", "null"),
-            ),
-        ),
         element(
             creations, _BUFFERS, F.struct("line_num", "pos") == F.col("first_buffer"),
             F.to_json(F.struct(
@@ -260,7 +258,6 @@ def frames_json(parsed, frames: DataFrame | None = None) -> Document:
             )),
             F.col("line_num"), F.lpad(F.col("pos").cast("string"), 10, "0"),
         ),
-        fixed(_TAIL, F.when(F.col("first_buffer").isNull(), "}").otherwise("]}")),
     ]
     lines = pieces[0]
     for p in pieces[1:]:
@@ -275,7 +272,8 @@ def _json_text(c: Column) -> Column:
 def _aggregated_only(parsed) -> DataFrame:
     """Summaries per function; raw traces have none."""
     raw = parsed.kinds.filter(F.col("kind") == "rawtrace").select("log_id")
-    return frame_api_summary(parsed.calls).join(raw, "log_id", "left_anti")
+    summary = frame_api_summary(parsed.calls)
+    return summary if raw.isEmpty() else summary.join(raw, "log_id", "left_anti")
 
 
 def log_json(parsed) -> Document:
