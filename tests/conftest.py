@@ -1,4 +1,8 @@
+import contextlib
+import io
+
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from framesift.session import local_session
@@ -13,6 +17,21 @@ def spark():
     session.stop()
 
 
+@pytest.fixture
+def written_plans(monkeypatch):
+    """The plans of all tables that are written as Parquet while a test runs."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        with contextlib.redirect_stdout(io.StringIO()) as text:
+            self._df.explain("formatted")
+        plans.append(text.getvalue())
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    return plans
+
+
 @pytest.fixture
 def log_of(spark):
     """Numbered lines of inline logs, cut into chunks of the given length."""

@@ -28,6 +28,27 @@ def test_plan(spark, name):
     assert single == 0 or (name == "top_frames_of_all" and "TakeOrderedAndProject" in plan), plan
 
 
+@pytest.mark.parametrize("name", ["agg", "raw", "shader", "mixed"])
+def test_plans_of_tables_that_a_parse_writes(spark, written_plans, name):
+    from framesift.plans import corpus
+
+    corpus._kept.clear()
+    corpus.parsed(spark, FOLDER, name)
+    assert len(written_plans) >= 4
+    for plan in written_plans:
+        assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|SinglePartition|Python|InArrow|InPandas", plan), plan
+
+
+def test_calls_are_shuffled_once(spark, written_plans):
+    """Marks need one exchange of call rows, by chunk, and one sort."""
+    from framesift.operators import aggregated
+    from framesift.plans.corpus import lines
+
+    plan = plan_of(aggregated.mark(aggregated.log_rows(lines(spark, FOLDER, "agg"), None)))
+    assert plan.count("hashpartitioning") == 1 and len(re.findall(r"^\(\d+\) Sort", plan, re.M)) == 1
+    assert "decimal" not in plan
+
+
 def test_top_frames_are_cut_before_the_shuffle(spark):
     plan = plan_of(QUERIES["top_frames"](spark, FOLDER))
     assert plan.count("WindowGroupLimit") >= 2
