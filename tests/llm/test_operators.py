@@ -345,3 +345,12 @@ def test_pipeline_keeps_wordless_rows_and_one_row_of_a_document(spark, tmp_path)
 
 def test_digest_of_items():
     assert decontamination.items_digest(["1", "2"]) == hashlib.sha256(b"1,2").hexdigest()
+
+
+def test_spans_of_many_equal_rows_count_once(spark):
+    text = words(random.Random(9), 120)
+    rows = spark.createDataFrame([(5, text)] * 300 + [(6, text), (7, "alone")], "doc_id bigint, text string").repartition(5)
+    found = substring_dedup.without_repeats(rows)
+    result = found.groupBy("doc_id", "n_removed", "n_spans").count().orderBy("doc_id").collect()
+    n = len(text.encode())
+    assert [tuple(r) for r in result] == [(5, n, 1, 300), (6, n, 1, 1), (7, 0, 0, 1)]
