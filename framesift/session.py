@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # time; larger ones are joined by shuffle.
 BROADCAST_BYTES = 128 * 2**20
 SCALAR_BYTES = 16
+ROW_GROUP_BYTES = 16 * 2**20
 
 _local_roots: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -64,8 +65,10 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_root(spark)}/framesift-{app}/{name}-{uuid.uuid4().hex}"
-    # Delta encoding halves these tables, whose columns are mostly rising numbers.
-    df.write.options(**{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}).parquet(path)
+    # Delta encoding halves these tables, whose columns are mostly rising numbers. A writer
+    # holds a row group in memory, which whole texts fill.
+    options = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.block.size": str(ROW_GROUP_BYTES)}
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
