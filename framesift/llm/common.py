@@ -16,16 +16,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Records that one Arrow batch holds at most, so that a batch of long texts stays
-#: within a Python worker's memory. Whole texts are never cut.
+#: Records and bytes that one Arrow batch holds at most, so that a batch of long texts, and
+#: the hashes of all its bytes, stay within a Python worker's memory. Whole texts are never
+#: cut: a longer one is a batch of its own.
 BATCH_RECORDS = 1000
+BATCH_BYTES = 2 * 2**20
 
-_DEFAULT_BATCH = "10000"
+_BATCH_LIMITS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": (("10000",), str(BATCH_RECORDS)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": (("64MB", "67108864", "67108864b"), str(BATCH_BYTES)),
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == _DEFAULT_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_RECORDS))
+    for setting, (usual, ours) in _BATCH_LIMITS.items():
+        if spark.conf.get(setting) in usual:
+            spark.conf.set(setting, ours)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

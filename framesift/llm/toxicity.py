@@ -23,7 +23,6 @@ import re
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from framesift.llm.common import text_of
 from framesift.session import store
@@ -208,15 +207,32 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, excepti
     return Lexicon(terms, lexicon.exceptions, _fit(fitted["x"].to_numpy(), fitted["y"].to_numpy(), fitted["toxic"].to_numpy(float)))
 
 
-def score_column(lexicon: Lexicon, text: str = "text") -> Column:
-    @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
-        return pd.Series([lexicon.score(t) for t in texts], dtype="float64")
+def _scores(lexicon: Lexicon):
+    def run(batches):
+        for batch in batches:
+            scores = pa.array([lexicon.score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), scores], ["doc_id", "held_out", "score"])
 
-    return toxicity(text_of(text))
+    return run
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
-    rows = docs.select("doc_id", (remainder() == HELD_OUT).alias("held_out"), score_column(lexicon).alias("score"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", (remainder() == HELD_OUT).alias("held_out"), text_of().alias("text"))
+    rows = texts.mapInArrow(_scores(lexicon), f"doc_id {kind}, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of ``docs``, with all columns, that are not predicted to be toxic.
+
+    Rows pass through Python whole, so that Spark need not queue them beside their texts.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([lexicon.score(t or "") < DECISION for t in texts.to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
