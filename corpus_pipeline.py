@@ -29,7 +29,7 @@ def _rows_of(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon does not predict to be toxic."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return docs.filter(toxicity.score_column(lexicon) < toxicity.DECISION)
+    return toxicity.without_toxic(docs, lexicon)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
