@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 
 def op1_line_dedup(spark, folder):
-    rows = line_dedup.without_later_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = line_dedup.without_later_passages(table(spark, folder, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return rows.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), "text")
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["units"])
+    return rows.select("doc_id", "n_units", gone.alias("n_removed"), spans.alias("removed_spans"), "text")
 
 
 def op2_mixing(spark, folder):
@@ -127,21 +128,41 @@ FROM placed
 """
 
 _OP1 = r"""
-WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS unit FROM docs),
-normal AS (
-  SELECT doc_id, unit, line,
-         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM lines),
+WITH pieces AS (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS p FROM documents)),
+placed AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS start,
+         lag(piece) OVER (PARTITION BY doc_id ORDER BY i) AS blanks, lag(piece, 2) OVER (PARTITION BY doc_id ORDER BY i) AS word
+  FROM pieces),
+words AS (
+  SELECT *, sum(CASE WHEN word IS NULL OR contains(blanks, chr(10)) OR right(word, 1) IN ('.', '!', '?', ',', ';', ':') THEN 1 ELSE 0 END)
+              OVER (PARTITION BY doc_id ORDER BY i) AS unit
+  FROM placed WHERE NOT regexp_matches(piece, '^[\x20\x09-\x0D]')),
+units AS (
+  SELECT doc_id, unit, min(start) AS start, count(*) AS n_words, sum(length(piece)) AS n_characters,
+         string_agg(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY i) AS norm
+  FROM words GROUP BY doc_id, unit),
 ranked AS (
-  SELECT *, norm <> '' AND length(norm) - length(replace(norm, ' ', '')) >= 4
-            AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) > 1 AS gone
-  FROM normal)
-SELECT doc_id, count(*)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
-       coalesce(string_agg(start || '-' || (start + length(line)), ',' ORDER BY unit) FILTER (gone), '') AS removed_spans,
-       coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS text
-FROM ranked GROUP BY doc_id
+  SELECT u.doc_id, unit, start, n_words, n_characters, row_number() OVER (PARTITION BY norm ORDER BY u.doc_id, unit) > 1 AS later,
+         coalesce(lead(start) OVER (PARTITION BY u.doc_id ORDER BY unit), length(text)) AS next
+  FROM units u JOIN documents d ON u.doc_id = d.doc_id),
+runs AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id, later ORDER BY unit) AS run FROM ranked),
+marked AS (
+  SELECT *, later AND (sum(n_words) OVER (PARTITION BY doc_id, later, run) >= 40
+                       OR sum(n_characters) OVER (PARTITION BY doc_id, later, run) >= 300) AS gone
+  FROM runs),
+spans AS (
+  SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS removed_spans
+  FROM (SELECT doc_id, run, min(start)::BIGINT AS a, max(next)::BIGINT AS b FROM marked WHERE gone GROUP BY doc_id, run) GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, min(start) AS head FROM marked GROUP BY doc_id),
+kept AS (
+  SELECT m.doc_id, string_agg(substring(text, (start + 1)::BIGINT, (next - start)::BIGINT), '' ORDER BY unit) AS rest
+  FROM marked m JOIN documents d ON m.doc_id = d.doc_id WHERE NOT gone GROUP BY m.doc_id)
+SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_spans, '') AS removed_spans,
+       CASE WHEN n_units IS NULL THEN coalesce(text, '') ELSE left(text, head::BIGINT) || coalesce(rest, '') END AS text
+FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 ORACLE = {

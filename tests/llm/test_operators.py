@@ -234,16 +234,54 @@ def test_mixing(docs, rows, nothing):
     assert mixing.mix(nothing).count() == mixing.mixed_documents(nothing).count() == 0
 
 
-def test_line_dedup(docs, rows, nothing):
-    found = {(r.doc_id, r["text"]): r for r in line_dedup.without_later_lines(docs).collect()}
-    texts_of = {d: t or "" for d, t, *_ in rows[: len(texts())]}
-    assert found[0, texts_of[0]].removed == [] and found[1, ""].n_units == 1
-    last = next(r for (d, _), r in found.items() if d == 17)
-    assert last.text == "line of five words here" and [(s.unit, s.start, s.end) for s in last.removed] == [(1, 24, 47), (2, 48, 72)]
-    fourth = next(r for (d, _), r in found.items() if d == 4)
-    line = texts_of[4].split("\n")
-    assert fourth.text == line[0] and fourth.removed[0].start == len(line[0]) + 1
-    assert line_dedup.without_later_lines(nothing).count() == 0
+def plain_passages(rows, min_words=line_dedup.MIN_WORDS, min_characters=line_dedup.MIN_CHARACTERS):
+    """Unit counts, removed places and text of each (doc_id, text), by walking through all units."""
+    cut, seen, result = {}, {}, {}
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        units, last = [], None
+        for m in BLANK_WORDS.finditer(text):
+            if last is None or last[0][-1] in ".!?,;:" or "\n" in text[last.end() : m.start()]:
+                units.append([])
+            units[-1].append(m)
+            last = m
+        cut[doc, text] = units
+        for i, u in enumerate(units):
+            seen.setdefault(" ".join(lower(m[0]) for m in u), (doc, text, i))
+    for (doc, text), units in cut.items():
+        later = [seen[" ".join(lower(m[0]) for m in u)] != (doc, text, i) for i, u in enumerate(units)]
+        spans, i = [], 0
+        while i < len(units):
+            j = i
+            while j < len(units) and later[j]:
+                j += 1
+            run = [m[0] for u in units[i:j] for m in u]
+            if j > i and (len(run) >= min_words or sum(map(len, run)) >= min_characters):
+                spans.append((i, j - i, units[i][0].start(), units[j][0].start() if j < len(units) else len(text)))
+            i = max(j, i + 1)
+        kept, at = [], 0
+        for _, _, start, end in spans:
+            kept.append(text[at:start])
+            at = end
+        result[doc, text] = len(units), spans, "".join(kept) + text[at:]
+    return result
+
+
+def test_line_dedup(spark, docs, rows, nothing):
+    rnd = random.Random(21)
+    clauses = [words(rnd, rnd.randint(1, 9)) + rnd.choice([",", ".", "?", ";", "", "\n", " \t"]) for _ in range(40)]
+    made = [" ".join(rnd.choice(clauses) for _ in range(rnd.randint(0, 30))) for _ in range(40)]
+    made += ["日本語の文章です。" * 50, "前置き\n" + "日本語の文章です。" * 50 + "\n後書き", "a, b. c", " \n lead " + made[0] + "  \n", "x\r\ny", "3.14 is, e.g., no end", "," * 5 + " , ,"]
+    many = spark.createDataFrame([(100 + i, t) for i, t in enumerate(made)], "doc_id bigint, text string")
+    for df, pairs in ((many.repartition(3), [(100 + i, t) for i, t in enumerate(made)]), (docs, [(r[0], r[1] or "") for r in rows if r[0] != 0])):
+        for limits in ((line_dedup.MIN_WORDS, line_dedup.MIN_CHARACTERS), (3, 20)):
+            want, found = plain_passages(pairs, *limits), line_dedup.without_later_passages(df.filter("doc_id IS NULL OR doc_id <> 0"), *limits).collect()
+            source = Counter((d, t) for d, t in pairs)
+            assert Counter((r.doc_id, r.n_units, tuple(tuple(s) for s in r.removed), r["text"]) for r in found) == Counter(
+                {k: v for k, v in sum((Counter({(d, want[d, t][0], tuple(want[d, t][1]), want[d, t][2]): n}) for (d, t), n in source.items()), Counter()).items()}
+            )
+    found = {r.doc_id: r for r in line_dedup.without_later_passages(docs).collect()}
+    assert found[1]["text"] == "" and [tuple(s) for s in found[1].removed] == [(0, 1, 0, len(texts()[1]))] and found[5].n_units == 0
+    assert line_dedup.without_later_passages(nothing).count() == 0
 
 
 def test_toxicity(spark, nothing, labels):
