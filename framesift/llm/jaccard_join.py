@@ -12,12 +12,14 @@ sketch over all documents, then the hash). Two sets of similarity ``s = numerato
 * Sets under one node share the whole path to it. They are paired at its first shingle
   only; further shingles pair sets of different nodes. A pair is dropped when the
   remaining lengths cannot reach the overlap that both sizes require.
-* First each set is paired with leaders only, one after the other, which joins groups
-  of near copies with few pairs. Verified links give components. Then whatever pairs of
-  different components still share a shingle are all tested, so no link between
-  components is lost; pairs inside a component would not change it.
-* Pairs are verified on the full sets, after a look at signatures of parity bits that
-  bound from below in how many shingles two sets differ. Only documents that occur in pairs are read again,
+* First each set is paired with leaders only, one for each shingle, which joins groups
+  of near copies with few pairs. Verified links give components. ``LEADER_ROUNDS`` rounds,
+  each with another random order of leaders, leave few members of a large group outside its
+  component. Then whatever pairs of different components still share a shingle are all
+  tested, so no link between components is lost; pairs inside a component would not change it.
+* Signatures of parity bits bound from below in how many shingles two sets differ. Nodes
+  pair sets only where signatures of ``SHORT_BITS`` allow the similarity.
+* Pairs are verified on the full sets, after a look at signatures that grow with them. Only documents that occur in pairs are read again,
   told by a bit table of fixed size, whose false hits the join removes.
 
 Copies with equal sets count once from the first pass on. Sets are named by 64-bit
@@ -47,10 +49,13 @@ N = 4
 #: Two sets link when NUMERATOR / 100 of their union is shared, if not told otherwise.
 NUMERATOR = 85
 SKETCH_SLOTS = 1 << 18
-SLICE_SHINGLES = 400_000
+SLICE_SHINGLES = 200_000
 LEAST_SLICES = 48
 PAIRS_AT_ONCE = 200_000
-LEAST_BITS = 256
+#: Bits of a signature at least, and of the one that goes with every list.
+SHORT_BITS = 512
+#: Rounds of leaders before all other pairs are tested; the result is the same for any number.
+LEADER_ROUNDS = 2
 
 _ENTRY = np.dtype([("shingle", "<u8"), ("place", "<i4")])
 
@@ -79,11 +84,15 @@ def shingle_sets(batch, powers: Powers, n: int = N):
 
 def _signature(values: np.ndarray) -> bytes:
     """Parity of the shingles that fall on each bit; as many bits as shingles, rounded up to a power of two."""
-    bits = max(LEAST_BITS, 1 << (len(values) - 1).bit_length()) if len(values) else LEAST_BITS
+    bits = max(SHORT_BITS, 1 << (len(values) - 1).bit_length()) if len(values) else SHORT_BITS
     hit = np.bincount((values >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits((hit & 1).astype(bool)).tobytes()
 
 
+def _short(signature: bytes) -> bytes:
+    return np.bitwise_xor.reduce(np.frombuffer(signature, np.uint64).reshape(-1, SHORT_BITS // 64)).tobytes()
+
+
 def least_difference(left: bytes, right: bytes) -> int:
     """In how many shingles two sets differ at least; the longer signature is folded."""
     x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
@@ -104,20 +113,24 @@ def _scan(width: int):
     def run(batches):
         powers, sketch = Powers(), np.zeros(SKETCH_SLOTS, np.int64)
         for batch in batches:
-            sizes, names, signatures = [], [], []
+            sizes, names, signatures, shorts = [], [], [], []
             for values in shingle_sets(batch, powers, width):
                 sizes.append(len(values))
                 names.append(_digest(values))
                 signatures.append(_signature(values))
+                shorts.append(_short(signatures[-1]))
                 np.add.at(sketch, (values & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64), 1)
             none = pa.nulls(len(batch), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), none, pa.array(signatures, pa.binary())], ["doc_id", "key", "set", "n", "slot", "signature"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), none, pa.array(signatures, pa.binary()), pa.array(shorts, pa.binary())],
+                ["doc_id", "key", "set", "n", "slot", "signature", "short"],
+            )
             kind = batch.column("doc_id").type
         some = np.flatnonzero(sketch)
         if len(some):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(sketch[some]), pa.array(some, pa.int32()), pa.nulls(len(some), pa.binary())],
-                ["doc_id", "key", "set", "n", "slot", "signature"],
+                [pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(sketch[some]), pa.array(some, pa.int32()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary())],
+                ["doc_id", "key", "set", "n", "slot", "signature", "short"],
             )
 
     return run
@@ -170,12 +183,12 @@ def _prefixes(shared, slices: int, width: int, numerator: int):
 class Trie:
     """Prefix lists of one slice: nodes by (parent, shingle), and the nodes of each shingle.
 
-    ``sets, sizes, groups`` describe the records; a node keeps the records whose list runs
+    ``sizes, groups, shorts`` describe the records; a node keeps the records whose list runs
     through it, and the place of its shingle in each.
     """
 
-    def __init__(self, sizes, groups, lists, numerator: int):
-        self.sizes, self.groups, self.numerator = sizes, groups, numerator
+    def __init__(self, sizes, groups, shorts, lists, numerator: int):
+        self.sizes, self.groups, self.shorts, self.numerator = sizes, groups, shorts, numerator
         self.children: dict[tuple[int, int], int] = {}
         self.depth, self.records, self.places = [0], [None], [None]
         self.header: dict[int, list[int]] = {}
@@ -214,17 +227,24 @@ class Trie:
         rest = 1 + np.minimum(n - place_a, m - place_b) - 1
         return ((node_a != node_b) | (node_a == 0)) & (self.groups[a] != self.groups[b]) & (rest >= needed_overlap(n, m, self.numerator))
 
-    def leader_pairs(self):
-        """Each record with the first record that could be similar to it."""
+    def _alike(self, a, b):
+        """Which pairs the short signatures allow."""
+        n, m = self.sizes[a], self.sizes[b]
+        return np.bitwise_count(self.shorts[a] ^ self.shorts[b]).sum(axis=1, dtype=np.int64) <= n + m - 2 * needed_overlap(n, m, self.numerator)
+
+    def leader_pairs(self, ranks):
+        """Each record with the first record, by ``ranks``, that could be similar to it."""
         for records, places, nodes in self.meetings():
-            order = np.lexsort((records, self.sizes[records]))
+            order = np.argsort(ranks[records], kind="stable")
             records, places, nodes = records[order], places[order], nodes[order]
             while len(records) > 1:
                 good = self._possible(records[0], records[1:], places[0], places[1:], nodes[0], nodes[1:])
+                near = np.flatnonzero(good)
+                good[near] = self._alike(np.full(len(near), records[0]), records[1:][near])
                 if good.any():
                     yield np.full(good.sum(), records[0]), records[1:][good]
                 left = np.flatnonzero(~good) + 1
-                # Records too long for this leader may find one of their own.
+                # Records unlike this leader may find one of their own.
                 records, places, nodes = records[left], places[left], nodes[left]
                 if not good.any() and len(records) > 64:
                     break
@@ -239,45 +259,56 @@ class Trie:
                 x, y = np.nonzero(good)
                 x += i
                 later = x < y
-                if later.any():
-                    yield records[x[later]], records[y[later]]
+                a, b = records[x[later]], records[y[later]]
+                alike = self._alike(a, b)
+                if alike.any():
+                    yield a[alike], b[alike]
+
 
+def _slice_of(table: pa.Table):
+    """Sets of a slice, the row of each, and their entries with the owner of each; copies count once."""
+    names, first = np.unique(table.column("set").to_numpy(), return_index=True)
+    lists = table.column("list").take(pa.array(first)).to_pylist()
+    return names, first, np.frombuffer(b"".join(lists), _ENTRY), np.repeat(np.arange(len(names)), [len(x) // _ENTRY.itemsize for x in lists])
 
-def _meetings(everything: bool, numerator: int):
-    """Pairs (a, b) of a slice; the first round also hands on the lists, without lone shingles."""
+
+def _cuts(owner: np.ndarray) -> list[int]:
+    return [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)] if len(owner) else []
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """The lists of a slice without shingles of one set only, and without lists that become empty."""
+    names, first, entries, owner = _slice_of(table)
+    _, back, counts = np.unique(entries["shingle"], return_inverse=True, return_counts=True)
+    shared = counts[back] > 1
+    owner, entries = owner[shared], entries[shared]
+    cuts = _cuts(owner)
+    members = owner[cuts[:-1]] if len(owner) else owner
+    return pa.table({
+        "slice": table.column("slice").take(pa.array(first[members])), "set": pa.array(names[members], pa.int64()),
+        "n": table.column("n").take(pa.array(first[members])), "list": pa.array([entries[x:y].tobytes() for x, y in pairwise(cuts)], pa.binary()),
+    })
+
+
+def _meetings(turn: int | None, numerator: int):
+    """Pairs (a, b) of a slice: with the leaders of round ``turn``, or all."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, first = np.unique(table.column("set").to_numpy(), return_index=True)
+        names, first, entries, owner = _slice_of(table)
         sizes = table.column("n").to_numpy()[first].astype(np.int64)
         groups = table.column("component").to_numpy()[first]
-        raw = table.column("list").take(pa.array(first)).to_pylist()
-        entries = np.frombuffer(b"".join(raw), _ENTRY)
-        _, back, counts = np.unique(entries["shingle"], return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(names)), [len(x) // _ENTRY.itemsize for x in raw])
-        shared = counts[back] > 1
-        owner, entries, shingles = owner[shared], entries[shared], back[shared].tolist()
-        places = entries["place"].tolist()
-        cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)] if len(owner) else []
-        trie = Trie(sizes, groups, ((int(owner[a]), zip(shingles[a:b], places[a:b])) for a, b in pairwise(cuts)), numerator)
+        shorts = np.frombuffer(b"".join(table.column("short").take(pa.array(first)).to_pylist()), np.uint64).reshape(-1, SHORT_BITS // 64)
+        shingles, places = np.unique(entries["shingle"], return_inverse=True)[1].tolist(), entries["place"].tolist()
+        trie = Trie(sizes, groups, shorts, ((int(owner[a]), zip(shingles[a:b], places[a:b])) for a, b in pairwise(_cuts(owner))), numerator)
         found, size = [np.zeros((2, 0), np.int64)], 0
-        for pair in trie.all_pairs() if everything else trie.leader_pairs():
+        for pair in trie.all_pairs() if turn is None else trie.leader_pairs(mix64(names.astype(np.uint64) + np.uint64(turn))):
             found.append(np.stack(pair).astype(np.int64))
             size += found[-1].shape[1]
             if size > 10 * PAIRS_AT_ONCE:
                 found, size = [np.unique(np.concatenate(found, axis=1), axis=1)], 0
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         a, b = names[a], names[b]
-        pairs = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        if everything:
-            return pairs
-        members = owner[cuts[:-1]] if len(owner) else owner
-        lists = [entries[x:y].tobytes() for x, y in pairwise(cuts)]
-        slice_num = table.column("slice")[0].as_py()
-        kept = {"slice": pa.array([slice_num] * len(lists), pa.int32()), "set": pa.array(names[members], pa.int64()), "n": pa.array(sizes[members], pa.int32()), "list": pa.array(lists, pa.binary())}
-        return pa.concat_tables([
-            pa.table({**{c: pairs[c] for c in "ab"}, **{c: pa.nulls(len(a), v.type) for c, v in kept.items()}}),
-            pa.table({**{c: pa.nulls(len(lists), pa.int64()) for c in "ab"}, **kept}),
-        ])
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
@@ -354,22 +385,27 @@ def joined(docs: DataFrame, width: int = N, numerator: int = NUMERATOR) -> DataF
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = store(keyed(docs).mapInArrow(_scan(width), f"doc_id {kind}, key bigint, set bigint, n bigint, slot int, signature binary"), "scanned")
+    scanned = store(keyed(docs).mapInArrow(_scan(width), f"doc_id {kind}, key bigint, set bigint, n bigint, slot int, signature binary, short binary"), "scanned")
     rows = scanned.filter("slot IS NULL")
     full = rows.filter("n > 0")
-    owners = store(full.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("o"), F.first("n").alias("n"), F.first("signature").alias("signature")).select("set", "n", "signature", "o.doc_id", "o.key"), "owners")
+    owners = store(full.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("o"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("short").alias("short")).select("set", "n", "signature", "short", "o.doc_id", "o.key"), "owners")
     shingles = owners.agg(F.sum(F.col("n") - F.ceil(F.col("n") * numerator / 100) + 1)).first()[0] or 0
     slices = max(LEAST_SLICES, int(shingles) // SLICE_SHINGLES)
     classes = spark.sparkContext.broadcast(frequency_classes(scanned))
     prefixes = keyed(docs).mapInArrow(_prefixes(classes, slices, width, numerator), "slice int, set bigint, n int, list binary")
-    alone = prefixes.withColumn("component", F.col("set"))
-    met = store(alone.groupBy("slice").applyInArrow(_meetings(False, numerator), "a bigint, b bigint, slice int, set bigint, n int, list binary"), "met")
-    links = store(verified(met.filter("a IS NOT NULL").select("a", "b").distinct(), docs, owners, width, numerator), "leader_links")
-    roots = components(links)
-    prefixes = met.filter("a IS NULL").drop("a", "b")
-    grouped = prefixes.join(roots, F.col("set") == F.col("node"), "left").select("slice", "set", "n", "list", F.coalesce("root", "set").alias("component"))
-    more = verified(grouped.groupBy("slice").applyInArrow(_meetings(True, numerator), "a bigint, b bigint").distinct(), docs, owners, width, numerator)
-    roots = store(components(links.union(more)), "roots")
+    shared = prefixes.groupBy("slice").applyInArrow(_shared, "slice int, set bigint, n int, list binary")
+    lists = store(shared.join(owners.select("set", "short"), "set"), "lists")
+    links, roots = None, None
+    for turn in [*range(LEADER_ROUNDS), None]:
+        if roots is None:
+            grouped = lists.withColumn("component", F.col("set"))
+        else:
+            grouped = lists.join(roots, F.col("set") == F.col("node"), "left").select("slice", "set", "n", "list", "short", F.coalesce("root", "set").alias("component"))
+        found = grouped.groupBy("slice").applyInArrow(_meetings(turn, numerator), "a bigint, b bigint").distinct()
+        linked = verified(found, docs, owners, width, numerator)
+        links = store(linked if links is None else links.union(linked), f"links_{turn}")
+        roots = components(links)
+    roots = store(roots, "roots")
 
     placed = rows.join(roots, (F.col("set") == F.col("node")) & (F.col("n") > 0), "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "set")))
     named = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r")
