@@ -10,9 +10,11 @@ a contraction, is split otherwise there than the whole text; its count is taken
 A document's prefix counts are stored as 16-bit steps, one per character: the count at
 any cut, the longest prefix within a budget and the total are sums of steps.
 
-Chunks repeat and share beginnings, so each worker keeps what it has computed, up to
-``CACHE_CHUNKS`` of a kind; forgetting costs time and changes nothing. A step that does
-not fit 16 bits ends the task with an overflow error instead of a wrong count.
+Chunks repeat and share beginnings, so each worker keeps what it has computed: steps of up
+to ``CACHE_CHUNKS`` chunks of a kind, and a tree of byte prefixes of pieces of up to
+``TREE_NODES`` nodes, each with the count and the last token of its prefix. Forgetting costs time and
+changes nothing. A step that does not fit 16 bits ends the task with an overflow error
+instead of a wrong count.
 
 Defined cases: null texts are empty and have 0 tokens; a special string inside a text is
 one special token at its end, and ordinary text before that; equal rows give equal rows;
@@ -33,12 +35,17 @@ from framesift.llm.common import keyed
 from pyspark.sql import DataFrame
 
 CACHE_CHUNKS = 250_000
+TREE_NODES = 1_000_000
 #: Prefixes of longer pieces are not kept.
 SHORT_PIECE = 64
 LIMIT = 512
 #: The split pattern that belongs to the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_CONTRACTIONS = {"'re", "'ve", "'ll"}
+#: Marks that are a piece, and a token, of their own after a word; and the end of the Latin letters.
+MARKS = frozenset(".,;:!?")
+LATIN_END = "\u0250"
+ONE = array("h", [1]).tobytes()
 
 BLANK = frozenset(chr(i) for i in range(0x3001) if regex.match(r"\p{White_Space}", chr(i)))
 _PIECE = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
@@ -54,6 +61,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _one_word(part: str) -> bool:
+    """Whether a part is letters only, and so a single piece, with a blank before it or not."""
+    return part.isalpha() and max(part) < LATIN_END
+
+
 class PrefixCounter:
     """Steps of token counts, character by character, for texts of one vocabulary."""
 
@@ -61,14 +73,14 @@ class PrefixCounter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.vocabulary = {t: t for t in self.tokenizer.get_vocab(with_added_tokens=False)}
         self.longest = max(map(len, self.vocabulary))
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special_strings = special
         self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
         self.letters = dict(enumerate(byte_letters()))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.states: dict[str, tuple[int, str]] = {}
+        self._forget()
         self.pieces: dict[str, list[int]] = {}
         self.first: list[dict[str, bytes]] = [{}, {}]
         self.later: list[dict[str, bytes]] = [{}, {}]
@@ -84,37 +96,55 @@ class PrefixCounter:
             known = self.pairs[key] = encoded == ([left, right] if left else [right])
         return known
 
+    def _forget(self):
+        """The tree of prefixes with its root only: edges by node and byte, counts and last tokens by node."""
+        self.edges: dict[int, int] = {}
+        self.counts, self.lasts = [0], [""]
+
+    def _grow(self, letters: str, path: list[int]) -> int:
+        """A node for the prefix that ends after ``letters``, whose shorter prefixes are ``path``."""
+        i, counts, lasts = len(path), self.counts, self.lasts
+        # Only one start fits, so the likeliest are tried first: the last token grows by
+        # this letter, or the letter is a token of its own.
+        for start in (i - 1 - len(lasts[path[-1]]), i - 1, *range(i - 2, max(0, i - self.longest) - 1, -1)):
+            token = self.vocabulary.get(letters[start:i])
+            if token and self.stays(lasts[path[start]], token):
+                counts.append(counts[path[start]] + 1)
+                lasts.append(token)
+                return len(counts) - 1
+        raise ValueError(f"no token ends {letters[:i]!r}")
+
     def piece_counts(self, piece: str) -> list[int]:
         """Token count of each prefix, by characters, of one piece of the pattern."""
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        n = len(letters)
-        states = self.states if n <= SHORT_PIECE else {}
-        counts, lasts = [0] * (n + 1), [""] * (n + 1)
-        for i in range(1, n + 1):
-            # Pieces share beginnings, so most prefixes are known from other pieces.
-            prefix = letters[:i] if n <= SHORT_PIECE else i
-            state = states.get(prefix)
-            if state is None:
-                # Only one start fits, so the likeliest are tried first: the last token
-                # grows by this letter, or the letter is a token of its own.
-                for start in (i - 1 - len(lasts[i - 1]), i - 1, *range(i - 2, max(0, i - self.longest) - 1, -1)):
-                    token = letters[start:i]
-                    if token in self.vocabulary and self.stays(lasts[start], token):
-                        state = counts[start] + 1, token
-                        break
-                if len(states) < CACHE_CHUNKS:
-                    states[prefix] = state
-            counts[i], lasts[i] = state
-        if len(self.states) >= CACHE_CHUNKS:
-            self.states = {}
-        if n != len(piece):
-            counts = [0, *(counts[i] for i in accumulate(len(c.encode()) for c in piece))]
+        if len(self.counts) > TREE_NODES:
+            self._forget()
+        data, edges, node = piece.encode(), self.edges, 0
+        path, letters = [0], None
+        for byte in data:
+            key = node << 8 | byte
+            node = edges.get(key)
+            if node is None:
+                if letters is None:
+                    letters = data.decode("latin-1").translate(self.letters)
+                node = self._grow(letters, path)
+                if len(path) <= SHORT_PIECE:
+                    edges[key] = node
+            path.append(node)
+        counts = self.counts
+        if len(data) == len(piece):
+            found = [counts[x] for x in path[1:]]
+        else:
+            # A character ends where no further byte of it follows.
+            found = [counts[x] for x, following in zip(path[1:], data[1:] + b" ") if following & 0xC0 != 0x80]
         if piece in LONG_CONTRACTIONS:
-            counts[2] = counts[1] + 1  # the quote and the letter are pieces of their own
-        return counts[1:]
+            found[1] = found[0] + 1  # the quote and the letter are pieces of their own
+        return found
 
     def chunk_steps(self, chunk: str) -> bytes:
         """Steps of a chunk that no piece crosses the ends of."""
+        if _one_word(chunk[1:] if chunk[:1] == " " else chunk):
+            own = self.piece_counts(chunk)
+            return array("h", map(sub, own, [0, *own])).tobytes()
         counts, done, before_run, run = [0], 0, 0, 0
         for match in _PIECE.finditer(chunk):
             piece, start = match[0], match.start()
@@ -144,7 +174,10 @@ class PrefixCounter:
         if steps is None:
             steps = caches[1].get(part)
             if steps is None:
-                steps = self.chunk_steps(lead + part)
+                if part[-1:] in MARKS and _one_word(part[:-1]):
+                    steps = self._known(caches, part[:-1], lead) + ONE
+                else:
+                    steps = self.chunk_steps(lead + part)
             if len(caches[0]) >= CACHE_CHUNKS:
                 caches[:] = [{}, caches[0]]
             caches[0][part] = steps
