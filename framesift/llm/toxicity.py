@@ -8,8 +8,8 @@ inside one does not count. The weights found, as a sum and by length, are turned
 score by a logistic fit.
 
 Labels are read only of documents whose crc32(doc_id as text) mod 3 is not 1, and of these
-at most ``TRAINING_ROWS``, those with the smallest hashes. So the sample, the terms (at
-most ``MAX_TERMS``) and the fit are of bounded size, and all texts are scored whole.
+at most ``TRAINING_ROWS``, those with the smallest hashes. So the sample, its terms, of which
+none is left out, and the fit are of bounded size, and all texts are scored whole.
 
 Defined cases: null texts are empty; texts without terms get the score of no finding; a
 null id counts as the empty string; a document with several labels is toxic if one says
@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAINING_ROWS = 20_000
-MAX_TERMS = 5_000
 #: Toxic training documents that a term must be in, and its least log odds.
 MIN_DOCS = 5
 MIN_WEIGHT = 3.0
@@ -196,12 +195,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, excepti
     counts = training.mapInArrow(_parts, "part string, toxic int").groupBy("part").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     best = counts.withColumn("weight", weight).filter((F.col("bad") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT))
-    terms = {r["part"]: r["weight"] for r in best.orderBy(F.desc("bad"), F.desc("weight"), "part").limit(MAX_TERMS).collect()}
+    terms = {r["part"]: r["weight"] for r in best.collect()}
     # A term that goes on from another one finds no further words.
     terms = {t: w for t, w in terms.items() if not any(t[:n] in terms for n in range(2, len(t)))}
     lexicon = Lexicon(terms, spared)
     phrases = training.mapInArrow(_phrases(lexicon), "part string, toxic int").groupBy("part").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    harmless = phrases.filter((F.col("bad") == 0) & (F.col("good") >= EXCEPTION_DOCS)).orderBy(F.desc("good"), "part").limit(MAX_TERMS)
+    harmless = phrases.filter((F.col("bad") == 0) & (F.col("good") >= EXCEPTION_DOCS)).orderBy("part")
     lexicon = Lexicon(terms, spared + tuple(r["part"] for r in harmless.collect()))
     fitted = training.mapInArrow(_features(lexicon), "x double, y double, toxic int").toPandas()
     return Lexicon(terms, lexicon.exceptions, _fit(fitted["x"].to_numpy(), fitted["y"].to_numpy(), fitted["toxic"].to_numpy(float)))
