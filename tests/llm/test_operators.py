@@ -194,6 +194,19 @@ def test_token_prefixes(docs, rows, nothing):
     assert tokens.token_prefixes(nothing, file).count() == 0
 
 
+def test_every_prefix_counts_as_the_library_has_it():
+    """Words with and without marks, letters of many scripts, contractions, blanks; nodes forgotten on the way."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library, counter, rnd = Tokenizer.from_file(file), tokens.PrefixCounter(file), random.Random(3)
+    parts = "word Élève straße naïve ǅungla ɐbc 日本 it's they'll don't x.y 3.14 !? , ... 😀 é ﬁ ʼn Ʌ ȿa ß, ñ. l'été 're ª º, µ. ² aʰ,".split() + ["  ", "\n", "\t "]
+    for n in range(300):
+        text = "".join(rnd.choice(parts) + rnd.choice(["", " ", " ", ", ", ". "]) for _ in range(rnd.randint(0, 8)))
+        if n % 50 == 0:
+            counter._forget()
+        want = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(1, len(text) + 1)]
+        assert tokens.prefix_counts(counter.text_steps(text)).tolist() == want
+
+
 def test_token_files(spark, docs, rows, nothing):
     file = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(file)
@@ -299,6 +312,22 @@ def test_toxicity(spark, nothing, labels):
     assert {r.score for r in toxicity.scored(many, toxicity.learn(many, marks.limit(0))).collect()} == {0.0}
 
 
+def test_lexicon_finds_what_a_walk_over_all_starts_finds():
+    rnd = random.Random(8)
+    terms = {" clod": 4.0, " foolish ": 5.0, " bad": 3.5, " badger ": 6.0, " o": 3.0}
+    exceptions = (" old clod ", " bad luck ", " sweet badger ")
+    lexicon = toxicity.Lexicon(terms, exceptions, (-4.0, 1.0, 0.5))
+    for _ in range(300):
+        folded = toxicity.fold(" ".join(rnd.choice(["clod", "clods", "Foolish", "foolishly", "b@d", "badger", "old", "luck", "sweet", "0ld", "cl0d", "x", "9"]) for _ in range(rnd.randint(0, 12))))
+        want = {}
+        for start in range(len(folded)):
+            inside = any(folded.startswith(e, at) and at <= start < at + len(e) - 1 for e in exceptions for at in range(len(folded)))
+            weights = [w for t, w in terms.items() if folded.startswith(t, start)]
+            if weights and not inside:
+                want[start] = max(weights)
+        assert lexicon.found(folded) == sorted(want.items())
+
+
 def test_language_model(docs, rows, nothing, labels):
     df = language_model.classified(docs, labels)
     found = df.collect()
