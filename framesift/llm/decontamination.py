@@ -90,25 +90,32 @@ def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return grams(pair.T.ravel(), 2)[::2]
 
 
-def item_words(benchmark: DataFrame) -> DataFrame:
-    """item, place, words: the word hashes of every item that has words."""
+def item_words(benchmark: DataFrame, size: int) -> DataFrame:
+    """item, words: the word hashes of every item that has words, in parts of at most ``size`` windows.
+
+    Parts of a long item overlap, so that each of its windows is in one of them.
+    """
 
     def run(batches):
         powers = Powers()
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             words, first = words_of(data, offsets, NON_WORDS, powers)
-            parts = [words[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(parts, pa.binary())], ["item", "words"])
+            rows, parts = [], []
+            for row, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                for at in range(a, max(a + 1, b - WINDOW + 1), size):
+                    rows.append(row)
+                    parts.append(words[at : min(b, at + size + WINDOW - 1)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(rows, pa.int32())), pa.array(parts, pa.binary())], ["item", "words"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     return items.mapInArrow(run, "item string, words binary").filter(F.octet_length("words") > 0)
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK_WINDOWS):
-    """The benchmark in blocks of at most ``size`` windows, read one item after the other."""
+    """The benchmark in blocks of at most ``size`` windows, read one part of an item after the other."""
     items, words, windows = [], [], 0
-    for row in item_words(benchmark).toLocalIterator():
+    for row in item_words(benchmark, size).toLocalIterator():
         own = max(1, len(row["words"]) // 8 - WINDOW + 1)
         if windows and windows + own > size:
             yield Block(items, words)

@@ -128,6 +128,7 @@ def test_decontamination(spark, docs, rows, nothing):
     for size in (decontamination.BLOCK_WINDOWS, 20):
         df = decontamination.judged(decontamination.matches(docs, benchmark, size))
         assert Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in df.collect()) == want
+    assert {len(b.length) <= 20 for b in decontamination.blocks(benchmark, 20)} == {True}
     assert decontamination.matches(nothing, benchmark).count() == 0
     assert not any(r.n_hit for r in decontamination.judged(decontamination.matches(docs, benchmark.limit(0))).collect())
 
