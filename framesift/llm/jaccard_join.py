@@ -376,6 +376,24 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, n
     return both.select("a", "b", "left", "right").mapInArrow(_similar(numerator), "a bigint, b bigint")
 
 
+def _with_roots(rows: DataFrame, column: str, roots: DataFrame | None, name: str) -> DataFrame:
+    """``rows`` with the component of the set in ``column``: its root, or the set itself."""
+    if roots is None:
+        return rows.withColumn(name, F.col(column))
+    known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return rows.join(known, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", column)).drop("_node", "_root")
+
+
+def _joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, root`` after more links: only links between components, each once, are looked at."""
+    between = _with_roots(_with_roots(links, "a", roots, "x"), "b", roots, "y").filter("x <> y")
+    more = components(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if roots is None:
+        return store(more.select("node", "root"), "roots")
+    moved = _with_roots(roots, "root", more, "now").select("node", F.col("now").alias("root"))
+    return store(moved.union(more.select("node", "root")), "roots")
+
+
 def joined(docs: DataFrame, width: int = N, numerator: int = NUMERATOR) -> DataFrame:
     """``doc_id, key, n_shingles, component_id, root`` of every row.
 
@@ -395,17 +413,11 @@ def joined(docs: DataFrame, width: int = N, numerator: int = NUMERATOR) -> DataF
     prefixes = keyed(docs).mapInArrow(_prefixes(classes, slices, width, numerator), "slice int, set bigint, n int, list binary")
     shared = prefixes.groupBy("slice").applyInArrow(_shared, "slice int, set bigint, n int, list binary")
     lists = store(shared.join(owners.select("set", "short"), "set"), "lists")
-    links, roots = None, None
+    roots = None
     for turn in [*range(LEADER_ROUNDS), None]:
-        if roots is None:
-            grouped = lists.withColumn("component", F.col("set"))
-        else:
-            grouped = lists.join(roots, F.col("set") == F.col("node"), "left").select("slice", "set", "n", "list", "short", F.coalesce("root", "set").alias("component"))
+        grouped = _with_roots(lists, "set", roots, "component")
         found = grouped.groupBy("slice").applyInArrow(_meetings(turn, numerator), "a bigint, b bigint").distinct()
-        linked = verified(found, docs, owners, width, numerator)
-        links = store(linked if links is None else links.union(linked), f"links_{turn}")
-        roots = components(links)
-    roots = store(roots, "roots")
+        roots = _joined_roots(roots, verified(found, docs, owners, width, numerator))
 
     placed = rows.join(roots, (F.col("set") == F.col("node")) & (F.col("n") > 0), "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "set")))
     named = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r")
