@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.operators.stats import frame_api_summary
-from framesift.session import store
+from framesift.session import ranged_for_files, store
 
 # Column headings of the result kinds, each with the column it shows.
 HEADINGS = {
@@ -75,8 +75,7 @@ def headed(df: DataFrame, kind: str, headings: dict[str, dict[str, str]] = HEADI
 def headed_by_log(df: DataFrame, kind: str, headings: dict[str, dict[str, str]] = HEADINGS) -> DataFrame:
     """The same with a leading column ``log``, each log in order in neighbouring partitions."""
     order = ["log", *_order(kind)]
-    ranged = df.withColumnRenamed("log_id", "log").repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.select("log", *_headings(kind, headings))
+    return ranged_for_files(df.withColumnRenamed("log_id", "log"), *order).select("log", *_headings(kind, headings))
 
 
 def _headings(kind: str, headings: dict[str, dict[str, str]]) -> list[Column]:
@@ -305,8 +304,7 @@ def write_document(doc: Document, path: str, by_log: bool = False) -> None:
     if by_log:
         # The folder column must lead the order, else the writer sorts by it anew.
         order = ["log", *doc.order[1:]]
-        lines = doc.lines.withColumnRenamed("log_id", "log")
-        ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+        ranged = ranged_for_files(doc.lines.withColumnRenamed("log_id", "log"), *order)
         ranged.select("log", "value").write.partitionBy("log").text(path)
     else:
         doc.sorted().select("value").write.text(path)

@@ -1,6 +1,7 @@
 import csv
 import glob
 import json
+from pathlib import Path
 
 import pytest
 
@@ -165,3 +166,17 @@ def test_export_by_question(log_of, tmp_path):
     assert json.loads(run("longest"))["FrameNum"] == 0
     with pytest.raises(ValueError):
         run("frames", "xml")
+
+
+def writing_tasks(path):
+    """Numbers of the tasks that wrote the files below a folder."""
+    return {f.name.split("-")[1] for f in Path(path).rglob("part-*")}
+
+
+def test_files_of_many_logs_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id div 10 AS log_id", "id AS line_num", "concat('c', id) AS content", "0L AS page_num")
+    for fmt in ("csv", "json", "txt"):
+        path = f"{tmp_path}/{fmt}"
+        export.export(rows, "search", fmt, path, by_log=True)
+        assert len(writing_tasks(path)) > 1, fmt
+        assert len(list(Path(path).glob("log=*"))) == 40
