@@ -5,10 +5,12 @@ from pathlib import Path
 
 import pytest
 
+from framesift import catalog
 from framesift.operators import export, stats
 from framesift.operators.shaders import shader_call_stats
 from framesift.plans import answers
 from framesift.plans.parse import parse_aggregated, parse_lines
+from framesift.sources.text import read_lines
 
 LOG = """glBindBuffer: count=2, time=1005 us
 glCompileShader: count=1, time=7 us
@@ -180,3 +182,25 @@ def test_files_of_many_logs_are_written_by_many_tasks(spark, tmp_path):
         export.export(rows, "search", fmt, path, by_log=True)
         assert len(writing_tasks(path)) > 1, fmt
         assert len(list(Path(path).glob("log=*"))) == 40
+
+
+def test_log_files_are_written_by_many_tasks_and_each_is_one_file(spark, tmp_path):
+    lines = spark.range(400).selectExpr("id div 10 AS log_id", "id % 10 + 1 AS line_num", "concat('c', id) AS content")
+    catalog._log_files(spark, lines, f"{tmp_path}/logs")
+    assert len(writing_tasks(f"{tmp_path}/logs")) > 1
+    files = {f.parent.name: f.read_text() for f in Path(f"{tmp_path}/logs").rglob("part-*")}
+    assert len(files) == len(list(Path(f"{tmp_path}/logs").rglob("part-*"))) == 40
+    assert files["log_id=3"].split() == [f"c{i}" for i in range(30, 40)]
+
+
+def test_listing_of_many_folders_takes_some_tasks_for_each_core(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"log_id={i}").mkdir()
+        (tmp_path / f"log_id={i}" / "a.txt").write_text("swapBuffers: 1 us\n")
+    spark.conf.unset("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.sparkContext.setJobGroup("listing", "")
+    assert read_lines(spark, str(tmp_path)).lines.count() == 60
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < max(s.numTasks for s in stages if s and s.name.startswith("text at")) < 60
