@@ -140,6 +140,20 @@ def test_blocks_over_many_chunks_and_longer_than_a_value(log_of, monkeypatch):
         monkeypatch.undo()
 
 
+def test_sources_are_shuffled_once(log_of):
+    """Blocks of one chunk are not put together a second time, and joins with what else is known of
+    a block keep its partitions."""
+    from framesift.operators import aggregated
+
+    block = ["glA: count=1, time=1 us", "####", "a", "b", "####", "swapBuffers: 1 us"]
+    for chunk, tables in ((100, 1), (3, 2)):
+        log = log_of({"x": block * 3, "y": block}, chunk=chunk)
+        state = aggregated.shader_state(log)
+        found = shaders._sources(shaders.body_lines(log, state), state)
+        assert len(found) == tables
+        assert sorted((r.log_id, r.block, r.source) for t in found for r in t.collect()) == [("x", 2, "a\nb"), ("x", 8, "a\nb"), ("x", 14, "a\nb"), ("y", 2, "a\nb")]
+
+
 def test_files_in_splits_of_any_size(spark, tmp_path):
     made = made_logs.aggregated(random.Random(5), 500)
     body, want = made.lines, made.frames
