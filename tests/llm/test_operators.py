@@ -341,6 +341,81 @@ def test_language_model(docs, rows, nothing, labels):
     assert len(p) == language_model.SYMBOLS**language_model.ORDER and np.allclose(sums, 1)
 
 
+def test_language_model_counts_words(docs, rows, labels):
+    """Perplexities, thresholds and kept rows against a plain modified Kneser-Ney model of words."""
+    def tokens(text):
+        return ["<s>", *BLANK_WORDS.findall(lower(text)), "</s>"]
+
+    trusted = {i for i in range(40) if i % 2}
+    three, two, one = Counter(), Counter(), Counter()
+    trained = [tokens(t) for d, t, *_ in rows if d in trusted and t]
+    for t in trained:
+        three.update(zip(t, t[1:], t[2:]))
+        two["<s>", t[1]] += 1
+    two.update((b, c) for _, b, c in three)
+    one.update(c for _, c in two)
+
+    def model(counts, below):
+        def shorter(g):
+            return below(g[1:] or g)
+
+        n1, n2, n3, n4 = (max(1, sum(n == k for n in counts.values())) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        total, given = Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            given[g[:-1]] += d[min(n, 3) - 1]
+
+        def p(g):
+            if g[:-1] not in total:
+                return shorter(g)
+            n = counts[g]
+            return ((n - d[min(n, 3) - 1]) if n else 0) / total[g[:-1]] + given[g[:-1]] / total[g[:-1]] * shorter(g)
+
+        return p
+
+    costs = language_model.spelling(language_model.trusted_texts(docs, labels))
+
+    def spelled(g):
+        data = np.frombuffer(b"" if g[0] == "</s>" else g[0].encode(), np.uint8)
+        data = np.append(data, np.uint8(32))
+        return np.exp(-costs[language_model._codes(data, np.array([0, len(data)]))].sum() / language_model.UNIT)
+
+    short = model(two, model(Counter({(c,): n for c, n in one.items()}), spelled))
+    p = model(three, short)
+
+    def perplexity(text):
+        t = tokens(text)
+        logs = [np.log(short((t[0], t[1]))), *(np.log(p(g)) for g in zip(t, t[1:], t[2:]))]
+        return -sum(logs) / len(logs)
+
+    want = Counter((d, round(float(perplexity(t)), 5) if t else None) for d, t, *_ in rows)
+    found = language_model.classified(docs, labels).collect()
+    assert Counter((r.doc_id, None if r.perplexity is None else round(float(np.log(r.perplexity)), 5)) for r in found) == want
+    limits = defaultdict(float)
+    for r in found:
+        if r.doc_id in trusted and r.perplexity is not None:
+            limits[r.lang] = max(limits[r.lang], r.perplexity)
+    for r in found:
+        assert r.threshold == limits.get(r.lang)
+        assert r.kept == (r.perplexity is not None and (r.threshold is None or r.perplexity <= r.threshold))
+
+
+def test_language_model_tells_words_apart(spark, monkeypatch):
+    """Words of the same classes of bytes, and n-grams that are weighed by the join alone."""
+    texts = ["日本 語文 字典 " * 20, "日本 語文 字典", "語日 本文 典字", "字典 日本 語文"]
+    docs = spark.createDataFrame([(i, t, "ja") for i, t in enumerate(texts)] + [(1, texts[1], "ja")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    found = {}
+    for common in (1 << 10, 0):
+        monkeypatch.setattr(language_model, "COMMON", common)
+        found[common] = Counter((r.doc_id, r.perplexity) for r in language_model.classified(docs, labels).collect())
+    assert found[0] == found[1 << 10]
+    p = dict(found[0].keys())
+    assert p[1] < p[3] < p[2] and found[0][1, p[1]] == 2
+
+
 def test_quality_rules(docs, rows, nothing, labels, spark):
     want = Counter()
     for doc_id, text, *_ in rows:
