@@ -329,6 +329,21 @@ def test_lexicon_finds_what_a_walk_over_all_starts_finds():
         assert lexicon.found(folded) == sorted(want.items())
 
 
+def test_spans_are_whole_in_long_texts(spark):
+    """Places far beyond 16 bits, and spans as large as they get, next to one another."""
+    rnd = random.Random(11)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(5000))
+    head = "".join(rnd.choice("abcdefgh ") for _ in range(200_000))
+    docs = spark.createDataFrame([(1, head + passage), (2, passage), (2, passage), (3, "short")], "doc_id bigint, text string")
+    rows = substring_dedup.without_repeats(docs).select("doc_id", "n_removed", "n_spans", "kept").collect()
+    assert Counter((r.doc_id, r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in rows) == Counter(
+        [(1, 5000, 1, head), (2, 5000, 1, ""), (2, 5000, 1, ""), (3, 0, 0, "short")]
+    )
+    # What is shuffled of a span is one number.
+    plan = substring_dedup.without_repeats(docs)._jdf.queryExecution().analyzed().toString()
+    assert "array<bigint>" in plan and "array<struct<start" not in plan
+
+
 def test_language_model(docs, rows, nothing, labels):
     df = language_model.classified(docs, labels)
     found = df.collect()
