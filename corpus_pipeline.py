@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Near copies share at least so many hundredths of their runs of so many words.
 SHINGLE_WORDS, SIMILAR_HUNDREDTHS = 5, 80
+#: Words whose ids a worker keeps, fewer than alone: workers also hold what earlier stages left.
+CACHE_WORDS = 100_000
 
 
 def _rows_of(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
@@ -62,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of the token files written."""
     path = token_files.new_path(spark)
-    token_files.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), path)
+    token_files.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), path, cache_words=CACHE_WORDS)
     return token_files.token_rows(token_files.read_tokens(spark, path))
 
 

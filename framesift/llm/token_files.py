@@ -10,7 +10,7 @@ Where a document starts in the whole sequence is a distributed prefix sum over t
 metadata: inside each written partition, then over one row per partition.
 
 Encoding is by words between blanks, which the tokenizer never joins. Each worker keeps the
-ids of the words it has seen, up to two generations of ``CACHE_WORDS`` and those of one batch;
+ids of the words it has seen, up to two generations of ``CACHE_WORDS``, or as many as given, and those of one batch;
 forgetting costs time and changes nothing. If the file states the rules in ``WORD_RULES``, texts of
 Latin letters and ASCII signs alone are lower-cased and split into the pieces of these rules here,
 as are the Latin words of other texts, and new pieces go to the merge model directly; all other
@@ -77,8 +77,9 @@ WRITING = {
 class WordEncoder(dict):
     """Ids of whole texts, from the ids of their words or pieces, which are the entries."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, cache_words: int | None = None):
         super().__init__()
+        self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
@@ -93,7 +94,7 @@ class WordEncoder(dict):
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE_WORDS:
+        if len(self) > (self.cache_words or CACHE_WORDS):
             self.older = dict(self)
             self.clear()
         return [b"".join(map(self.__getitem__, self._parts(t))) for t in texts]
@@ -130,16 +131,16 @@ class WordEncoder(dict):
 
 
 @cache
-def encoder_of(file: str) -> WordEncoder:
+def encoder_of(file: str, cache_words: int) -> WordEncoder:
     """One per worker process, so that the words it has seen serve later tasks too."""
-    return WordEncoder(file)
+    return WordEncoder(file, cache_words)
 
 
-def _encode(file: str, end_id: int):
+def _encode(file: str, end_id: int, cache_words: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = encoder_of(file)
+        encoder = encoder_of(file, cache_words)
         for batch in batches:
             rows = [b + end for b in encoder.encode(batch.column("text").to_pylist())]
             starts = np.cumsum([0, *(len(b) // 4 for b in rows)])
@@ -152,12 +153,12 @@ def _encode(file: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, file: str, path: str, end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, file: str, path: str, end_id: int = END_ID, cache_words: int | None = None) -> None:
     """Write ``doc_id, key, part, pos, n_tokens, ids`` below ``path`` in ascending id order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = [F.col("doc_id").asc_nulls_last(), F.col("key").asc()]
     ordered = keyed(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-    encoded = ordered.mapInArrow(_encode(file, end_id), f"doc_id {kind}, key bigint, n_tokens bigint, ids array<int>")
+    encoded = ordered.mapInArrow(_encode(file, end_id, cache_words or CACHE_WORDS), f"doc_id {kind}, key bigint, n_tokens bigint, ids array<int>")
     counted = encoded.select(
         "doc_id", "key", F.spark_partition_id().alias("part"),
         F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("pos"), "n_tokens", "ids",

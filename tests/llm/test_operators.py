@@ -512,3 +512,18 @@ def test_spans_of_many_equal_rows_count_once(spark):
     result = found.groupBy("doc_id", "n_removed", "n_spans").count().orderBy("doc_id").collect()
     n = len(text.encode())
     assert [tuple(r) for r in result] == [(5, n, 1, 300), (6, n, 1, 1), (7, 0, 0, 1)]
+
+
+def test_kept_words_are_bounded(spark, tmp_path):
+    """With few kept words, tokens are the same and an encoder holds no more than two such lots and a batch."""
+    file = public_tokenizers.path("word_bpe_49k.json")
+    texts = [words(random.Random(i), 200) for i in range(8)]
+    few, many = token_files.WordEncoder(file, 50), token_files.WordEncoder(file)
+    for t in texts:
+        assert few.encode([t]) == many.encode([t])
+        assert len(few) <= 50 + 400
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    token_files.write_tokens(df, file, f"{tmp_path}/few", cache_words=10)
+    token_files.write_tokens(df, file, f"{tmp_path}/many")
+    found = [sorted(token_files.token_digests(token_files.read_tokens(spark, f"{tmp_path}/{x}")).collect()) for x in ("few", "many")]
+    assert found[0] == found[1]
