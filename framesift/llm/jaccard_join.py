@@ -12,10 +12,11 @@ sketch over all documents, then the hash). Two sets of similarity ``s = numerato
 * Sets under one node share the whole path to it. They are paired at its first shingle
   only; further shingles pair sets of different nodes. A pair is dropped when the
   remaining lengths cannot reach the overlap that both sizes require.
-* First each set is paired with leaders only, one for each shingle, which joins groups
-  of near copies with few pairs. Verified links give components. ``LEADER_ROUNDS`` rounds,
-  each with another random order of leaders, leave few members of a large group outside its
-  component. Then whatever pairs of different components still share a shingle are all
+* First each set is paired with leaders only, ``LEADERS`` for each shingle, which joins groups
+  of near copies with few pairs. Verified links give components. In the other one of ``LEADER_ROUNDS``
+  rounds each set outside of a shingle's largest component is paired with ``PARTNERS`` others, in another
+  random order, so also members that link with few of a large group are hardly left outside its
+  component, and pairs grow with the sets, not with their square. Then whatever pairs of different components still share a shingle are all
   tested, so no link between components is lost; pairs inside a component would not change it.
 * Signatures of parity bits bound from below in how many shingles two sets differ. Nodes
   pair sets only where signatures of ``SHORT_BITS`` allow the similarity.
@@ -54,8 +55,10 @@ LEAST_SLICES = 48
 PAIRS_AT_ONCE = 200_000
 #: Bits of a signature at least, and of the one that goes with every list.
 SHORT_BITS = 512
-#: Rounds of leaders before all other pairs are tested; the result is the same for any number.
+#: Rounds before all other pairs are tested, the first with so many leaders of each shingle, later ones
+#: with so many partners of each set; the result is the same for any numbers.
 LEADER_ROUNDS = 2
+LEADERS, PARTNERS = 16, 64
 
 _ENTRY = np.dtype([("shingle", "<u8"), ("place", "<i4")])
 
@@ -189,6 +192,7 @@ class Trie:
 
     def __init__(self, sizes, groups, shorts, lists, numerator: int):
         self.sizes, self.groups, self.shorts, self.numerator = sizes, groups, shorts, numerator
+        self.last_place = sizes - needed_overlap(sizes, sizes, numerator)
         self.children: dict[tuple[int, int], int] = {}
         self.depth, self.records, self.places = [0], [None], [None]
         self.header: dict[int, list[int]] = {}
@@ -233,22 +237,43 @@ class Trie:
         return np.bitwise_count(self.shorts[a] ^ self.shorts[b]).sum(axis=1, dtype=np.int64) <= n + m - 2 * needed_overlap(n, m, self.numerator)
 
     def leader_pairs(self, ranks):
-        """Each record with the first record, by ``ranks``, that could be similar to it."""
+        """Each record with the first ``LEADERS`` records, by ``ranks``, that could be similar to it."""
         for records, places, nodes in self.meetings():
-            order = np.argsort(ranks[records], kind="stable")
+            # Those too far in for a set of their own size lead last, as few could be similar to them.
+            order = np.lexsort((ranks[records], places > self.last_place[records]))
             records, places, nodes = records[order], places[order], nodes[order]
             while len(records) > 1:
-                good = self._possible(records[0], records[1:], places[0], places[1:], nodes[0], nodes[1:])
-                near = np.flatnonzero(good)
-                good[near] = self._alike(np.full(len(near), records[0]), records[1:][near])
-                if good.any():
-                    yield np.full(good.sum(), records[0]), records[1:][good]
-                left = np.flatnonzero(~good) + 1
-                # Records unlike this leader may find one of their own.
+                lead = slice(0, LEADERS)
+                good = self._possible(records[lead, None], records[None, :], places[lead, None], places[None, :], nodes[lead, None], nodes[None, :])
+                x, y = np.nonzero(np.triu(good, 1))
+                alike = self._alike(records[x], records[y])
+                x, y = x[alike], y[alike]
+                if len(x):
+                    yield records[x], records[y]
+                left = np.ones(len(records), bool)
+                left[lead], left[y] = False, False
+                # Records unlike these leaders may find some of their own.
                 records, places, nodes = records[left], places[left], nodes[left]
-                if not good.any() and len(records) > 64:
+                if not len(x) and len(records) > 64:
                     break
 
+    def near_pairs(self, ranks):
+        """Each record outside of a shingle's largest group with the first ``PARTNERS``, by ``ranks``, that could be similar to it."""
+        for records, places, nodes in self.meetings():
+            order = np.argsort(ranks[records], kind="stable")
+            records, places, nodes = records[order], places[order], nodes[order]
+            group = np.unique(self.groups[records], return_inverse=True)[1]
+            others = np.flatnonzero(group != np.bincount(group).argmax())
+            step = max(1, PAIRS_AT_ONCE // len(records))
+            for i in range(0, len(others), step):
+                a = others[i : i + step]
+                x, y = np.nonzero(self._possible(records[a, None], records[None, :], places[a, None], places[None, :], nodes[a, None], nodes[None, :]))
+                alike = self._alike(records[a[x]], records[y])
+                x, y = x[alike], y[alike]
+                some = np.arange(len(x)) - np.searchsorted(x, x) < PARTNERS
+                if some.any():
+                    yield records[a[x[some]]], records[y[some]]
+
     def all_pairs(self):
         """All pairs of different groups that could be similar, each shingle's in blocks."""
         for records, places, nodes in self.meetings():
@@ -291,7 +316,7 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _meetings(turn: int | None, numerator: int):
-    """Pairs (a, b) of a slice: with the leaders of round ``turn``, or all."""
+    """Pairs (a, b) of a slice: with the leaders (round 0) or partners (later) of round ``turn``, or all."""
 
     def run(table: pa.Table) -> pa.Table:
         names, first, entries, owner = _slice_of(table)
@@ -301,7 +326,8 @@ def _meetings(turn: int | None, numerator: int):
         shingles, places = np.unique(entries["shingle"], return_inverse=True)[1].tolist(), entries["place"].tolist()
         trie = Trie(sizes, groups, shorts, ((int(owner[a]), zip(shingles[a:b], places[a:b])) for a, b in pairwise(_cuts(owner))), numerator)
         found, size = [np.zeros((2, 0), np.int64)], 0
-        for pair in trie.all_pairs() if turn is None else trie.leader_pairs(mix64(names.astype(np.uint64) + np.uint64(turn))):
+        ranks = mix64(names.astype(np.uint64) + np.uint64(turn or 0))
+        for pair in trie.all_pairs() if turn is None else trie.near_pairs(ranks) if turn else trie.leader_pairs(ranks):
             found.append(np.stack(pair).astype(np.int64))
             size += found[-1].shape[1]
             if size > 10 * PAIRS_AT_ONCE:

@@ -84,6 +84,34 @@ def test_jaccard_components(docs, rows, nothing):
     assert jaccard_join.joined(nothing).count() == 0
 
 
+def test_large_group_of_loose_copies_needs_few_pairs(spark, monkeypatch):
+    """A member that links with few of its group still joins it before all pairs are tested."""
+    rnd, n = random.Random(5), 300
+    base, made = [f"w{i}" for i in range(100)], []
+    for i in range(n):
+        w = list(base)
+        for at in rnd.sample(range(2, 98), 2 if i % 3 else 3):
+            w[at] = f"x{i}.{at}"
+        made.append(w)
+    sets = [frozenset(tuple(w[k : k + 4]) for k in range(97)) for w in made]
+    root = list(range(n))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    tested, verified = [], jaccard_join.verified
+
+    def counted(pairs, *others):
+        tested.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id bigint, text string").repartition(3)
+    assert got(jaccard_join.joined(docs), "doc_id", "component_id") == Counter(enumerate(root))
+    assert sum(tested) < 40 * n, tested
+
+
 def test_signatures_never_overstate():
     rnd = np.random.default_rng(3)
     for n, m in ((5, 6), (300, 280), (5000, 300)):
