@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesift.operators.scan import CHUNK
+from framesift.session import store
 
 BLOCK_LINES = 128
 ROW_GROUP_BYTES = 256 * 2**10
@@ -47,7 +48,8 @@ def blocks(calls: DataFrame) -> DataFrame:
 
 def save_postings(calls: DataFrame, path: str) -> None:
     """Write the blocks of all functions to ``path``."""
-    made = blocks(calls).repartitionByRange(*SORTED_BY).sortWithinPartitions(*SORTED_BY)
+    # Stored first, as bounds of ranges are sampled from all rows: calls are numbered and gathered once.
+    made = store(blocks(calls), "blocks").repartitionByRange(*SORTED_BY).sortWithinPartitions(*SORTED_BY)
     made.write.mode("errorifexists").options(**_LAYOUT).parquet(path)
 
 

@@ -167,6 +167,12 @@ def test_lookups_equal_the_calls(spark, tmp_path):
     assert counts["glHot", "log"] == 30_000 and counts["glHot", "other"] == 1
 
 
+def test_calls_are_numbered_once(spark, tmp_path, written_plans):
+    postings.save_postings(many_calls(spark, 2_000), str(tmp_path / "p"))
+    # Bounds of ranges are sampled from what the last write reads, so nothing is numbered there.
+    assert ["Window" in p for p in written_plans] == [True, False]
+
+
 def test_blocks_are_short_and_ranges_of_row_groups_narrow(spark, tmp_path):
     # Logs of many lines, so that the blocks need several row groups.
     calls = many_calls(spark, 400_000)
