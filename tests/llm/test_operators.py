@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from framesift.llm import (
     decontamination, jaccard_join, language_model, line_dedup, mixing, quality_rules, substring_dedup, token_files, tokens, toxicity,
@@ -112,6 +113,19 @@ def test_large_group_of_loose_copies_needs_few_pairs(spark, monkeypatch):
     assert sum(tested) < 40 * n, tested
 
 
+def test_sets_outside_of_a_large_component_get_several_partners():
+    n, outside = 200, 20
+    entry, names = np.zeros(1, jaccard_join._ENTRY).tobytes(), np.arange(1, n + 1)
+    table = pa.table({
+        "slice": np.zeros(n, np.int32), "set": names, "n": np.full(n, 100, np.int32), "list": [entry] * n,
+        "short": [bytes(jaccard_join.SHORT_BITS // 8)] * n, "component": np.where(names <= outside, names, 1000),
+    })
+    pairs = jaccard_join._meetings(1, 85)(table)
+    met = Counter(pairs["a"].to_pylist() + pairs["b"].to_pylist())
+    assert min(met[s] for s in range(1, outside + 1)) >= 16
+    assert pairs.num_rows <= 64 * outside
+
+
 def test_signatures_never_overstate():
     rnd = np.random.default_rng(3)
     for n, m in ((5, 6), (300, 280), (5000, 300)):
