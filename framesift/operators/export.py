@@ -45,7 +45,7 @@ ORDERS = {
     "frame": ["frame_num"],
 }
 FORMATS = ("txt", "csv", "json")
-# Stands in text results for a source that is too long for one value.
+# Stands in text results for a source that was not put together, if a longest one was set.
 SOURCE_IN_LINES = "[Source in the table of shader lines]"
 # Rules drawn in text results.
 RULE = "-" * 50

@@ -17,9 +17,9 @@ from framesift.sources.loglines import LogLines
 LIST_SOURCE_CHARS = 2000
 CUT_NOTE = "\n[Source truncated]"
 PREVIEW_CHARS = 50
-#: A source longer than this is not put together, as it would have to fit into one value of one
-#: task: it is NULL, and its lines are in the table of body lines like those of all others.
-LONGEST_SOURCE_BYTES = 64 * 2**20
+#: Sources are put together whatever their length; each is one value, which its task must have room for.
+#: Who sets a number of bytes here gets NULL for longer ones, and reads these from the table of body lines.
+LONGEST_SOURCE_BYTES: int | None = None
 # Fixed values of the expanded view.
 VIEW_SOURCE_CHARS = 50000
 VIEW_CUT_NOTE = "...[truncated]"
@@ -48,30 +48,33 @@ def lines_of_shaders(body: DataFrame, shaders: DataFrame) -> DataFrame:
 
 
 def _sources(body: DataFrame, shader: ShaderState) -> list[DataFrame]:
-    """``log_id, block, source`` in tables that share no block; a block that is too long for
-    one value has a NULL source.
+    """``log_id, block, source`` in tables that share no block, of all blocks and whole sources.
 
     A block that no chunk starts inside of lies in one chunk and is joined at once. The
     others are joined within each chunk, then over their chunks.
     """
-    keys = ["log_id", "block"]
-    size = F.sum(F.octet_length("content").cast("bigint") + 1).alias("bytes")
-    fits = F.col("bytes") <= LONGEST_SOURCE_BYTES
+    keys, longest = ["log_id", "block"], LONGEST_SOURCE_BYTES
+    size = [] if longest is None else [F.sum(F.octet_length("content").cast("bigint") + 1).alias("bytes")]
+
+    def fitting(text: str) -> Column:
+        return F.col(text) if longest is None else F.when(F.col("bytes") <= longest, F.col(text)).alias(text)
 
     def in_one_chunk(lines: DataFrame) -> DataFrame:
-        joined = lines.groupBy(*keys).agg(size, _in_order("line_num", "content").alias("source"))
-        return joined.select(*keys, F.when(fits, F.col("source")).alias("source"))
+        joined = lines.groupBy(*keys).agg(*size, _in_order("line_num", "content").alias("source"))
+        return joined.select(*keys, fitting("source"))
 
     carried = small_side(shader.starts.filter("starts_inside").select("log_id", F.col("block_base").alias("block")).distinct(), "carried")
     if carried.isEmpty():
         return [in_one_chunk(body)]
     # A chunk is one split of the input, which bounds a piece.
-    pieces = body.join(carried, keys, "left_semi").groupBy("log_id", CHUNK, "block").agg(size, _in_order("line_num", "content").alias("piece"))
-    # Pieces of a block that does not fit are NULL and hence never gathered.
-    pieces = pieces.withColumn("bytes", F.sum("bytes").over(Window.partitionBy(*keys))).withColumn("piece", F.when(fits, F.col("piece")))
-    joined = pieces.groupBy(*keys).agg(F.first("bytes").alias("bytes"), _in_order("chunk_id", "piece").alias("source"))
-    over_chunks = joined.select(*keys, F.when(fits, F.col("source")).alias("source"))
-    return [in_one_chunk(body.join(carried, keys, "left_anti")), over_chunks]
+    pieces = body.join(carried, keys, "left_semi").groupBy("log_id", CHUNK, "block").agg(*size, _in_order("line_num", "content").alias("piece"))
+    sized = []
+    if longest is not None:
+        # Pieces of a block that does not fit are NULL and hence never gathered.
+        pieces = pieces.withColumn("bytes", F.sum("bytes").over(Window.partitionBy(*keys))).withColumn("piece", fitting("piece"))
+        sized = [F.first("bytes").alias("bytes")]
+    joined = pieces.groupBy(*keys).agg(*sized, _in_order("chunk_id", "piece").alias("source"))
+    return [in_one_chunk(body.join(carried, keys, "left_anti")), joined.select(*keys, fitting("source"))]
 
 
 def shaders(body: DataFrame, shader: ShaderState, rows: DataFrame, frames: DataFrame) -> DataFrame:

@@ -1,15 +1,18 @@
 import csv
 import glob
+import hashlib
 import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from framesift import catalog
 from framesift.operators import export, stats
 from framesift.operators.shaders import shader_call_stats
 from framesift.plans import answers
 from framesift.plans.parse import parse_aggregated, parse_lines
+from framesift.sources.loglines import LogLines
 from framesift.sources.text import read_lines
 
 LOG = """glBindBuffer: count=2, time=1005 us
@@ -204,3 +207,22 @@ def test_listing_of_many_folders_takes_some_tasks_for_each_core(spark, tmp_path)
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < max(s.numTasks for s in stages if s and s.name.startswith("text at")) < 60
+
+
+def test_sources_of_any_length_are_exported_whole(spark, tmp_path):
+    """70 MB in a block, in one chunk and over many."""
+    n, place = 14_000, F.col("id")
+    text = [f"{i};" * 1000 for i in range(n)]
+    want = "\n".join(text)
+    assert len(want) > 64 * 2**20
+    line = F.when(place == 0, "glA: count=1, time=5 us").when(place.isin(1, n + 2), "####").when(place == n + 3, "swapBuffers: 1 us")
+    line = line.otherwise(F.repeat(F.concat(place - 2, F.lit(";")), 1000))
+    for chunk in (n * 2, 4000):
+        rows = spark.range(n + 4).select(F.lit("a").alias("log_id"), F.expr(f"id div {chunk}").alias("chunk_id"), (place + 1).alias("line_num"), line.alias("content"))
+        parsed = parse_aggregated(LogLines.of(rows))
+        answers.export_answer(parsed, f"{tmp_path}/{chunk}-txt", "shader", "txt")
+        assert written(f"{tmp_path}/{chunk}-txt") == f"Shader ID: 0\n{'-' * 50}\n{want}\n"
+        answers.export_answer(parsed, f"{tmp_path}/{chunk}-csv", "shader", "csv")
+        read = spark.read.csv(f"{tmp_path}/{chunk}-csv", header=True, multiLine=True, escape='"', schema="ID bigint, Source string")
+        found = read.select("ID", F.length("Source").alias("n"), F.md5("Source").alias("sum")).collect()
+        assert [(r.ID, r.n, r["sum"]) for r in found] == [(0, len(want), hashlib.md5(want.encode()).hexdigest())]
