@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from framesift.operators.stats import frame_api_summary
 from framesift.session import ranged_for_files, store
+from framesift.sources.folders import local_folder, write_folders
 
 # Column headings of the result kinds, each with the column it shows.
 HEADINGS = {
@@ -304,12 +305,19 @@ def write_document(doc: Document, path: str, by_log: bool = False) -> None:
     if by_log:
         # The folder column must lead the order, else the writer sorts by it anew.
         order = ["log", *doc.order[1:]]
-        ranged = ranged_for_files(doc.lines.withColumnRenamed("log_id", "log"), *order)
-        ranged.select("log", "value").write.partitionBy("log").text(path)
+        ranged = ranged_for_files(doc.lines.withColumnRenamed("log_id", "log"), *order).select("log", "value")
+        if folder := local_folder(ranged.sparkSession, path):
+            write_folders(ranged, "log", F.coalesce("value", F.lit("")), folder, ".txt")
+        else:
+            ranged.write.partitionBy("log").text(path)
     else:
         doc.sorted().select("value").write.text(path)
 
 
+def _writer(rows: DataFrame, by_log: bool):
+    return rows.write.partitionBy("log") if by_log else rows.write
+
+
 def export(
     df: DataFrame, kind: str, fmt: str, path: str, calls: DataFrame | None = None, by_log: bool = False, parsed=None
 ) -> None:
@@ -324,22 +332,32 @@ def export(
         raise ValueError(f"unsupported format: {fmt}")
     if kind not in HEADINGS:
         raise ValueError(f"unsupported data type for export: {kind}")
-    head = headed_by_log if by_log else headed
 
-    def writer(rows: DataFrame):
-        return rows.write.partitionBy("log") if by_log else rows.write
+    def rows(headings: dict[str, dict[str, str]]) -> tuple[DataFrame, str | None]:
+        """Sorted rows, and the folder where folders of logs are written by plain file calls."""
+        if not by_log:
+            return headed(df, kind, headings), None
+        return headed_by_log(df, kind, headings), local_folder(df.sparkSession, path)
 
     if fmt == "csv":
         # Blanks at both ends belong to the texts.
-        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-        writer(head(df, kind)).options(header=True, escape='"', **blanks).csv(path)
+        options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        found, folder = rows(HEADINGS)
+        if folder:
+            write_folders(found, "log", F.to_csv(F.struct(*HEADINGS[kind]), options), folder, ".csv", ",".join(HEADINGS[kind]))
+        else:
+            _writer(found, by_log).options(header=True, **options).csv(path)
     elif fmt == "json" and kind in ("frames", "frame") and parsed is not None:
         write_document(frames_json(parsed, df), path, by_log)
     elif fmt == "json":
         if kind == "shaders":
             # Fields without a value are left out.
             df = df.withColumn("command_line", F.when(F.col("command_line") != "", F.col("command_line")))
-        writer(head(df, kind, JSON_HEADINGS)).json(path)
+        found, folder = rows(JSON_HEADINGS)
+        if folder:
+            write_folders(found, "log", F.to_json(F.struct(*JSON_HEADINGS[kind])), folder, ".json")
+        else:
+            _writer(found, by_log).json(path)
     else:
         write_document(text_of(df, kind, calls), path, by_log)
 

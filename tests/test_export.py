@@ -5,6 +5,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from framesift import catalog
@@ -196,6 +197,52 @@ def test_log_files_are_written_by_many_tasks_and_each_is_one_file(spark, tmp_pat
     assert files["log_id=3"].split() == [f"c{i}" for i in range(30, 40)]
 
 
+def text_of_folders(path):
+    """Folders below a path, each with the text of its files in order, without their headings."""
+    found = {}
+    for f in sorted(Path(path).glob("*/part-*"), key=lambda f: f.name.split("-")[1]):
+        found[f.parent.name] = found.get(f.parent.name, b"") + f.read_bytes().removeprefix(b"ID,Source\n")
+    return found
+
+
+ODD = [None, "", "  ", " x ", "a,b", 'q"q', "l1\nl2", "é中", '"', "a\\b", "#c", "t\t", "\x01b"]
+
+
+def test_files_of_logs_are_those_of_sparks_writers(spark, tmp_path, monkeypatch):
+    values = [(v, w) for v in ODD for w in ODD]
+    logs = [None, "a/b", "c:d=e", "x y%[1]^", "é", *map(str, range(40))]
+    rows = [(log, i, i, 4, v, w) for log in logs for i, (v, w) in enumerate(values)]
+    rows = spark.createDataFrame(rows, "log_id string, frame_num long, block_num long, shader_id long, source string, command_line string")
+    lines = rows.select("log_id", F.col("frame_num").alias("line_num"), F.col("source").alias("content"))
+    found = []
+    for kind in ("plain", "spark"):
+        if kind == "spark":
+            for module in (export, catalog):
+                monkeypatch.setattr(module, "local_folder", lambda *_: None)
+        for fmt in export.FORMATS:
+            export.export(rows, "shaders", fmt, f"{tmp_path}/{kind}/{fmt}", by_log=True)
+        for code in ("UTF-8", "UTF-16LE"):
+            catalog._log_files(spark, lines, f"{tmp_path}/{kind}/{code}", code, "\ufeff")
+        found.append({x: text_of_folders(f"{tmp_path}/{kind}/{x}") for x in (*export.FORMATS, "UTF-8", "UTF-16LE")})
+    for x in found[0]:
+        assert found[0][x].keys() == found[1][x].keys(), x
+        assert [log for log in found[0][x] if found[0][x][log] != found[1][x][log]] == [], x
+    # The text of shaders has none of a log without an id.
+    assert {x: len(found[0][x]) for x in found[0]} == {x: len(logs) - (x == "txt") for x in found[0]}
+
+
+def test_files_of_logs_are_made_without_programs(spark, tmp_path):
+    """Hadoop's local files come with checksums and start a program each; those of logs are plain."""
+    rows = spark.range(40).selectExpr("id AS log_id", "1L AS line_num", "'c' AS content", "0L AS page_num")
+    for fmt in export.FORMATS:
+        export.export(rows, "search", fmt, f"{tmp_path}/{fmt}", by_log=True)
+        with pytest.raises(AnalysisException):
+            export.export(rows, "search", fmt, f"{tmp_path}/{fmt}", by_log=True)
+    catalog._log_files(spark, rows, f"{tmp_path}/logs")
+    assert len(list(tmp_path.rglob("part-*"))) == 160 and not list(tmp_path.rglob("*.crc"))
+    assert len(list(tmp_path.rglob("_SUCCESS"))) == 4 and not list(tmp_path.rglob(".part*"))
+
+
 def test_listing_of_many_folders_takes_some_tasks_for_each_core(spark, tmp_path):
     for i in range(60):
         (tmp_path / f"log_id={i}").mkdir()
