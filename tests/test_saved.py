@@ -2,11 +2,13 @@
 
 import os
 import re
+from types import SimpleNamespace
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from framesift import catalog
 from framesift.operators import postings, search, stats
 from framesift.plans import answers
 from framesift.plans.parse import parse_aggregated, parse_files, parse_lines
@@ -123,6 +125,25 @@ def test_capture_equals_one_parse_and_survives_restarts(spark, rng, tmp_path):
         assert rows(getattr(opened, name).drop("chunk_id", "n_bytes", "byte_base")) == rows(getattr(whole, name).drop("chunk_id", "n_bytes", "byte_base")), name
 
 
+def test_a_batch_without_a_bound_takes_all_files(spark, rng, tmp_path, monkeypatch):
+    """The queries of captured logs have two batches however many logs there are, and folders are listed by few tasks."""
+    logs, folder = made(rng, 4), tmp_path / "logs"
+    for name in logs:
+        (folder / f"log={name}").mkdir(parents=True)
+        put(folder / f"log={name}", "a.txt", logs[name])
+    spark.conf.unset("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    capture(spark, str(folder), str(tmp_path / "c"), str(tmp_path / "k"), None, "*.txt").awaitTermination()
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == str(4 * spark.sparkContext.defaultParallelism)
+    assert [tuple(r) for r in captured_batches(saved.manifest(spark, str(tmp_path / "c"))).collect()] == [(0, 5)]
+    assert rows(saved.open_logs(spark, str(tmp_path / "c")).parsed.frames) == rows(parse_files(spark, f"{folder}/*").frames)
+    asked = []
+    monkeypatch.setattr(catalog, "capture", lambda *a: asked.append(a[4]) or SimpleNamespace(awaitTermination=lambda: None))
+    events = spark.range(40).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 8 AS user_id", "'view' AS event_type", "1.5D AS value")
+    events.write.parquet(str(tmp_path / "tables" / "events.parquet"))
+    catalog._capture(spark, str(tmp_path / "tables"))
+    assert asked == [None, None]
+
+
 def test_capture_after_a_failure_between_corpus_and_checkpoint(spark, rng, tmp_path):
     """The stream repeats a batch that the corpus has already: it is not taken twice."""
     logs, folder = made(rng, 2), tmp_path / "logs"
